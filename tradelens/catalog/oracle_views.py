@@ -10,7 +10,7 @@ SELECT *,
        THEN (CASE WHEN l_partkey % 4 = 0 THEN 'btc' ELSE 'eth' END) || '-updown-15m-' || CAST(epoch(l_shipdate) AS BIGINT)
        ELSE 'topic-' || (l_partkey % 40) END AS slug,
   CASE WHEN l_linestatus = 'O' THEN 'Up' ELSE 'Down' END AS outcome,
-  l_shipdate + to_seconds((l_orderkey*7919 + l_linenumber*104729 + l_partkey*31) % 900) AS ts,
+  l_shipdate + to_seconds((l_orderkey*7919 + l_linenumber*104729 + l_partkey*31) % CASE WHEN l_partkey % 2 = 0 THEN 900 ELSE 86400 END) AS ts,
   'evt-' || l_orderkey || '-' || l_linenumber AS event_key,
   round(0.05 + 9*l_discount, 2) AS price,
   l_orderkey*10 + l_linenumber AS seq

@@ -48,7 +48,7 @@ class Tables:
             F.concat(F.when(pk % 4 == 0, "btc").otherwise("eth"), F.lit("-updown-15m-"),
                      F.unix_seconds("l_shipdate").cast("string")),
         ).otherwise(F.concat(F.lit("topic-"), (pk % 40).cast("string")))
-        offset = (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729 + pk * 31) % 900
+        offset = (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729 + pk * 31) % F.when(pk % 2 == 0, 900).otherwise(86400)
         return li.select(
             "*",
             slug.alias("slug"),

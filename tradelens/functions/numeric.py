@@ -54,6 +54,11 @@ def max_if(value: Column | str, cond: Column) -> Column:
     return F.max(F.when(cond, col(value)))
 
 
+def above_zero(c: Column | str) -> Column:
+    """Positive beyond the noise that summation order leaves in a money total."""
+    return F.round(col(c), 9) > 0
+
+
 def clamp(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 

@@ -38,17 +38,15 @@ def ordered_scan(
 
     ``segment`` must never decrease along ``order``. ``sums`` and ``maxes`` include the current
     row, ``previous`` is the value on the row before (NULL on the first), ``last_known`` the latest
-    non-null value up to the current row, and ``totals`` the sum over the whole key. Keys and
-    segment must not be NULL (the job fails if one is): callers route such rows round the scan.
+    non-null value up to the current row, and ``totals`` the sum over the whole key. A row
+    whose key or segment is NULL has no place in the order: it is kept, its running columns are NULL.
     """
     sums, maxes = dict(sums or {}), dict(maxes or {})
     previous, last_known, totals = dict(previous or {}), dict(last_known or {}), dict(totals or {})
     keys, order = list(keys), list(order)
     by = [*keys, SEG]
 
-    missing = " OR ".join(f"{k} IS NULL" for k in keys)
-    checked = F.when(F.expr(missing) | segment.isNull(), F.raise_error(F.lit("ordered_scan: NULL key or order")))
-    staged = df.withColumn(SEG, checked.otherwise(segment))
+    staged = df.withColumn(SEG, segment)
     inputs = {f"_in_{n}": c for n, c in {**sums, **maxes, **previous, **last_known, **totals}.items()}
     staged = staged.withColumns(inputs)
     position = F.struct(*order)
@@ -81,7 +79,7 @@ def ordered_scan(
     local.update({f"_w_{n}": F.last(f"_in_{n}", ignorenulls=True).over(running) for n in last_known})
     if previous:
         local["_w_prev"] = F.lag(F.struct(*[F.col(f"_in_{n}") for n in previous])).over(inside)
-    joined = staged.withColumns(local).join(offsets, by, "inner")
+    joined = staged.withColumns(local).join(offsets, by, "left")
 
     out = {}
     for n in sums:
@@ -92,4 +90,8 @@ def ordered_scan(
         out[n] = F.coalesce(f"_w_{n}", f"_c_{n}")
     if previous:
         out.update({n: F.coalesce("_w_prev", "_c_prev")[f"_in_{n}"] for n in previous})
+    placed = F.col(SEG).isNotNull()
+    for k in keys:
+        placed = placed & F.col(k).isNotNull()
+    out = {n: F.when(placed, c) for n, c in out.items()}
     return joined.withColumns(out).select(*df.columns, *out, *totals)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradelens.functions import columns as C
-from tradelens.functions.numeric import count_if, div, div0, int_div, seconds_between, sum_if
+from tradelens.functions.numeric import above_zero, count_if, div, div0, int_div, seconds_between, sum_if
 from tradelens.operators.latest import latest_per_key
 from tradelens.operators.scan import ordered_scan, time_segment
 
@@ -132,7 +132,7 @@ def asset_roi(settled: DataFrame) -> DataFrame:
     cost, pnl = F.sum("net_cost_usd"), F.sum("realized_pnl_usd")
     return rows.groupBy("username", "asset").agg(
         F.count(F.lit(1)).alias("token_positions"), cost.alias("net_cost_usd"), pnl.alias("realized_pnl_usd"),
-        F.when(cost > 0, div0(pnl, cost)).otherwise(0.0).alias("roi"))
+        F.when(above_zero(cost), div0(pnl, cost)).otherwise(0.0).alias("roi"))
 
 
 def entry_buckets(settled: DataFrame, width: int = 60) -> DataFrame:
@@ -144,7 +144,7 @@ def entry_buckets(settled: DataFrame, width: int = 60) -> DataFrame:
     cost, pnl = F.sum("net_cost_usd"), F.sum("realized_pnl_usd")
     return rows.groupBy("username", start.alias("bucket_start")).agg(
         F.count(F.lit(1)).alias("token_positions"), cost.alias("net_cost_usd"), pnl.alias("realized_pnl_usd"),
-        F.when(cost > 0, div0(pnl, cost)).otherwise(0.0).alias("roi"),
+        F.when(above_zero(cost), div0(pnl, cost)).otherwise(0.0).alias("roi"),
     ).withColumn("bucket_end", F.col("bucket_start") + width)
 
 
@@ -178,7 +178,7 @@ def complete_sets_by_market(trades: DataFrame) -> DataFrame:
 def complete_sets_summary(by_market: DataFrame) -> DataFrame:
     matched, pnl = F.sum("matched_shares"), F.sum("edge_pnl")
     return by_market.groupBy("username").agg(
-        F.count(F.lit(1)).alias("total_markets"), count_if(F.col("edge_per_share") > 0).alias("positive_edge_markets"),
+        F.count(F.lit(1)).alias("total_markets"), count_if(above_zero("edge_per_share")).alias("positive_edge_markets"),
         matched.alias("total_matched_shares"), pnl.alias("total_edge_pnl"),
         F.when(matched > 0, div0(pnl, matched)).otherwise(0.0).alias("avg_edge_per_share"),
         F.avg(F.col("up_trades") + F.col("down_trades")).alias("avg_trades_per_market"))
