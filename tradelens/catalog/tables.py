@@ -256,7 +256,7 @@ class Tables:
         ck = F.col("c_custkey")
         raw = self.customers().filter(ck % 4 != 0).select(
             "proxy_address", ck.alias("version"),
-            F.round(F.lit(20) + ck * 31 % 80, 1).alias("ml_score"),
+            (F.lit(20) + ck * 31 % 80).cast("double").alias("ml_score"),
             F.when(ck * 31 % 80 >= 60, "DIAMOND").when(ck * 31 % 80 >= 40, "GOLD").when(ck * 31 % 80 >= 20, "SILVER")
             .otherwise("BRONZE").alias("ml_tier"),
             F.round(F.col("c_acctbal") / 4000, 4).alias("predicted_sharpe"),
