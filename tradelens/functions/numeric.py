@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Abramowitz & Stegun 7.1.26 polynomial for erf.
@@ -86,13 +86,26 @@ def horner(x: Column, coefficients: Iterable[float]) -> Column:
     return reduce(lambda acc, c: (acc + F.lit(c)) * x, reversed(list(coefficients)), F.lit(0.0))
 
 
-def erf(x: Column) -> Column:
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(ERF_P) * F.abs(x))
+def erf(x: Column, t: Column | None = None) -> Column:
+    """Error function; ``t`` may name a column that already holds ``erf_step(x)``."""
+    t = erf_step(x) if t is None else t
     return F.signum(x) * (F.lit(1.0) - horner(t, ERF_A) * F.exp(-x * x))
 
 
-def normal_cdf(x: Column) -> Column:
-    return F.lit(0.5) * (F.lit(1.0) + erf(x / F.sqrt(F.lit(2.0))))
+def erf_step(x: Column) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.lit(ERF_P) * F.abs(x))
+
+
+def with_upper_tails(df: DataFrame, scores: Mapping[str, Column]) -> DataFrame:
+    """Add a one-tailed normal p-value of |z| per named score.
+
+    The steps are separate columns, so the long polynomial is written once per score.
+    """
+    staged = df.withColumns({f"_x_{n}": F.abs(z) / F.sqrt(F.lit(2.0)) for n, z in scores.items()})
+    staged = staged.withColumns({f"_t_{n}": erf_step(F.col(f"_x_{n}")) for n in scores})
+    tail = lambda n: F.lit(1.0) - F.lit(0.5) * (F.lit(1.0) + erf(F.col(f"_x_{n}"), F.col(f"_t_{n}")))
+    out = staged.withColumns({n: F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail(n))) for n in scores})
+    return out.drop(*[f"_{k}_{n}" for n in scores for k in "xt"])
 
 
 def epoch_micros(ts: Column | str) -> Column:

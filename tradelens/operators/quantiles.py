@@ -88,3 +88,18 @@ def global_rank(
         outs.append((below / F.col("_total")).alias(below_share))
     ranks = cum.select(*keys, F.col("_v").alias(value), *outs)
     return df.join(ranks, [*keys, value], "left")
+
+
+def percent_ranks(df: DataFrame, row_id: str, measures: Mapping[str, Column]) -> DataFrame:
+    """``percent_rank()`` of several measures over the whole table in one pass, joined back by ``row_id``.
+
+    The measures are stacked as (measure, value) rows so one counting scan serves all of them.
+    """
+    cells = F.array(*[F.struct(F.lit(n).alias("_m"), c.cast("double").alias("_x")) for n, c in measures.items()])
+    stacked = df.select(row_id, F.explode(cells).alias("_c")).select(row_id, "_c.*")
+    cum = cumulative_counts(stacked, ["_m"], F.col("_x"))
+    below = F.col("_cum") - F.col("_cnt")
+    share = F.when(F.col("_total") > 1, below / (F.col("_total") - 1)).otherwise(F.lit(0.0))
+    ranked = stacked.join(cum.select("_m", F.col("_v").alias("_x"), share.alias("_p")), ["_m", "_x"])
+    wide = ranked.groupBy(row_id).agg(*[F.max(F.when(F.col("_m") == n, F.col("_p"))).alias(n) for n in measures])
+    return df.join(wide, row_id, "left")
