@@ -222,3 +222,43 @@ FROM (SELECT e.*, w.ts AS ws_opp_tob_captured_at, w.best_bid_price AS ws_opp_bes
   FROM (SELECT *, token_ids[3 - list_position(outcomes, outcome)] AS opposite_token_id FROM v_enriched_ws) e
   ASOF LEFT JOIN v_ws_unique w ON e.opposite_token_id = w.asset_id AND e.ts >= w.ts)
 """
+
+VIEWS["v_order_lines"] = """
+SELECT 'o' || l_orderkey AS order_id, TIMESTAMP '2000-01-01' + to_seconds(l_orderkey % 1000 * 3600) AS base,
+  event_key || '-' || l_suppkey || '-' || l_partkey AS event_key, l_linenumber, l_suppkey, l_partkey, l_returnflag, l_linestatus, l_quantity, price,
+  slug AS market_slug, slug || ':' || outcome AS token_id, upper(outcome) AS direction FROM v_lines
+"""
+
+VIEWS["v_strategy_orders"] = """
+SELECT order_id, event_key, market_slug, token_id, direction,
+  CASE WHEN l_linenumber = 1 THEN 'PLACE' WHEN l_linenumber = 3 AND l_returnflag = 'R' THEN 'CANCEL' ELSE 'REPLACE' END AS action,
+  base + to_milliseconds(l_linenumber*700 + l_suppkey % 100) AS ts, price, l_quantity AS size, 0.01::DOUBLE AS tick_size,
+  round(price - 0.01*(l_partkey % 3), 2) AS best_bid_price, round(round(price - 0.01*(l_partkey % 3), 2) + 0.05, 2) AS best_ask_price, l_suppkey % 9 <> 0 AS success
+FROM v_order_lines WHERE l_linenumber <= 3
+"""
+
+VIEWS["v_order_status"] = """
+SELECT order_id, event_key, base + to_milliseconds(l_linenumber*900 + l_partkey % 300) AS ts, CASE WHEN l_linestatus = 'O' THEN 'BUY' ELSE 'SELL' END AS side,
+  price AS requested_price, 60.0::DOUBLE AS requested_size, CASE WHEN l_returnflag <> 'R' THEN CAST((l_linenumber - 1)*10 AS DOUBLE) END AS matched_size, l_linestatus AS exchange_status
+FROM v_order_lines WHERE l_linenumber >= 2
+"""
+
+VIEWS["v_clean"] = """
+SELECT * FROM (SELECT *, CASE WHEN market_slug LIKE 'btc-updown-15m-%' THEN 'btc-15m' WHEN market_slug LIKE 'eth-updown-15m-%' THEN 'eth-15m' ELSE 'other' END AS series,
+  coalesce(ws_best_bid_price, best_bid_price) AS our_best_bid, coalesce(ws_best_ask_price, best_ask_price) AS our_best_ask, coalesce(ws_mid, mid) AS our_mid,
+  ws_opp_best_bid_price AS other_best_bid, CASE WHEN ws_best_bid_price > 0 THEN 'WS' ELSE 'REST' END AS tob_source,
+  1 - coalesce(ws_best_bid_price, best_bid_price) - ws_opp_best_bid_price AS complete_set_edge FROM v_enriched_opp)
+WHERE series <> 'other' AND seconds_to_end >= 0 AND our_best_bid > 0 AND other_best_bid > 0
+"""
+
+VIEWS["v_lifecycle"] = """
+SELECT p.*, e.first_fill_ts, e.filled_size, e.first_matched_size, e.requested_size, e.last_exchange_status, epoch_ms(first_fill_ts) - epoch_ms(placed_ts) AS fill_latency_ms,
+  epoch_ms(cancel_ts) - epoch_ms(placed_ts) AS cancel_latency_ms, CAST(floor(round((placed_price - bid_at_place)/0.01, 6)) AS BIGINT) AS ticks_above_best_bid
+FROM (SELECT order_id, arg_max(market_slug, (ts, event_key)) AS market_slug, min(ts) FILTER (success AND action = 'PLACE') AS placed_ts,
+    arg_min(price, (ts, event_key)) FILTER (success AND action = 'PLACE') AS placed_price, arg_min(best_bid_price, (ts, event_key)) FILTER (success AND action = 'PLACE') AS bid_at_place,
+    arg_min(best_ask_price, (ts, event_key)) FILTER (success AND action = 'PLACE') AS ask_at_place, min(ts) FILTER (success AND action = 'CANCEL') AS cancel_ts,
+    count(*) FILTER (success AND action = 'REPLACE') AS replace_count FROM v_strategy_orders GROUP BY 1) p
+LEFT JOIN (SELECT order_id, coalesce(max(matched_size), 0) AS filled_size, min(ts) FILTER (matched_size > 0) AS first_fill_ts,
+    arg_min(matched_size, (ts, event_key)) FILTER (matched_size > 0) AS first_matched_size, max(requested_size) AS requested_size,
+    arg_max(exchange_status, (ts, event_key)) AS last_exchange_status FROM v_order_status GROUP BY 1) e USING (order_id)
+"""

@@ -266,6 +266,34 @@ class Tables:
         )
         return latest_per_key(raw, ["proxy_address"], ["version"])
 
+    # ---- orders ------------------------------------------------------------------------------
+
+    def _order_lines(self) -> DataFrame:
+        base = F.to_timestamp(F.lit("2000-01-01")) + seconds(F.col("l_orderkey") % 1000 * 3600)
+        return self.lines().select(
+            F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("order_id"), base.alias("base"),
+            F.concat_ws("-", "event_key", "l_suppkey", "l_partkey").alias("event_key"), "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag",
+            "l_linestatus", "l_quantity", "price", F.col("slug").alias("market_slug"),
+            F.concat(F.col("slug"), F.lit(":"), F.col("outcome")).alias("token_id"), F.upper("outcome").alias("direction"))
+
+    def strategy_orders(self) -> DataFrame:
+        n = F.col("l_linenumber")
+        bid = F.round(F.col("price") - F.lit(0.01) * (F.col("l_partkey") % 3), 2)
+        return self._order_lines().filter(n <= 3).select(
+            "order_id", "event_key", "market_slug", "token_id", "direction",
+            F.when(n == 1, "PLACE").when((n == 3) & (F.col("l_returnflag") == "R"), "CANCEL").otherwise("REPLACE").alias("action"),
+            (F.col("base") + seconds((n * 700 + F.col("l_suppkey") % 100) / F.lit(1000.0))).alias("ts"), "price", F.col("l_quantity").alias("size"),
+            F.lit(0.01).alias("tick_size"), bid.alias("best_bid_price"), F.round(bid + F.lit(0.05), 2).alias("best_ask_price"),
+            (F.col("l_suppkey") % 9 != 0).alias("success"))
+
+    def order_status(self) -> DataFrame:
+        n = F.col("l_linenumber")
+        return self._order_lines().filter(n >= 2).select(
+            "order_id", "event_key", (F.col("base") + seconds((n * 900 + F.col("l_partkey") % 300) / F.lit(1000.0))).alias("ts"),
+            F.when(F.col("l_linestatus") == "O", "BUY").otherwise("SELL").alias("side"), F.col("price").alias("requested_price"),
+            F.lit(60.0).alias("requested_size"), F.when(F.col("l_returnflag") != "R", (n - 1) * 10.0).alias("matched_size"),
+            F.col("l_linestatus").alias("exchange_status"))
+
     # ---- event stream ------------------------------------------------------------------------
 
     def quotes(self) -> DataFrame:
@@ -294,3 +322,9 @@ class Tables:
 
     def enriched_ws(self) -> DataFrame:
         return enrich.with_ws_book(self.enriched(), self.ws_tob())
+
+    def enriched_opposite(self) -> DataFrame:
+        return enrich.with_opposite_book(self.enriched_ws(), self.ws_tob())
+
+    def strong_traders(self) -> DataFrame:
+        return self.scores().filter("total_score >= 60").select("username")
