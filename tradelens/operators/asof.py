@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelens.functions.numeric import epoch_micros
-from tradelens.operators.scan import DAY_SECONDS, ordered_scan, time_segment
+from tradelens.operators.scan import DAY_SECONDS, SEG, time_segment
 
 
 def asof_join(
@@ -56,15 +56,21 @@ def asof_join(
         F.lit(1).alias("_side"),
         F.struct(*left.columns).alias("_left"),
     )
-    stacked = tagged_right.unionByName(tagged_left, allowMissingColumns=True)
-    scanned = ordered_scan(
-        stacked,
-        ["_k"],
-        _signed_segment(sign, segment_seconds),
-        ["_o", "_side", "_tie"],
-        last_known={"_match": F.col("_quote")},
-    ).filter("_side = 1")
-    matched = scanned.select("_left.*", "_match.*")
+    segment = _signed_segment(sign, segment_seconds)
+    rights, lefts = tagged_right.withColumn(SEG, segment), tagged_left.withColumn(SEG, segment)
+
+    # Last quote before each segment. The left side adds only its distinct (key, segment) pairs, so
+    # whatever joins built its other columns are pruned from this branch.
+    last_quote = rights.groupBy("_k", SEG).agg(F.max_by("_quote", F.struct("_o", "_tie")).alias("_q"))
+    wanted = keyed.select(F.col(left_key).alias("_k"), F.col(left_ts).alias("_ts")).withColumn(SEG, segment).select("_k", SEG).distinct()
+    earlier = Window.partitionBy("_k").orderBy(SEG).rangeBetween(Window.unboundedPreceding, -1)
+    carried = last_quote.unionByName(wanted.withColumn("_want", F.lit(True)), allowMissingColumns=True).withColumn(
+        "_carry", F.last("_q", ignorenulls=True).over(earlier)).filter("_want").select("_k", SEG, "_carry")
+
+    inside = Window.partitionBy("_k", SEG).orderBy("_o", "_side", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    scanned = rights.unionByName(lefts, allowMissingColumns=True).withColumn(
+        "_match", F.last("_quote", ignorenulls=True).over(inside)).filter("_side = 1")
+    matched = scanned.join(carried, ["_k", SEG], "left").withColumn("_match", F.coalesce("_match", "_carry")).select("_left.*", "_match.*")
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in quote_type.fields]
     return matched.unionByName(loose.select("*", *empty))
 
