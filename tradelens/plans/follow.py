@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradelens.functions.numeric import div, ladder
+from tradelens.functions.numeric import div
 from tradelens.plans.traders import TRADER
 
 
@@ -20,3 +20,136 @@ def edge_drop_signals(history: DataFrame, scores: int = 12, drop: float = 15) ->
         F.max("total_score").alias("recent_peak"), F.max(F.when(F.col("rn") == 1, F.col("total_score"))).alias("total_score"))
     gap = F.col("recent_peak") - F.col("total_score")
     return rolled.filter(gap > drop).select(TRADER, "total_score", "recent_peak", gap.alias("score_drop"), F.lit("SELL").alias("action"))
+
+
+# ---- alerts to signals -----------------------------------------------------------------------
+
+FOLLOWED_ALERTS = ("INSIDER_DETECTED", "UNUSUAL_ACTIVITY", "SMART_MONEY_ENTRY")
+METADATA = "struct<token_id:string,outcome:string,direction:string,confidence:double,strength:double,suggested_size_usd:double>"
+
+
+def action_of(direction: Column, alert_type: Column) -> Column:
+    """Action from the direction hint; without one an entry alert means BUY."""
+    d = F.upper(direction)
+    return (
+        F.when(d.isin("BUY", "LONG", "YES"), "BUY").when(d.isin("SELL", "SHORT", "NO"), "SELL")
+        .when(d.isNull() & alert_type.isin("INSIDER_DETECTED", "SMART_MONEY_ENTRY"), "BUY"))
+
+
+def insider_follow_signals(alerts: DataFrame, as_of: Column, max_age_seconds: int = 300, expiry_seconds: int = 300) -> DataFrame:
+    """Fresh, unexpired alerts as signals; alerts without a token or a clear action are dropped."""
+    age = F.unix_seconds(as_of) - F.unix_seconds("created_at")
+    live = alerts.filter(
+        (F.col("status") == "ACTIVE") & F.col("alert_type").isin(*FOLLOWED_ALERTS) & (age >= 0) & (age <= max_age_seconds)
+        & (F.col("expires_at").isNull() | (F.col("expires_at") >= as_of)))
+    m = live.withColumn("_m", F.from_json("metadata", METADATA))
+    severity = F.upper("severity")
+    urgency = F.when(severity == "CRITICAL", "CRITICAL").when(severity == "HIGH", "HIGH").when(severity == "WARNING", "MEDIUM").otherwise("LOW")
+    out = m.select(
+        "alert_id", "market_slug", F.col("_m.token_id").alias("token_id"), F.coalesce("_m.outcome", F.lit("Yes")).alias("outcome"),
+        action_of(F.col("_m.direction"), F.col("alert_type")).alias("action"), F.coalesce("_m.confidence", F.lit(0.6)).alias("confidence"),
+        F.coalesce("_m.strength", F.lit(0.5)).alias("strength"), F.when(F.col("_m.suggested_size_usd") > 0, F.col("_m.suggested_size_usd")).alias("suggested_size_usd"),
+        urgency.alias("urgency"), F.col("created_at").alias("detected_at"),
+        F.coalesce("expires_at", F.col("created_at") + F.make_dt_interval(secs=F.lit(expiry_seconds))).alias("expires_at"))
+    return out.filter((F.trim("token_id") != "") & F.col("action").isNotNull())
+
+
+def edge_follow_signals(trades: DataFrame, ml: DataFrame, as_of: Column, max_age_seconds: int = 600, min_score: float = 70.0,
+                        full_notional: float = 1000.0) -> DataFrame:
+    """Recent trades of traders with a high model score as signals."""
+    strong = ml.filter(F.col("ml_score") >= min_score).select(TRADER, "ml_score", "anomaly_score")
+    age = F.unix_seconds(as_of) - F.unix_seconds("ts")
+    fresh = trades.filter((age >= 0) & (age <= max_age_seconds)).withColumn("age_seconds", age).join(strong, TRADER)
+    score, seconds = F.col("ml_score"), F.col("age_seconds")
+    urgency = F.when((score >= 90) & (seconds < 60), "HIGH").when((score >= 80) & (seconds < 300), "MEDIUM").otherwise("LOW")
+    return fresh.select(
+        "event_key", TRADER, "market_slug", "token_id", F.col("side").alias("action"), F.least(F.lit(1.0), score / 100).alias("confidence"),
+        F.least(F.lit(1.0), (1 - F.col("anomaly_score")) * F.least(F.lit(1.0), F.col("notional") / full_notional)).alias("strength"),
+        urgency.alias("urgency"), "age_seconds")
+
+
+def momentum_signal(prices: DataFrame, seconds: int = 600, min_samples: int = 3, threshold: float = 0.02) -> DataFrame:
+    """Mean of the last third against the first third of a sliding window, per market and tick.
+
+    Ticks of one market are cut into time blocks as long as the window; each block is shown the ticks
+    of the block before, so one block and not the whole market is windowed in a task.
+    """
+    block = F.floor(F.unix_micros("ts") / F.lit(seconds * 1_000_000)).cast("bigint")
+    shown = prices.withColumn("_own", block).withColumn("_block", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    span = Window.partitionBy("market_slug", "_block").orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000, 0)
+    window = F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), "event_key", "price")).over(span))
+    rows = shown.withColumn("_w", window).filter("_own = _block")
+    n = F.size("_w")
+    third = F.greatest(F.lit(1), F.floor(n / 3).cast("int"))
+    mean = lambda part, k: F.aggregate(part, F.lit(0.0), lambda a, x: a + x["price"]) / k
+    early, late = F.round(mean(F.slice("_w", F.lit(1), third), third), 4), F.round(mean(F.slice("_w", n - third + 1, third), third), 4)
+    rows = rows.withColumns({"samples": n, "early_price": early, "late_price": late}).drop("_w", "_own", "_block")
+    change = F.round(F.col("late_price") - F.col("early_price"), 6)
+    kind = F.when(F.col("samples") < min_samples, "NEUTRAL").when(change > threshold, "UP_RISING").when(change < -threshold, "UP_FALLING").otherwise("NEUTRAL")
+    return rows.withColumns({"price_change": change, "signal": kind})
+
+
+def alert_key(kind: Column, market: Column, direction: Column, volume: Column) -> Column:
+    """Dedup key over type, market, direction and the volume rounded down to thousands."""
+    bucket = (F.floor(volume / 1000) * 1000).cast("bigint").cast("string")
+    return F.substring(F.md5(F.concat_ws(":", F.lit("insider"), kind, market, direction, bucket)), 1, 16)
+
+
+def alert_dedup(alerts: DataFrame, min_severity: int = 2) -> DataFrame:
+    """First alert per key among those severe enough."""
+    level = F.when(F.col("severity") == "CRITICAL", 4).when(F.col("severity") == "HIGH", 3).when(F.col("severity") == "MEDIUM", 2).otherwise(1)
+    keyed = alerts.filter(level >= min_severity).withColumn(
+        "dedup_key", alert_key(F.col("signal_type"), F.col("market_slug"), F.col("direction"), F.col("total_volume_usd")))
+    return keyed.groupBy("dedup_key").agg(
+        F.min_by(F.struct("alert_id", "detected_at"), F.struct("detected_at", "alert_id")).alias("_f"), F.count(F.lit(1)).alias("copies")).select(
+        "dedup_key", "_f.*", "copies")
+
+
+# ---- sizing ----------------------------------------------------------------------------------
+
+EXACT = "decimal(38,12)"
+
+
+def mirror_sizing(signals: DataFrame, fund_capital: float = 10_000, max_position_pct: float = 0.10, min_trade_usd: float = 5.0,
+                  max_slippage: float = 0.02) -> DataFrame:
+    """Fund shares and limit price for mirrored trades.
+
+    Shares scale by capital ratio (4 digits, half up) and weight, or by weight alone when the
+    trader's capital is unknown; they are cut to the largest position, dropped below the smallest
+    notional and rounded down to 2 digits. ``signals`` need ``shares, price, weight, trader_capital``.
+    """
+    dec = lambda c: c.cast("decimal(24,6)")
+    capital = F.lit(fund_capital).cast("decimal(18,2)")
+    known = F.coalesce(F.col("trader_capital") > 0, F.lit(False))
+    ratio = F.when(known, F.round(div(capital, F.col("trader_capital").cast("decimal(18,2)")), 4)).otherwise(F.lit(1)).cast("decimal(18,4)")
+    shares, price, weight = dec(F.col("shares")), F.col("price").cast("decimal(10,4)"), F.col("weight").cast("decimal(10,6)")
+    raw = (shares * ratio).cast("decimal(28,8)") * weight
+    limit = F.lit(fund_capital * max_position_pct).cast("decimal(18,4)")
+    down = lambda c: (F.floor(c * 100) / F.lit(100)).cast("decimal(24,2)")
+    rows = signals.withColumn("raw_shares", raw.cast(EXACT))
+    over = (F.col("raw_shares") * price).cast(EXACT) > limit
+    target = F.when(over, down(div(limit, price))).otherwise(F.col("raw_shares")).cast(EXACT)
+    rows = rows.withColumn("target", target)
+    small = (F.col("target") * price).cast(EXACT) < F.lit(min_trade_usd).cast("decimal(18,4)")
+    sized = rows.withColumn("fund_shares", F.when(small, F.lit(0)).otherwise(down(F.col("target"))).cast("decimal(24,2)"))
+    slip = F.lit(max_slippage).cast("decimal(10,4)")
+    up4 = F.ceil(price * (1 + slip) * 10000) / F.lit(10000)
+    dn4 = F.floor(price * (1 - slip) * 10000) / F.lit(10000)
+    return sized.withColumn("limit_price", F.when(F.col("side") == "BUY", up4).otherwise(dn4).cast("decimal(10,4)")).drop("raw_shares", "target")
+
+
+def capped_signals(signals: DataFrame, max_trades: int, max_notional: float, min_confidence: float = 0.5, min_strength: float = 0.3) -> DataFrame:
+    """Signals that pass the filters, cut to the first ``max_trades`` and the notional cap of each fund and day.
+
+    The rank filter keeps at most ``max_trades`` rows per (fund, day) and map task, so the running
+    notional is windowed over few rows whatever the number of signals.
+    """
+    ok = signals.filter((F.col("confidence") >= min_confidence) & (F.col("strength") >= min_strength) & (F.col("action") != "HOLD"))
+    order = Window.partitionBy("fund_type", "day").orderBy("detected_at", "signal_id")
+    head = ok.withColumn("day", F.to_date("detected_at")).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= max_trades)
+    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return head.withColumn("day_notional", F.sum("notional").over(run)).withColumn("accepted", F.round("day_notional", 6) <= max_notional)
+
+
+def decay_confidence(drop: Column) -> Column:
+    return F.least(F.lit(0.95), F.lit(0.60) + drop / 50)
