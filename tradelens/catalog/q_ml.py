@@ -12,11 +12,13 @@ from tradelens.functions import columns as C
 from tradelens.functions.numeric import rnd
 from tradelens.operators import matching
 from tradelens.plans import features, follow, fund, ml
+from tradelens.session import checkpointed
 
 _DAILY = "df AS (SELECT proxy_address, CAST(ts AS DATE) AS day, sum(CASE side WHEN 'SELL' THEN notional ELSE -notional END) AS pnl FROM v_trades GROUP BY ALL)"
 _ACT = """ac AS (SELECT proxy_address, count(*) AS total_trades, count(DISTINCT CAST(ts AS DATE)) AS days_active, CAST(datediff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) + 1 AS INTEGER) AS span_days,
   count(*) FILTER (isodow(ts) IN (6, 7))/count(*) AS we FROM v_trades GROUP BY 1),
-hr AS (SELECT proxy_address, -sum(n/t*log2(n/t))/log2(24) AS ent FROM (SELECT proxy_address, hour(ts) AS h, count(*) AS n, sum(count(*)) OVER (PARTITION BY proxy_address) AS t FROM v_trades GROUP BY ALL) GROUP BY 1)"""
+hh AS (SELECT proxy_address, hour(ts) AS h, count(*) AS n FROM v_trades GROUP BY ALL), hw AS (SELECT *, sum(n) OVER (PARTITION BY proxy_address) AS t FROM hh),
+hr AS (SELECT proxy_address, -sum(n/t*log2(n/t))/log2(24) AS ent FROM hw GROUP BY 1)"""
 
 
 @query("activity_features", f"""WITH {_ACT} SELECT proxy_address, total_trades, days_active, span_days, r6(ent) AS active_hours_entropy, r6(we) AS weekend_activity_ratio, r6(total_trades/span_days) AS trades_per_day,
@@ -105,7 +107,7 @@ def class_weights(t: Tables):
 def tier_and_sharpe_model(t: Tables):
     cols = ["total_trades", "sharpe_ratio", "win_rate", "hhi", "maker_ratio", "trades_per_day"]
     split = ml.temporal_split(labels(t)).select("proxy_address", "tier_label", "sharpe_label", "split")
-    rows = feature_table(t).select("proxy_address", *[F.col(c).cast("double").alias(c) for c in cols]).join(split, "proxy_address")
+    rows = checkpointed(feature_table(t).select("proxy_address", *[F.col(c).cast("double").alias(c) for c in cols]).join(split, "proxy_address"))
     train = rows.filter("split = 'train'")
     return ml.model_scores(ml.fit_tier_and_sharpe(train, cols, ml.class_weights(labels(t)), trees=5), rows.filter("split != 'train'"))
 
@@ -115,7 +117,7 @@ CLUSTER_COLUMNS = ["hhi", "top3_share", "complete_set_ratio", "updown_market_rat
 
 def clustered(t: Tables):
     rows = features.concentration(t.trades()).join(features.hft_features(t.trades()), "proxy_address")
-    return ml.strategy_clustering(ml.standardised(rows, CLUSTER_COLUMNS))
+    return ml.strategy_clustering(ml.standardised(checkpointed(rows), CLUSTER_COLUMNS))
 
 
 @query("strategy_clustering")
@@ -134,7 +136,7 @@ cu AS (SELECT DISTINCT feature, v, count(*) FILTER (NOT cur) OVER (PARTITION BY
   count(*) FILTER (cur) OVER (PARTITION BY feature) AS tb FROM ev),
 ks AS (SELECT feature, max(abs(ca/ta - cb/tb)) AS d, max(ta) AS ta, max(tb) AS tb FROM cu GROUP BY 1), mo AS (SELECT feature, avg(v) FILTER (NOT cur) AS bm, avg(v) FILTER (cur) AS cm, stddev_pop(v) FILTER (NOT cur) AS bs FROM ev GROUP BY 1),
 kl AS (SELECT *, (sqrt(ta*tb/(ta + tb)) + 0.12 + 0.11/sqrt(ta*tb/(ta + tb)))*d AS l FROM ks JOIN mo USING (feature)),
-dr AS (SELECT *, CASE WHEN l < 0.2 THEN 1 ELSE greatest(0, least(1, 2*list_sum(list_transform(range(1, 41), k -> CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END*exp(-2.0::DOUBLE*k*k*l*l))))) END AS p, abs(cm - bm)/bs AS eff FROM kl)"""
+dr AS (SELECT *, CASE WHEN l < 0.2 THEN 1 ELSE greatest(0, least(1, 2*list_sum(list_transform(range(1, 41), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END*exp(-2.0::DOUBLE*k*k*l*l))))) END AS p, abs(cm - bm)/bs AS eff FROM kl)"""
 
 
 def drift(t: Tables):
@@ -196,7 +198,7 @@ def dna(t: Tables):
 @query("strategy_dna", f"""WITH {_DNA} SELECT proxy_address, CASE WHEN ah < 10 THEN 'EARLY_BIRD' WHEN ah > 20 THEN 'NIGHT_OWL' ELSE 'MARKET_HOURS' END AS timing_style,
   CASE WHEN cv < 0.1 THEN 'FIXED' WHEN cv < 0.3 THEN 'SCALED' WHEN cv > 0.8 THEN 'RANDOM' ELSE 'KELLY' END AS sizing_style, CASE WHEN ho < 1 THEN 'SCALPER' WHEN ho < 24 THEN 'DAY_TRADER' WHEN ho < 168 THEN 'SWING_TRADER' ELSE 'POSITION_TRADER' END AS holding_style,
   CASE WHEN tpm > 10 THEN 'AGGRESSIVE' WHEN tpm < 3 THEN 'PASSIVE' ELSE 'BALANCED' END AS entry_style, CASE WHEN wt > 0.7 THEN 'TIGHT_STOPS' WHEN wt < 0.3 THEN 'WIDE_STOPS' ELSE 'SCALE_OUT' END AS risk_style,
-  r6(list_sum(vec)) AS vector_sum, r6(least(100, list_sum(list_transform(vec, x -> (x - 0.5)*(x - 0.5)))/6*200)) AS uniqueness FROM v""")
+  r6(list_sum(vec)) AS vector_sum, r6(least(100, list_sum(list_transform(vec, lambda x: (x - 0.5)*(x - 0.5)))/6*200)) AS uniqueness FROM v""")
 def strategy_dna(t: Tables):
     return rounded(dna(t).select("proxy_address", "timing_style", "sizing_style", "holding_style", "entry_style", "risk_style",
                                  F.aggregate("dna_vector", F.lit(0.0), lambda a, x: a + x).alias("vector_sum"), "uniqueness"))
@@ -205,7 +207,7 @@ def strategy_dna(t: Tables):
 CENTRES = [(0, [1.0, 0.1, 0.1, 0.1, 0.5, 0.2]), (1, [0.1, 0.5, 0.9, 0.4, 0.5, 0.2]), (2, [0.9, 0.2, 0.2, 0.1, 0.1, 0.1])]
 
 
-@query("nearest_cluster", f"""WITH {_DNA}, s AS (SELECT proxy_address, c.id, list_dot_product(vec, c.vec)/sqrt(list_dot_product(vec, vec)*list_dot_product(c.vec, c.vec)) AS sim FROM v,
+@query("nearest_cluster", f"""WITH {_DNA}, s AS (SELECT proxy_address, c.id, list_dot_product(v.vec, c.vec)/sqrt(list_dot_product(v.vec, v.vec)*list_dot_product(c.vec, c.vec)) AS sim FROM v,
   (VALUES {', '.join(f"({i}, {[float(x) for x in c]}::DOUBLE[])" for i, c in CENTRES)}) c(id, vec))
 SELECT proxy_address, CAST(arg_max(id, (round(sim, 12), -id)) AS INTEGER) AS cluster_id, r6(max(sim)) AS similarity FROM s GROUP BY 1""")
 def nearest_cluster(t: Tables):

@@ -52,9 +52,9 @@ def compose(sql: str) -> str:
         visit(view)
     body = sql.strip()
     ctes = [f"{v} AS ({VIEWS[v].strip()})" for v in ordered]
-    if body.upper().startswith("WITH "):
-        ctes.append(body[5:])
-        return expand_rounding("WITH " + ",\n".join(ctes))
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(opening):
+            return expand_rounding(opening + ",\n".join([*ctes, body[len(opening):]]))
     head = "WITH " + ",\n".join(ctes) + "\n" if ctes else ""
     return expand_rounding(head + body)
 

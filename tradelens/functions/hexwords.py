@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = 64
 TWO_64 = "18446744073709551616"
@@ -32,7 +33,7 @@ def as_long(word: Column) -> Column:
     return small_number(word).try_cast("bigint")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def big_number(words: pd.Series) -> pd.Series:
     """Any 256-bit word as decimal text. Token ids exceed every numeric type, so they stay text."""
     return words.map(lambda w: str(int(w, 16)) if w else None)
