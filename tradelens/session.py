@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,14 +32,25 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach: the one the cluster names, a temporary one only in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return tempfile.mkdtemp(prefix="tradelens-")
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for one run of a job."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a local folder only where none is set."""
+    """Reliable checkpoint: cuts lineage and survives the loss of executors."""
     sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        sc.setCheckpointDir(folder)
-    elif sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        sc.setCheckpointDir(os.path.join(tempfile.mkdtemp(prefix="tradelens-ckpt-")))
+    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if named or sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named or shared_folder(df.sparkSession))
     return df.checkpoint()
