@@ -16,20 +16,21 @@ def latest_per_key(
 ) -> DataFrame:
     """One whole row per key, the one greatest by ``order`` and then by the remaining columns.
 
-    ``max_by`` over a struct aggregates on the map side first, so a key that holds a third of the
+    A greatest struct aggregates on the map side first, so a key that holds a third of the
     table travels as one row per map task. All columns of the result come from the same row.
     ``aggregates`` adds plain aggregates (``{name: Column}``) over every version of the key.
     """
     keys, order = list(keys), list(order)
-    rest = [c for c in df.columns if c not in keys]
-    sortable = [
-        f.name for f in df.schema.fields
-        if f.name in rest and f.name not in order and f.dataType.typeName() not in ("map", "variant")
-    ]
-    aggs = [F.max_by(F.struct(*rest), F.struct(*order, *sortable)).alias("_row")]
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    plain = [f.name for f in df.schema.fields if f.name in rest and f.dataType.typeName() not in ("map", "variant")]
+    if len(plain) == len(rest):
+        newest = F.max(F.struct(*order, *rest))  # the ordering already holds every column
+    else:
+        newest = F.max_by(F.struct(*order, *rest), F.struct(*order, *plain))
+    aggs = [newest.alias("_row")]
     aggs += [c.alias(name) for name, c in (aggregates or {}).items()]
-    extra = list(aggregates or {})
-    return df.groupBy(*keys).agg(*aggs).select(*keys, "_row.*", *extra)
+    shown = [F.col(f"_row.{c}").alias(c) for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(*aggs).select(*keys, *shown, *list(aggregates or {}))
 
 
 def latest_ties(df: DataFrame, keys: Sequence[str], version: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 NEVER = -(1 << 62)
+QUEUES = 64
 
 
 def _keyed(df: DataFrame, key: list[str], fn: Callable, out: str, state: str, timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
@@ -55,6 +56,7 @@ def delayed_signals(signals: DataFrame, delay_seconds: int, watermark: str = "0
     """Hold every signal back until event time has moved ``delay_seconds`` past it.
 
     ``signals`` need ``fund_type, signal_id, detected_at, payload``; waiting signals are the state.
+    Signals do not depend on each other, so a fund's queue is split by a hash of the signal id.
     """
     out = "fund_type string, signal_id string, detected_at timestamp, payload string"
 
@@ -78,8 +80,9 @@ def delayed_signals(signals: DataFrame, delay_seconds: int, watermark: str = "0
             yield pd.DataFrame({"fund_type": key[0], "signal_id": [ids[i] for i in due],
                                 "detected_at": pd.to_datetime([stamps[i] for i in due], unit="us"), "payload": [payloads[i] for i in due]})
 
-    kept = signals.withWatermark("detected_at", watermark).select("fund_type", "signal_id", "detected_at", "payload")
-    return _keyed(kept, ["fund_type"], fn, out, "stamps array<bigint>, ids array<string>, payloads array<string>", GroupStateTimeout.EventTimeTimeout)
+    kept = signals.withWatermark("detected_at", watermark).select(
+        "fund_type", "signal_id", "detected_at", "payload", F.pmod(F.xxhash64("signal_id"), F.lit(QUEUES)).alias("_queue"))
+    return _keyed(kept, ["fund_type", "_queue"], fn, out, "stamps array<bigint>, ids array<string>, payloads array<string>", GroupStateTimeout.EventTimeTimeout)
 
 
 def capped_signals(signals: DataFrame, max_trades: int, max_notional: float, min_confidence: float = 0.5, min_strength: float = 0.3) -> DataFrame:
