@@ -260,5 +260,5 @@ FROM (SELECT order_id, arg_max(market_slug, (ts, event_key)) AS market_slug, min
     count(*) FILTER (success AND action = 'REPLACE') AS replace_count FROM v_strategy_orders GROUP BY 1) p
 LEFT JOIN (SELECT order_id, coalesce(max(matched_size), 0) AS filled_size, min(ts) FILTER (matched_size > 0) AS first_fill_ts,
     arg_min(matched_size, (ts, event_key)) FILTER (matched_size > 0) AS first_matched_size, max(requested_size) AS requested_size,
-    arg_max(exchange_status, (ts, event_key)) AS last_exchange_status FROM v_order_status GROUP BY 1) e USING (order_id)
+    arg_max(exchange_status, (ts, event_key, exchange_status)) AS last_exchange_status FROM v_order_status GROUP BY 1) e USING (order_id)
 """

@@ -28,7 +28,7 @@ def order_lifecycle(strategy_orders: DataFrame, status: DataFrame) -> DataFrame:
     polled = status.filter(F.col("order_id").isNotNull() & (F.col("order_id") != "")).groupBy("order_id").agg(
         F.coalesce(F.max("matched_size"), F.lit(0.0)).alias("filled_size"), F.min(F.when(filled, F.col("ts"))).alias("first_fill_ts"),
         F.min_by("matched_size", F.when(filled, F.struct("ts", "event_key"))).alias("first_matched_size"),
-        F.max("requested_size").alias("requested_size"), F.max_by("exchange_status", F.struct("ts", "event_key")).alias("last_exchange_status"))
+        F.max("requested_size").alias("requested_size"), F.max_by("exchange_status", F.struct("ts", "event_key", "exchange_status")).alias("last_exchange_status"))
     rows = placed.join(polled, "order_id", "left").select(
         "order_id", "_n.*", F.col("_p.ts").alias("placed_ts"), F.col("_p.price").alias("placed_price"), F.col("_p.size").alias("placed_size"),
         F.col("_p.tick_size").alias("tick_size"), F.col("_p.best_bid_price").alias("bid_at_place"), F.col("_p.best_ask_price").alias("ask_at_place"),
