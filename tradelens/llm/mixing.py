@@ -87,3 +87,22 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, see
     crossed = lambda upto: F.floor(upto.cast("double") * rate + F.lit(offset(seed)))
     copies = F.least(crossed(F.col("rank")) - crossed(F.col("rank") - 1), F.lit(most)).cast("bigint")
     return placed.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """The documents, all columns, each as often as the mix takes it; those taken 0 times are left out.
+
+    Rows are matched by id, source and size. Where several rows agree in these, their copies are dealt out among them in order of text hash.
+    """
+    key = {"_id": F.col(doc_id).cast("bigint"), "_source": F.col(source).cast("string"), "_size": word_count(F.col(text))}
+    taken = mix(docs, doc_id=doc_id, text=text, source=source, **how).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    taken = checkpointed(taken.filter("copies > 0").toDF("t_id", "t_source", "t_size", "copies", "rows"))
+    rows = docs.withColumns(key)
+    met = rows.join(taken, F.expr("_id <=> t_id AND _source <=> t_source AND _size = t_size"))
+    single = met.filter("rows = 1").withColumn("share", F.col("copies"))
+    out = single
+    if not taken.filter("rows > 1").isEmpty():
+        turn = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64(text)))
+        share = F.floor(F.col("copies") / F.col("rows")) + F.when(turn <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+        out = single.unionByName(met.filter("rows > 1").withColumn("share", share).filter("share > 0"))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("share")))).select(*docs.columns)
