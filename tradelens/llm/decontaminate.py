@@ -127,5 +127,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, all columns, without any benchmark window. Only the few hit keys are joined back."""
-    hit = decontaminate(docs, items, doc_id, text).filter("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(hit, docs[doc_id].cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_key")), "left_anti")
+    hit = decontaminate(docs, items, doc_id, text).filter("n_hit > 0").select("doc_id", "text_key").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key"))
+    return rows.alias("d").join(hit.alias("h"), F.expr("d.doc_id <=> h.doc_id AND d.text_key = h.text_key"), "left_anti").select("row.*")

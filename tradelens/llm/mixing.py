@@ -94,15 +94,14 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Rows are matched by id, source and size. Where several rows agree in these, their copies are dealt out among them in order of text hash.
     """
-    key = {"_id": F.col(doc_id).cast("bigint"), "_source": F.col(source).cast("string"), "_size": word_count(F.col(text))}
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"),
+                       word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("text_key"))  # the row is packed, so its names clash with none
     taken = mix(docs, doc_id=doc_id, text=text, source=source, **how).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    taken = checkpointed(taken.filter("copies > 0").toDF("t_id", "t_source", "t_size", "copies", "rows"))
-    rows = docs.withColumns(key)
-    met = rows.join(taken, F.expr("_id <=> t_id AND _source <=> t_source AND _size = t_size"))
-    single = met.filter("rows = 1").withColumn("share", F.col("copies"))
-    out = single
+    taken = checkpointed(taken.filter("copies > 0"))
+    met = rows.alias("d").join(taken.alias("t"), F.expr("d.doc_id <=> t.doc_id AND d.source <=> t.source AND d.size = t.size")).select("d.*", "t.copies", "t.rows")
+    out = met.filter("rows = 1").select("row", F.col("copies").alias("share"))
     if not taken.filter("rows > 1").isEmpty():
-        turn = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64(text)))
+        turn = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("text_key"))
         share = F.floor(F.col("copies") / F.col("rows")) + F.when(turn <= F.col("copies") % F.col("rows"), 1).otherwise(0)
-        out = single.unionByName(met.filter("rows > 1").withColumn("share", share).filter("share > 0"))
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("share")))).select(*docs.columns)
+        out = out.unionByName(met.filter("rows > 1").withColumn("share", share).filter("share > 0").select("row", "share"))
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("share")))).select("row.*")

@@ -232,9 +232,10 @@ def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """
     found = near_groups(docs, doc_id, text).groupBy("group_fp", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
     best = found.groupBy("group_fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n")).alias("s"))
-    stays = checkpointed(best.select(F.col("s.doc_id").alias("_id"), F.col("s.text_key").alias("_key"), F.col("s.n").alias("_n")))
-    kept = docs.join(stays, docs[doc_id].cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_key")))
-    if stays.filter("_n > 1").isEmpty():
-        return kept.select(docs["*"])
-    single, repeated = kept.filter("_n = 1").select(docs["*"]), kept.filter("_n > 1").select(docs["*"])
-    return single.unionByName(repeated.dropDuplicates([doc_id, text]))
+    stays = checkpointed(best.select("s.doc_id", "s.text_key", "s.n"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key"))
+    kept = rows.alias("d").join(stays.alias("s"), F.expr("d.doc_id <=> s.doc_id AND d.text_key = s.text_key")).select("d.*", "s.n")
+    if stays.filter("n > 1").isEmpty():
+        return kept.select("row.*")
+    # rows that repeat: any of them, as their id and text agree
+    return kept.filter("n = 1").select("row.*").unionByName(kept.filter("n > 1").dropDuplicates(["doc_id", "text_key"]).select("row.*"))
