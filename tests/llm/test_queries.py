@@ -1,0 +1,66 @@
+"""Queries over whole small tables: brute force, held-out accuracy, the pipeline stage by stage."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from tradelens.llm.common import table
+from test_operators import plain_components, plain_fingerprint, plain_hits
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    return {r["doc_id"]: r for r in table(spark, SF, "documents").collect()}
+
+
+def test_each_operator_has_one_query():
+    names = entry.queries()
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+
+
+def test_simhash_query_equals_all_pairs(spark, rows):
+    codes = {i: plain_fingerprint(r["text"]) for i, r in rows.items()}
+    root, least = plain_components(codes.values()), {}
+    for i, c in codes.items():
+        least[root[c]] = min(i, least.get(root[c], i))
+    found = entry.queries()["op5_simhash_dedup"](spark, SF).collect()
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in found} == {i: (f"{c:016x}", least[root[c]]) for i, c in codes.items()}
+
+
+def test_held_out_scores(spark):
+    labels = table(spark, SF, "labels")
+    toxic = entry.queries()["op2_toxicity"](spark, SF).join(labels, "doc_id").filter("held_out")
+    clean = toxic.filter("toxic = 0").agg(F.avg("predicted")).first()[0]
+    caught = toxic.filter("toxic = 1").agg(F.avg("predicted")).first()[0]
+    assert clean <= 0.03 and caught >= 0.6
+    good = entry.queries()["op10_quality"](spark, SF).join(labels, "doc_id").filter("held_out")
+    assert good.filter("(predicted = 1) = (quality = 1)").count() >= 0.95 * good.count()
+    lang = entry.queries()["op4_language_id"](spark, SF).join(table(spark, SF, "documents").select("doc_id", "lang"), "doc_id").filter("held_out")
+    assert lang.filter("lang = lang_pred").count() >= 0.97 * lang.count()
+
+
+def test_pipeline_stages(spark, rows):
+    """Each stage keeps the columns, takes from its input alone, and decides as its operator does."""
+    docs = table(spark, SF, "documents")
+    (_, toxic), (_, near), (_, bench), (_, mix), (_, shard) = corpus_pipeline.STAGES
+    kept = toxic(spark, docs, SF).cache()
+    labels = table(spark, SF, "labels")
+    assert kept.columns == docs.columns and kept.join(labels.filter("toxic = 0"), "doc_id").count() >= 0.98 * docs.join(labels.filter("toxic = 0"), "doc_id").count()
+    one = near(spark, kept, SF).cache()
+    codes = {r["doc_id"]: plain_fingerprint(r["text"]) for r in kept.collect()}
+    root, least = plain_components(codes.values()), {}
+    for i, c in codes.items():
+        least[root[c]] = min(i, least.get(root[c], i))
+    assert sorted(r["doc_id"] for r in one.collect()) == sorted(least.values())
+    clean = bench(spark, one, SF).cache()
+    items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()]
+    hits = plain_hits([(r["doc_id"], r["text"]) for r in one.collect()], items)
+    assert sorted(r["doc_id"] for r in clean.collect()) == sorted(i for i, _, hit, _ in hits if not hit)
+    mixed = mix(spark, clean, SF).cache()
+    assert mixed.columns == docs.columns and mixed.join(clean.select("doc_id"), "doc_id", "left_anti").count() == 0
+    last = shard(spark, mixed, SF)
+    assert last.columns == [*docs.columns, "shard"] and last.count() == mixed.count() and last.filter("shard NOT BETWEEN 0 AND 7").count() == 0
+
