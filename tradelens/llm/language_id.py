@@ -63,7 +63,11 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 300, doc_id: str = "
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang")).filter(learn & F.col("lang").isNotNull())
-    drawn = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id"))).filter(F.col("n") <= per_language)
+    # the smallest hashes of each of 64 parts of a language first, then of these, so that no task reads a whole language
+    by_hash = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("draw", "doc_id"))
+    drawn = rows.withColumn("draw", F.xxhash64("doc_id", F.lit(3))).withColumn("part", F.pmod("draw", F.lit(64)))
+    drawn = drawn.withColumn("n", by_hash("lang", "part")).filter(F.col("n") <= per_language)
+    drawn = drawn.withColumn("n", by_hash("lang")).filter(F.col("n") <= per_language)
     ids = drawn.select("doc_id", "lang").distinct()  # at most per_language rows a language
     sample = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("text").rlike(r"\p{L}")).join(
         F.broadcast(ids), ["doc_id", "lang"])
