@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tradelens.operators.ordering import top_per
 from tradelens.catalog.registry import query
 from tradelens.catalog.tables import Tables
 from tradelens.functions import columns as C
@@ -32,7 +33,8 @@ def side_outcome_breakdown(t: Tables):
 
 
 @query("top_markets", """
-SELECT market_slug AS slug, max(title) AS title, count(*) AS trades FROM v_trades GROUP BY market_slug ORDER BY trades DESC, slug LIMIT 20""")
+SELECT username, market_slug AS slug, max(title) AS title, count(*) AS trades FROM v_trades GROUP BY username, market_slug
+QUALIFY row_number() OVER (PARTITION BY username ORDER BY count(*) DESC, market_slug) <= 20""")
 def top_markets(t: Tables):
     return reports.top_markets(t.trades())
 
@@ -72,20 +74,20 @@ def timing_quantiles_by_outcome(t: Tables):
     return rounded(reports.timing_quantiles(reports.with_timing(t.trades(), high=900), ["username", "outcome"]))
 
 
-@query("timing_quantiles_by_market", _quantile_sql("market_slug", high=900))
+@query("timing_quantiles_by_market", _quantile_sql("username, market_slug", high=900))
 def timing_quantiles_by_market(t: Tables):
-    return rounded(reports.timing_quantiles(reports.with_timing(t.trades(), high=900), ["market_slug"]))
+    return rounded(reports.timing_quantiles(reports.with_timing(t.trades(), high=900), ["username", "market_slug"]))
 
 
 @query("timing_quantiles_daily", f"""WITH {_TIMED},
-ranked AS (SELECT *, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE), asset ORDER BY seconds_to_end) - 1 AS i,
-  count(*) OVER (PARTITION BY CAST(ts AS DATE), asset) AS n FROM timed WHERE asset <> '' AND seconds_to_end BETWEEN 0 AND 900)
-SELECT day, asset, count(*) AS trades, r6(avg(seconds_to_end)) AS avg_seconds_to_end,
-  max(CASE WHEN i = least(floor(0.5::DOUBLE*n), n - 1) THEN seconds_to_end END) AS p50_seconds_to_end FROM ranked GROUP BY day, asset""")
+ranked AS (SELECT *, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY username, CAST(ts AS DATE), asset ORDER BY seconds_to_end) - 1 AS i,
+  count(*) OVER (PARTITION BY username, CAST(ts AS DATE), asset) AS n FROM timed WHERE asset <> '' AND seconds_to_end BETWEEN 0 AND 900)
+SELECT username, day, asset, count(*) AS trades, r6(avg(seconds_to_end)) AS avg_seconds_to_end,
+  max(CASE WHEN i = least(floor(0.5::DOUBLE*n), n - 1) THEN seconds_to_end END) AS p50_seconds_to_end FROM ranked GROUP BY username, day, asset""")
 def timing_quantiles_daily(t: Tables):
     timed = reports.with_timing(t.trades(), 0, 900).filter("asset != ''").withColumn("day", F.to_date("ts"))
-    return rounded(reports.timing_quantiles(timed, ["day", "asset"])).select(
-        "day", "asset", "trades", "avg_seconds_to_end", "p50_seconds_to_end")
+    return rounded(reports.timing_quantiles(timed, ["username", "day", "asset"])).select(
+        "username", "day", "asset", "trades", "avg_seconds_to_end", "p50_seconds_to_end")
 
 
 @query("timing_buckets", f"""WITH {_TIMED}
@@ -130,12 +132,12 @@ def complete_set_stats(t: Tables):
 @query("complete_set_markets", f"""WITH {_sets("username, market_slug", False)}
 SELECT username, market_slug, title, r6(up_shares) AS up_shares, r6(down_shares) AS down_shares, r6(matched_shares) AS matched_shares,
   r6(up_p) AS avg_up_price, r6(down_p) AS avg_down_price, r6(edge_per_share) AS edge_per_share, r6(edge_pnl) AS edge_pnl FROM sets
-ORDER BY sets.matched_shares DESC, username, market_slug LIMIT 200""")
+QUALIFY row_number() OVER (PARTITION BY username ORDER BY sets.matched_shares DESC, market_slug) <= 200""")
 def complete_set_markets(t: Tables):
     cols = ["username", "market_slug", "title", "up_shares", "down_shares", "matched_shares", "avg_up_price", "avg_down_price",
             "edge_per_share", "edge_pnl"]
     sets = positions.both_sides(t.trades(), ["username", "market_slug"])
-    return rounded(sets.orderBy(F.desc("matched_shares"), "username", "market_slug").limit(200).select(*cols))
+    return rounded(top_per(sets, ["username"], [F.desc("matched_shares"), F.asc("market_slug")], 200).select(*cols))
 
 
 @query("complete_sets_by_market", f"""WITH {_sets("username, market_slug", True)}
@@ -226,15 +228,15 @@ def execution_quality(t: Tables):
 
 @query("execution_report", """
 WITH k AS (SELECT *, 2*abs(price - mid) AS eff FROM v_research WHERE tob_known AND mid > 0 AND spread > 0),
-m AS (SELECT 'ALL' AS scope, 'spread' AS measure, round(spread, 6) AS v FROM k
-  UNION ALL SELECT 'ALL', 'tob_lag', CAST(tob_lag_millis AS DOUBLE) FROM k
-  UNION ALL SELECT side, 'edge', round(CASE side WHEN 'BUY' THEN mid - price ELSE price - mid END, 6) FROM k
-  UNION ALL SELECT side, 'eff_spread', round(eff, 6) FROM k
-  UNION ALL SELECT side, 'eff_ratio', round(eff/spread, 6) FROM k),
-r AS (SELECT *, row_number() OVER (PARTITION BY scope, measure ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY scope, measure) AS c FROM m)
-SELECT scope, measure, count(*) AS n, r6(avg(v)) AS avg_value, r6(min(v)) AS min_value, r6(max(v)) AS max_value,
+m AS (SELECT username, 'ALL' AS scope, 'spread' AS measure, round(spread, 6) AS v FROM k
+  UNION ALL SELECT username, 'ALL', 'tob_lag', CAST(tob_lag_millis AS DOUBLE) FROM k
+  UNION ALL SELECT username, side, 'edge', round(CASE side WHEN 'BUY' THEN mid - price ELSE price - mid END, 6) FROM k
+  UNION ALL SELECT username, side, 'eff_spread', round(eff, 6) FROM k
+  UNION ALL SELECT username, side, 'eff_ratio', round(eff/spread, 6) FROM k),
+r AS (SELECT *, row_number() OVER (PARTITION BY username, scope, measure ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY username, scope, measure) AS c FROM m)
+SELECT username, scope, measure, count(*) AS n, r6(avg(v)) AS avg_value, r6(min(v)) AS min_value, r6(max(v)) AS max_value,
   r6(max(CASE WHEN i = floor(0.1::DOUBLE*c) THEN v END)) AS p10, r6(max(CASE WHEN i = floor(0.5::DOUBLE*c) THEN v END)) AS p50,
-  r6(max(CASE WHEN i = floor(0.9::DOUBLE*c) THEN v END)) AS p90 FROM r GROUP BY scope, measure""")
+  r6(max(CASE WHEN i = floor(0.9::DOUBLE*c) THEN v END)) AS p90 FROM r GROUP BY username, scope, measure""")
 def execution_report(t: Tables):
     return rounded(reports.execution_report(t.enriched()))
 
@@ -327,7 +329,7 @@ _TOKEN_COLS = ["username", "market_slug", "token_id", "outcome", "trades", "net_
 def _token_sql(where: str, order: str) -> str:
     return f"""WITH {_SETTLED} SELECT username, market_slug, token_id, outcome, trades, r6(net_shares) AS net_shares, r6(net_cost_usd) AS net_cost_usd,
   latest_tob_at, r6(mid) AS mid, is_resolved, r6(settle_price) AS settle_price, r6(realized_pnl_usd) AS realized_pnl_usd, r6(mtm_pnl_usd) AS mtm_pnl_usd
-FROM settled WHERE {where} ORDER BY {order} DESC NULLS LAST, username, market_slug, token_id LIMIT 200"""
+FROM settled WHERE {where} QUALIFY row_number() OVER (PARTITION BY username ORDER BY {order} DESC NULLS LAST, market_slug, token_id) <= 200"""
 
 
 @query("token_positions_open", _token_sql("net_shares <> 0 AND NOT is_resolved", "round(abs(settled.net_cost_usd), 6)"))
@@ -352,7 +354,8 @@ def market_positions(t: Tables):
 
 
 @query("market_positions_top", f"""WITH {_SETTLED} SELECT username, market_slug, r6(sum(realized_pnl_usd)) AS realized_pnl_usd, count(*) AS token_positions
-FROM settled WHERE is_resolved GROUP BY username, market_slug ORDER BY round(sum(settled.realized_pnl_usd), 6) DESC, username, market_slug LIMIT 200""")
+FROM settled WHERE is_resolved GROUP BY username, market_slug
+QUALIFY row_number() OVER (PARTITION BY username ORDER BY round(sum(settled.realized_pnl_usd), 6) DESC NULLS LAST, market_slug) <= 200""")
 def market_positions_top(t: Tables):
     rolled = positions.market_positions(_settled(t)).withColumn("realized_pnl_usd", F.round("realized_pnl_usd", 6))
     return rounded(positions.top_market_positions(rolled, "RESOLVED").select(

@@ -359,7 +359,7 @@ def edge_persistence(t: Tables):
 # ---- integrity -------------------------------------------------------------------------------
 
 _REG = """reg AS (SELECT username, count(*) AS intervals, avg(gap) AS avg_interval_ms, coalesce(stddev_pop(gap)/nullif(avg(gap), 0), 0) AS cv FROM (SELECT username, row_number() OVER w AS rn,
-  CAST(epoch_ms(ts) - epoch_ms(lag(ts) OVER w) AS BIGINT) AS gap FROM v_trades WINDOW w AS (PARTITION BY username ORDER BY ts, event_key)) WHERE rn <= 1000 AND gap > 0 GROUP BY 1 HAVING count(*) >= 10)"""
+  CAST(epoch_ms(ts) - epoch_ms(lag(ts) OVER w) AS BIGINT) AS gap FROM v_trades WINDOW w AS (PARTITION BY username ORDER BY ts, event_key)) WHERE gap > 0 GROUP BY 1 HAVING count(*) >= 10)"""
 _STREAK = """runs AS (SELECT username, won, g, count(*) AS len FROM (SELECT username, won, rn - row_number() OVER (PARTITION BY username, won ORDER BY rn) AS g FROM (SELECT username, realized_pnl > 0 AS won,
   row_number() OVER (PARTITION BY username ORDER BY ts, event_key) AS rn FROM v_enriched WHERE realized_pnl IS NOT NULL)) GROUP BY ALL),
 sk AS (SELECT username, coalesce(max(len) FILTER (won), 0) AS max_win_streak, coalesce(max(len) FILTER (NOT won), 0) AS max_loss_streak FROM runs GROUP BY 1)"""

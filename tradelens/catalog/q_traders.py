@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tradelens.operators.ordering import ranked
 from tradelens.catalog.q_reports import rounded
 from tradelens.catalog.registry import query
 from tradelens.catalog.tables import Tables, as_of
@@ -110,8 +111,7 @@ _INDICATORS = """ind AS (SELECT proxy_address, count(*) FILTER (outcomes >= 2)/c
 
 
 @query("trader_metrics", f"""WITH {_METRICS} SELECT proxy_address, username, total_trades, r6(total_volume_usd) AS total_volume_usd, unique_markets, first_trade_at,
-  last_trade_at, days_active, buy_count, sell_count, r6(avg_trade_size) AS avg_trade_size, r6(avg_price) AS avg_price, r6(total_pnl) AS total_pnl FROM met
-ORDER BY met.total_volume_usd DESC, proxy_address LIMIT 10000""")
+  last_trade_at, days_active, buy_count, sell_count, r6(avg_trade_size) AS avg_trade_size, r6(avg_price) AS avg_price, r6(total_pnl) AS total_pnl FROM met""")
 def trader_metrics(t: Tables):
     return rounded(traders.trader_metrics(t.trades(), _pnl(t)))
 
@@ -171,11 +171,10 @@ def score_tier(t: Tables):
     return _scored(t).groupBy("tier", "data_quality").agg(F.count(F.lit(1)).alias("traders"))
 
 
-@query("score_rank", """SELECT proxy_address, total_score, CAST(row_number() OVER (ORDER BY total_score DESC, proxy_address) AS INTEGER) AS rank FROM v_scores
-ORDER BY total_score DESC, proxy_address LIMIT 10000""")
+@query("score_rank", """SELECT proxy_address, total_score, row_number() OVER (ORDER BY total_score DESC, proxy_address) AS rank FROM v_scores""")
 def score_rank(t: Tables):
     rows = t.scores().select("proxy_address", "total_score")
-    return scoring.ranked_top(rows, [F.desc("total_score"), F.asc("proxy_address")], 10_000)
+    return ranked(rows, "total_score", "proxy_address")
 
 
 @query("daily_sharpe", f"""WITH {_POS}, d AS (SELECT proxy_address, CAST(resolution_time AS DATE) AS d, max(username) AS username, sum(realized_pnl) AS pnl FROM pp
@@ -309,11 +308,11 @@ def index_rebalance_diff(t: Tables):
     return scoring.index_rebalance_diff(members(old), members(t.scores()))
 
 
-@query("index_rank", f"""WITH {_ELIGIBLE} SELECT proxy_address, r6(w) AS weight, CAST(row_number() OVER (ORDER BY w DESC, proxy_address) AS INTEGER) AS index_rank
-FROM (SELECT *, total_score/100.0::DOUBLE AS w FROM el WHERE total_score >= 60)""")
+@query("index_rank", f"""WITH {_ELIGIBLE} SELECT proxy_address, r6(w) AS weight, row_number() OVER (ORDER BY w DESC, proxy_address) AS index_rank
+FROM (SELECT *, total_score/100.0::DOUBLE AS w FROM el)""")
 def index_rank(t: Tables):
-    rows = eligible(t).filter("total_score >= 60").select("proxy_address", (F.col("total_score") / F.lit(100.0)).alias("weight"))
-    return rounded(scoring.ranked_top(rows, [F.desc("weight"), F.asc("proxy_address")], 10_000, "index_rank"))
+    rows = eligible(t).select("proxy_address", (F.col("total_score") / F.lit(100.0)).alias("weight"))
+    return rounded(ranked(rows, "weight", "proxy_address", "index_rank"))
 
 
 # ---- categories ------------------------------------------------------------------------------

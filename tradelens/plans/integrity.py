@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradelens.functions.numeric import count_if, div
@@ -11,16 +11,11 @@ from tradelens.operators.scan import ordered_scan, time_segment
 STATUS_IMPACT = 100.0
 
 
-def interval_regularity(trades: DataFrame, first: int = 1000, min_intervals: int = 10) -> DataFrame:
-    """Mean and coefficient of variation of the gaps between a trader's first trades.
-
-    Only the first ``first`` trades count, by definition of the check; the rank filter keeps at most
-    that many rows per trader and map task before the shuffle.
-    """
-    order = Window.partitionBy("username").orderBy("ts", "event_key")
-    head = trades.select("username", "ts", "event_key").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= first)
-    gap = F.unix_millis("ts") - F.unix_millis(F.lag("ts").over(order))
-    gaps = head.withColumn("gap", gap).filter("gap > 0")
+def interval_regularity(trades: DataFrame, min_intervals: int = 10, segment_seconds: int = 3600) -> DataFrame:
+    """Mean and coefficient of variation of the gaps between all of a trader's trades, found segment by segment."""
+    scan = ordered_scan(trades.select("username", "ts", "event_key"), ["username"], time_segment("ts", segment_seconds), ["ts", "event_key"],
+                        previous={"before": F.unix_millis("ts")})
+    gaps = scan.withColumn("gap", F.unix_millis("ts") - F.col("before")).filter("gap > 0")
     stats = gaps.groupBy("username").agg(
         F.count(F.lit(1)).alias("intervals"), F.avg("gap").alias("avg_interval_ms"), F.stddev_pop("gap").alias("_sd"))
     return stats.filter(F.col("intervals") >= min_intervals).withColumn("cv", F.coalesce(div("_sd", "avg_interval_ms"), F.lit(0.0))).withColumn(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tradelens.functions import columns as C
 from tradelens.functions.numeric import above_zero, count_if, div, div0, int_div, seconds_between, sum_if
 from tradelens.operators.latest import latest_per_key
+from tradelens.operators.ordering import top_per
 from tradelens.operators.scan import ordered_scan, time_segment
 
 UP_NAMES = ("Up", "Yes")
@@ -96,12 +97,12 @@ STATES = {
 
 
 def token_positions(settled: DataFrame, state: str = "ALL", limit: int = 200) -> DataFrame:
-    """Top positions of a state; an open position must still hold shares."""
+    """Each user's top positions of a state; an open position must still hold shares."""
     where, order = STATES[state]
     rows = settled.filter(where)
     if state == "OPEN":
         rows = rows.filter("net_shares != 0")
-    return rows.orderBy(F.expr(order).desc_nulls_last(), "username", "market_slug", "token_id").limit(limit)
+    return top_per(rows, ["username"], [F.expr(order).desc_nulls_last(), F.asc("market_slug"), F.asc("token_id")], limit)
 
 
 def market_positions(settled: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def market_positions(settled: DataFrame) -> DataFrame:
 
 def top_market_positions(rolled: DataFrame, state: str = "ALL", limit: int = 200) -> DataFrame:
     where, order = STATES[state]
-    return rolled.filter(where).orderBy(F.expr(order).desc_nulls_last(), "username", "market_slug").limit(limit)
+    return top_per(rolled.filter(where), ["username"], [F.expr(order).desc_nulls_last(), F.asc("market_slug")], limit)
 
 
 def asset_roi(settled: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tradelens.functions import columns as C
 from tradelens.functions.numeric import (avg_if, count_if, div, div0, int_div, max_if, seconds_between, sum_if)
+from tradelens.operators.ordering import top_per
 from tradelens.operators.quantiles import exact_quantiles
 from tradelens.operators.scan import ordered_scan, time_segment
 
@@ -31,9 +32,9 @@ def breakdown(trades: DataFrame, dims: Sequence[str]) -> DataFrame:
 
 
 def top_markets(trades: DataFrame, limit: int = 20) -> DataFrame:
-    """Markets by number of trades."""
-    return trades.groupBy(F.col("market_slug").alias("slug")).agg(
-        F.max("title").alias("title"), F.count(F.lit(1)).alias("trades")).orderBy(F.desc("trades"), "slug").limit(limit)
+    """Each user's markets by number of trades."""
+    per = trades.groupBy("username", F.col("market_slug").alias("slug")).agg(F.max("title").alias("title"), F.count(F.lit(1)).alias("trades"))
+    return top_per(per, ["username"], [F.desc("trades"), F.asc("slug")], limit)
 
 
 # ---- timing ----------------------------------------------------------------------------------
@@ -110,7 +111,7 @@ MEASURES = ("spread", "tob_lag", "edge", "eff_spread", "eff_ratio")
 
 
 def execution_report(enriched: DataFrame) -> DataFrame:
-    """Distribution of five execution measures, one row per (side or ALL, measure).
+    """Distribution of five execution measures, one row per (user, side or ALL, measure).
 
     The measures are unpivoted so one exact-quantile pass serves all of them.
     """
@@ -121,11 +122,11 @@ def execution_report(enriched: DataFrame) -> DataFrame:
     item = lambda scope, name, v: F.struct(
         scope.alias("scope"), F.lit(name).alias("measure"), F.round(v.cast("double"), 6).alias("value"))
     every, side = F.lit("ALL"), F.col("side")
-    long = enriched.filter(known).select(F.explode(F.array(
+    long = enriched.filter(known).select("username", F.explode(F.array(
         item(every, "spread", F.col("spread")), item(every, "tob_lag", lag),
         item(side, "edge", F.when(side == "BUY", gap).otherwise(-gap)), item(side, "eff_spread", eff),
-        item(side, "eff_ratio", div(eff, "spread")))).alias("m")).select("m.*")
-    keys = ["scope", "measure"]
+        item(side, "eff_ratio", div(eff, "spread")))).alias("m")).select("username", "m.*")
+    keys = ["username", "scope", "measure"]
     basic = long.groupBy(*keys).agg(
         F.count("value").alias("n"), F.avg("value").alias("avg_value"), F.min("value").alias("min_value"),
         F.max("value").alias("max_value"))

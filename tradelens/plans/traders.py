@@ -110,8 +110,8 @@ def resolution_stats(markets: DataFrame, resolved: Column, winner: Column) -> Da
         count_if(winner.isin("Yes", "Up")).alias("yes_winners"), count_if(winner.isin("No", "Down")).alias("no_winners"))
 
 
-def trader_metrics(trades: DataFrame, pnl: DataFrame, min_trades: int = 10, limit: int | None = 10_000) -> DataFrame:
-    """One row per trader with enough trades, largest volume first."""
+def trader_metrics(trades: DataFrame, pnl: DataFrame, min_trades: int = 10, limit: int | None = None) -> DataFrame:
+    """One row per trader with enough trades; with a limit, those of the largest volume."""
     grouped = trades.groupBy(TRADER, "username").agg(
         F.count(F.lit(1)).alias("total_trades"), F.sum("notional").alias("total_volume_usd"),
         F.count_distinct("market_slug").alias("unique_markets"),
@@ -265,7 +265,7 @@ def classify_markets(markets: DataFrame, patterns: dict[str, Sequence[str]], kno
                      text: Column | None = None) -> DataFrame:
     """Category with most pattern hits per distinct, not yet classified market; the first wins ties.
 
-    Confidence grows by a quarter per hit; up to five matched patterns are kept.
+    Confidence grows by a quarter per hit; all matched patterns are kept.
     """
     slugs = markets.select("market_slug").distinct()
     if known is not None:
@@ -283,7 +283,7 @@ def classify_markets(markets: DataFrame, patterns: dict[str, Sequence[str]], kno
     return staged.select(
         "market_slug", F.col("_b.category").alias("category"),
         F.least(F.lit(1.0), F.size("_b.hits") * F.lit(0.25)).alias("confidence"),
-        F.array_join(F.slice("_b.hits", 1, 5), ",").alias("matched_patterns"))
+        F.array_join("_b.hits", ",").alias("matched_patterns"))
 
 
 # ---- misc ------------------------------------------------------------------------------------
