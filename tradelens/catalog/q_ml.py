@@ -377,9 +377,13 @@ def mirror_sizing(t: Tables):
     return out.select("event_key", rnd("fund_shares", 2).alias("fund_shares"), rnd("limit_price", 4).alias("limit_price"))
 
 
-@query("signal_filter_caps", """WITH s AS (SELECT event_key AS signal_id, CAST(outcome_index AS VARCHAR) AS fund_type, ts AS detected_at, notional, price AS confidence, 0.4 AS strength FROM v_trades WHERE price >= 0.5),
-n AS (SELECT *, CAST(detected_at AS DATE) AS day, row_number() OVER (PARTITION BY fund_type, CAST(detected_at AS DATE) ORDER BY detected_at, signal_id) AS nth FROM s)
-SELECT signal_id, fund_type, CAST(nth AS INTEGER) AS nth, r6(sum(notional) OVER (PARTITION BY fund_type, day ORDER BY nth)) AS day_notional, round(sum(notional) OVER (PARTITION BY fund_type, day ORDER BY nth), 6) <= 60 AS accepted FROM n WHERE nth <= 5""")
+@query("signal_filter_caps", """WITH RECURSIVE s AS (SELECT event_key AS signal_id, CAST(outcome_index AS VARCHAR) AS fund_type, CAST(ts AS DATE) AS day, notional,
+  row_number() OVER (PARTITION BY outcome_index, CAST(ts AS DATE) ORDER BY ts, event_key) AS rn FROM v_trades WHERE price >= 0.5),
+f AS (SELECT signal_id, fund_type, day, rn, CAST(round(notional, 6) <= 60 AS BIGINT) AS nth, CASE WHEN round(notional, 6) <= 60 THEN notional ELSE 0 END AS used, round(notional, 6) <= 60 AS accepted FROM s WHERE rn = 1
+  UNION ALL SELECT s.signal_id, s.fund_type, s.day, s.rn, f.nth + CAST(f.nth < 5 AND round(f.used + s.notional, 6) <= 60 AS BIGINT),
+    f.used + CASE WHEN f.nth < 5 AND round(f.used + s.notional, 6) <= 60 THEN s.notional ELSE 0 END, f.nth < 5 AND round(f.used + s.notional, 6) <= 60
+  FROM f JOIN s ON s.fund_type = f.fund_type AND s.day = f.day AND s.rn = f.rn + 1)
+SELECT signal_id, fund_type, nth, r6(used) AS day_notional, accepted FROM f""")
 def signal_filter_caps(t: Tables):
     s = t.trades().select(F.col("event_key").alias("signal_id"), F.col("outcome_index").cast("string").alias("fund_type"), F.col("ts").alias("detected_at"), "notional",
                           F.col("price").alias("confidence"), F.lit(0.4).alias("strength"), F.col("side").alias("action"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelens.functions.numeric import div
+from tradelens.operators.fold import fold_rows
 from tradelens.plans.traders import TRADER
 
 
@@ -139,16 +140,23 @@ def mirror_sizing(signals: DataFrame, fund_capital: float = 10_000, max_position
 
 
 def capped_signals(signals: DataFrame, max_trades: int, max_notional: float, min_confidence: float = 0.5, min_strength: float = 0.3) -> DataFrame:
-    """Signals that pass the filters, cut to the first ``max_trades`` and the notional cap of each fund and day.
+    """Signals that pass the filters, each accepted or refused by the caps of its fund and day.
 
-    The rank filter keeps at most ``max_trades`` rows per (fund, day) and map task, so the running
-    notional is windowed over few rows whatever the number of signals.
+    Only accepted signals use the caps up: ``nth`` and ``day_notional`` count what is accepted so far. A signal is refused when the day has
+    ``max_trades`` already or its notional would exceed ``max_notional``. The decision depends on the order, so the rows of
+    a fund and day are streamed in order through one task.
     """
     ok = signals.filter((F.col("confidence") >= min_confidence) & (F.col("strength") >= min_strength) & (F.col("action") != "HOLD"))
-    order = Window.partitionBy("fund_type", "day").orderBy("detected_at", "signal_id")
-    head = ok.withColumn("day", F.to_date("detected_at")).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= max_trades)
-    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return head.withColumn("day_notional", F.sum("notional").over(run)).withColumn("accepted", F.round("day_notional", 6) <= max_notional)
+
+    def decide(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        n, used = state
+        after = used + row[0] if row[0] is not None else None
+        accepted = after is not None and n < max_trades and round(after, 6) <= max_notional
+        state = (n + 1, after) if accepted else state
+        return state, (*state, accepted)
+
+    return fold_rows(ok.withColumn("day", F.to_date("detected_at")), ["fund_type", "day"], ["detected_at", "signal_id"], ["notional"],
+                     {"nth": "bigint", "day_notional": "double", "accepted": "boolean"}, (0, 0.0), decide)
 
 
 def decay_confidence(drop: Column) -> Column:

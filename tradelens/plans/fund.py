@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelens.functions.numeric import div
+from tradelens.operators.fold import fold_rows
 from tradelens.operators.scan import ordered_scan, time_segment
 from tradelens.session import checkpointed
 
@@ -92,39 +93,50 @@ def share_balances(transactions: DataFrame) -> DataFrame:
         F.min("ts").alias("first_deposit_at"), F.max("ts").alias("last_activity_at"))
 
 
-def fold_cost_basis(flows: DataFrame, keys: Sequence[str], quantity: Column, cost: Column, order: Sequence[str] = ("ts", "tx_id")) -> DataFrame:
+def _affine(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+    """Compose cost -> m * cost + b with what came before it in the segment: (product, cost of a start at 0)."""
+    product, cost = state
+    m, b = row
+    state = (product * m, cost * m + b)
+    return state, state
+
+
+def fold_cost_basis(flows: DataFrame, keys: Sequence[str], quantity: Column, cost: Column, order: Sequence[str] = ("ts", "tx_id"),
+                    segment_seconds: int = 3600) -> DataFrame:
     """Fold signed quantities into a balance that never falls below zero and its proportional cost.
 
-    An outflow shrinks the cost by the same share as the balance. Both recurrences have closed forms
-    over prefix sums, so the fold is a chain of ordered scans and a hot ledger is cut into segments:
-    the balance is the running sum lifted by its lowest point below zero; the cost is a running sum
-    of inflows, each scaled by the product of the shrink factors that followed it, restarted whenever
-    the balance reaches zero. A checkpoint after each scan keeps the work linear.
+    An outflow shrinks the cost by the same share as the balance. The balance is the running sum lifted by its
+    lowest point below zero, two segmented scans. The cost after a row is m * cost + b of the cost before; such maps
+    compose, so every segment of a ledger is folded alone, the segments' maps are chained, and the cost at the start of a segment completes
+    its rows. Nothing is divided by a product of shares, so ledgers may be as long as they like.
 
     Adds ``balance``, ``cost_basis``, ``balance_before`` and ``cost_before``.
     """
-    keys, order, seg = list(keys), list(order), time_segment("ts")
-    base = checkpointed(flows.withColumns({"_q": quantity.cast("double"), "_c": cost.cast("double")}))
-    summed = checkpointed(ordered_scan(base, keys, seg, order, sums={"_p": F.col("_q")}))
+    keys, order, seg = list(keys), list(order), time_segment("ts", segment_seconds)
+    base = flows.withColumns({"_q": quantity.cast("double"), "_c": cost.cast("double")})
+    summed = ordered_scan(base, keys, seg, order, sums={"_p": F.col("_q")})
     lifted = ordered_scan(summed, keys, seg, order, maxes={"_low": -F.col("_p")}).withColumn(
         "balance", F.round(F.col("_p") + F.greatest(F.lit(0.0), "_low"), 9))
     lifted = checkpointed(lifted)
-    with_before = ordered_scan(
-        lifted, keys, seg, order, previous={"balance_before": F.col("balance")}, sums={"_zeros": F.when(F.col("balance") == 0, 1).otherwise(0)})
-    with_before = with_before.withColumn("balance_before", F.coalesce("balance_before", F.lit(0.0)))
+    staged = ordered_scan(lifted, keys, seg, order, previous={"balance_before": F.col("balance")}).withColumn(
+        "balance_before", F.coalesce("balance_before", F.lit(0.0)))
     shrink = F.when(F.col("_q") < 0, F.coalesce(div("balance", "balance_before"), F.lit(0.0))).otherwise(F.lit(1.0))
-    staged = with_before.withColumns({
-        "_epoch": F.col("_zeros") - F.when(F.col("balance") == 0, 1).otherwise(0),
-        "_m": shrink, "_b": F.when(F.col("_q") > 0, F.col("_c")).otherwise(0.0)})
-    staged = checkpointed(staged)
-    epochs = [*keys, "_epoch"]
-    scaled = checkpointed(ordered_scan(staged, epochs, seg, order, sums={"_lm": F.when(F.col("_m") > 0, F.ln("_m")).otherwise(0.0)}))
-    costed = ordered_scan(scaled, epochs, seg, order, sums={"_k": F.col("_b") / F.exp("_lm")}).withColumn(
-        "cost_basis", F.when(F.col("balance") == 0, 0.0).otherwise(F.exp("_lm") * F.col("_k")))
-    costed = checkpointed(costed)
-    out = ordered_scan(costed, keys, seg, order, previous={"cost_before": F.col("cost_basis")}).withColumn(
-        "cost_before", F.coalesce("cost_before", F.lit(0.0)))
-    return out.drop("_q", "_c", "_p", "_low", "_zeros", "_epoch", "_m", "_b", "_lm", "_k")
+    empty = F.coalesce(F.col("balance") == 0, F.lit(False))
+    staged = staged.withColumns({"_seg": seg, "_m": F.when(empty, 0.0).otherwise(shrink),
+                                 "_b": F.when(~empty & (F.col("_q") > 0), F.coalesce("_c", F.lit(0.0))).otherwise(0.0)})
+    parts = [*keys, "_seg"]
+    local = checkpointed(fold_rows(staged, parts, order, ["_m", "_b"], {"_product": "double", "_from_zero": "double"}, (1.0, 0.0), _affine))
+    ends = local.groupBy(*parts).agg(F.max_by(F.struct("_product", "_from_zero"), F.struct(*order)).alias("_end")).select(
+        *parts, F.col("_end._product").alias("_em"), F.col("_end._from_zero").alias("_eb"))
+    chained = fold_rows(ends, keys, ["_seg"], ["_em", "_eb"], {"_whole": "double", "_cost_end": "double"}, (1.0, 0.0), _affine)
+    starts = chained.select(*parts, F.lag("_cost_end", 1, 0.0).over(Window.partitionBy(*keys).orderBy("_seg")).alias("_start"))
+    match = " AND ".join(f"l.{k} <=> s.{k}" for k in parts)
+    rows = local.alias("l").join(starts.alias("s"), F.expr(match)).select("l.*", "s._start")
+    start, inside = F.col("_start"), Window.partitionBy(*parts).orderBy(*order)
+    rows = rows.withColumns({"cost_basis": F.col("_product") * start + F.col("_from_zero"),
+                             "_lp": F.lag("_product", 1, 1.0).over(inside), "_lc": F.lag("_from_zero", 1, 0.0).over(inside)})
+    return rows.withColumn("cost_before", F.col("_lp") * start + F.col("_lc")).drop(
+        "_q", "_c", "_p", "_low", "_seg", "_m", "_b", "_product", "_from_zero", "_start", "_lp", "_lc")
 
 
 def share_ledger(transactions: DataFrame) -> DataFrame:
