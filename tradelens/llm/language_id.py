@@ -18,7 +18,7 @@ from tradelens.llm.common import small_batches, utf8, values
 from tradelens.llm.ngrams import counts, unit
 
 SIZES, BITS = (2, 3), 12
-UNKNOWN, MARGIN = "und", 0.5
+UNKNOWN, MARGIN, PARTS = "und", 0.5, 64
 
 
 @dataclass(frozen=True)
@@ -56,19 +56,18 @@ def train_bits(x: np.ndarray, signs: np.ndarray, steps: int = 300, rate: float =
     return w, b
 
 
-def fit(docs: DataFrame, learn: Column, per_language: int = 300, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Learns from at most ``per_language`` documents of each language among those that ``learn`` admits and whose text has a letter.
+def fit(docs: DataFrame, learn: Column, per_language: int = 320, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    """Learns from at most ``per_language`` documents of each language (a multiple of PARTS) among those that ``learn`` admits and whose text has a letter.
 
     Languages and texts that are null are left out. Without any such document there is no language.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang")).filter(learn & F.col("lang").isNotNull())
-    # the smallest hashes of each of 64 parts of a language first, then of these, so that no task reads a whole language
-    by_hash = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("draw", "doc_id"))
-    drawn = rows.withColumn("draw", F.xxhash64("doc_id", F.lit(3))).withColumn("part", F.pmod("draw", F.lit(64)))
-    drawn = drawn.withColumn("n", by_hash("lang", "part")).filter(F.col("n") <= per_language)
-    drawn = drawn.withColumn("n", by_hash("lang")).filter(F.col("n") <= per_language)
-    ids = drawn.select("doc_id", "lang").distinct()  # at most per_language rows a language
+    # each of PARTS parts of a language gives its smallest hashes, so that no task reads a whole language
+    rows = rows.withColumn("draw", F.xxhash64("doc_id", F.lit(3))).withColumn("part", F.pmod("draw", F.lit(PARTS)))
+    spot = F.row_number().over(Window.partitionBy("lang", "part").orderBy("draw", "doc_id"))
+    drawn = rows.withColumn("n", spot).filter(F.col("n") <= -(-per_language // PARTS))
+    ids = drawn.select("doc_id", "lang").distinct()  # about per_language rows a language at most
     sample = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("text").rlike(r"\p{L}")).join(
         F.broadcast(ids), ["doc_id", "lang"])
 
