@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from tradelens.llm.common import table
-from test_operators import plain_components, plain_fingerprint, plain_hits
+from test_llm_operators import plain_components, plain_fingerprint, plain_hits
 
 SF = "/root/testdata/sf0.01"
 
