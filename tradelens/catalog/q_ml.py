@@ -170,7 +170,7 @@ def retrain_decision(t: Tables):
 
 @query("random_trader_sample")
 def random_trader_sample(t: Tables):
-    return ml.random_trader_sample(t.trades(), seed=7, floor=50)
+    return ml.random_trader_sample(t.trades(), seed=7, share=0.25)
 
 
 @query("block_bootstrap")

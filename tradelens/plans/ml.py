@@ -215,11 +215,10 @@ def retrain_decision(state: DataFrame, as_of: Column, drift_limit: float = 0.3,
         "reason": F.when(F.size("_r") > 0, F.concat_ws("; ", "_r")).otherwise("No retraining needed")}).drop("_r")
 
 
-def random_trader_sample(trades: DataFrame, seed: int, floor: int = 5000, share: float = 0.1) -> DataFrame:
-    """Random traders: ``share`` of all of them, at least ``floor``."""
-    people = trades.select(TRADER).distinct()
-    n = people.count()
-    return people.orderBy(F.xxhash64(F.col(TRADER), F.lit(seed)), TRADER).limit(max(floor, int(n * share)))
+def random_trader_sample(trades: DataFrame, seed: int, share: float = 0.1, parts: int = 1_000_000) -> DataFrame:
+    """Random traders: those whose seeded hash falls into the first ``share`` of its range, at any number of traders."""
+    drawn = F.pmod(F.xxhash64(F.col(TRADER), F.lit(seed)), F.lit(parts)) < int(share * parts)
+    return trades.select(TRADER).filter(drawn).distinct()
 
 
 # ---- bootstrap -------------------------------------------------------------------------------

@@ -136,8 +136,8 @@ def smart_money_divergence(trades: DataFrame, scores: DataFrame, as_of: Column,
 
 
 def coordinated_entry(trades: DataFrame, as_of: Column, hours: int = 24, min_traders: int = 3, max_minutes: int = 120,
-                      min_volume: float = 10_000, named: int = 10) -> DataFrame:
-    """Several accounts entering one outcome within a short span. At most ``named`` traders are listed."""
+                      min_volume: float = 10_000) -> DataFrame:
+    """Several accounts entering one outcome within a short span."""
     recent = trades.filter(since(as_of, hours=hours) & (F.col("side") == "BUY"))
     rows = recent.groupBy("market_slug", "outcome_index").agg(
         F.count_distinct(TRADER).alias("num_traders"), F.sum("notional").alias("total_volume"), F.min("ts").alias("cluster_start"),

@@ -52,11 +52,11 @@ def mirror_signals(trades: DataFrame, members: DataFrame) -> DataFrame:
     return _keyed(joined.select(*cols), ["username"], fn, out, "seen bigint")
 
 
-def delayed_signals(signals: DataFrame, delay_seconds: int, watermark: str = "0 seconds") -> DataFrame:
+def delayed_signals(signals: DataFrame, delay_seconds: int, watermark: str = "0 seconds", queues: int = QUEUES) -> DataFrame:
     """Hold every signal back until event time has moved ``delay_seconds`` past it.
 
     ``signals`` need ``fund_type, signal_id, detected_at, payload``; waiting signals are the state.
-    Signals do not depend on each other, so a fund's queue is split by a hash of the signal id.
+    Signals do not depend on each other, so a fund's queue is split into ``queues`` by a hash of the signal id.
     """
     out = "fund_type string, signal_id string, detected_at timestamp, payload string"
 
@@ -69,7 +69,8 @@ def delayed_signals(signals: DataFrame, delay_seconds: int, watermark: str = "0
             payloads += rows["payload"].tolist()
         now = state.getCurrentWatermarkMs() * 1000
         due = [i for i, s in enumerate(stamps) if s + delay_seconds * 1_000_000 <= now]
-        wait = [i for i in range(len(stamps)) if i not in set(due)]
+        gone = set(due)
+        wait = [i for i in range(len(stamps)) if i not in gone]
         if wait:
             state.update(([stamps[i] for i in wait], [ids[i] for i in wait], [payloads[i] for i in wait]))
             first = min(stamps[i] for i in wait) // 1000 + delay_seconds * 1000
@@ -81,7 +82,7 @@ def delayed_signals(signals: DataFrame, delay_seconds: int, watermark: str = "0
                                 "detected_at": pd.to_datetime([stamps[i] for i in due], unit="us"), "payload": [payloads[i] for i in due]})
 
     kept = signals.withWatermark("detected_at", watermark).select(
-        "fund_type", "signal_id", "detected_at", "payload", F.pmod(F.xxhash64("signal_id"), F.lit(QUEUES)).alias("_queue"))
+        "fund_type", "signal_id", "detected_at", "payload", F.pmod(F.xxhash64("signal_id"), F.lit(queues)).alias("_queue"))
     return _keyed(kept, ["fund_type", "_queue"], fn, out, "stamps array<bigint>, ids array<string>, payloads array<string>", GroupStateTimeout.EventTimeTimeout)
 
 
