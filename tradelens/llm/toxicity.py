@@ -105,6 +105,13 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(before, pa.int64()), pa.array(toxic, pa.int32())], ["piece", "before", "toxic"])
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of whole texts, each with a hash to draw them by."""
+    for batch in batches:
+        found = [t[i:i + WINDOW] for text in utf8(batch, "text") for t in [(text or b"").lower()] for i in range(0, len(t), WINDOW)]
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(w) for w in found], pa.int64()), pa.array(found, pa.binary())], ["draw", "window"])
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, label: str, per_class: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """text and label of a bounded sample: per label value the ``per_class`` ids with the smallest hashes of those that ``learn`` admits.
 
@@ -116,9 +123,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, label: str,
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 2000, dictionary: int = 8192, most_pieces: int = 64,
-        least_share: float = 0.02, odds: int = 40) -> Model:
+        least_share: float = 0.02, odds: int = 40, most_windows: int = 50_000) -> Model:
     """Learns from at most ``per_class`` documents of each label among those whose labels row satisfies ``learn``.
 
+    The ordinary dictionary is trained on at most ``most_windows`` windows drawn from all of the ordinary sample.
+
     A piece stands out when toxic documents name many different words before it, at least ``least_share`` as many as
     there are toxic documents, and ``odds`` times as often as ordinary ones do. Copies of one text, or a single
     long one, thus lend it no weight. Without toxic or without ordinary documents every text scores the share of toxic labels, or 0.
@@ -139,8 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 2000
     pieces = pieces.groupBy("piece").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     stands_out = (F.col("t") >= max(3, math.ceil(least_share * n_toxic))) & (F.col("t") * n_ordinary >= odds * F.col("o") * n_toxic)
     chosen = [bytes(r["piece"]) for r in pieces.filter(stands_out).orderBy(F.col("t").desc(), "piece").limit(most_pieces).collect()]
-    texts = sample.filter("toxic = 0").select(F.substring("text", 1, 2000).alias("text"))  # what the dictionary is trained on, not what is scored
-    ordinary = [t[i:i + WINDOW] for r in texts.collect() if r["text"] for t in [r["text"].encode().lower()] for i in range(0, len(t), WINDOW)]
+    drawn = sample.filter("toxic = 0").select("text").mapInArrow(_windows, "draw bigint, window binary").orderBy("draw", "window").limit(most_windows)
+    ordinary = [bytes(r["window"]) for r in drawn.collect()]
     try:
         base = zstandard.train_dictionary(dictionary, ordinary).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too little text to train on
