@@ -2,8 +2,9 @@
 
 Two zstandard dictionaries share a base trained on ordinary text. The toxic one adds pieces that stand out in toxic
 documents, the ordinary one as many bytes of ordinary text. A window that the toxic dictionary
-packs shorter is a suspect and is looked at again in runs of three words. The number and the share of windows with each gain,
-held against thresholds calibrated on toxic and ordinary documents, give the score of a text.
+packs shorter is a suspect and is looked at again in runs of two words. Every piece is packed behind a carrier that both dictionaries
+hold, because a short piece alone is stored as it is and shows no gain. The number and the share of windows with each gain, held against
+thresholds calibrated on toxic and ordinary documents, give the score of a text.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tradelens.llm.common import small_batches, utf8, values
 
-#: Bytes of a window and of its step; least gain of a suspect; number of gain classes.
-WINDOW, STEP, SUSPECT, CLASSES = 64, 52, 3, 8
+#: Bytes of a window, of its step and of the carrier; words of a run; least gain of a suspect; number of gain classes.
+WINDOW, STEP, CARRIER, RUN, SUSPECT, CLASSES = 64, 52, 64, 2, 2, 8
 CUTOFF = 0.7
 
 
@@ -58,6 +60,7 @@ class _Packer:
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.pair = [self._compressor(d) for d in (ordinary, toxic)]
+        self.carrier = commonprefix([ordinary[::-1][:CARRIER], toxic[::-1][:CARRIER]])[::-1]  # the end that both share
 
     @staticmethod
     def _compressor(content: bytes):
@@ -72,6 +75,7 @@ class _Packer:
 
     def gain(self, piece: bytes) -> int:
         ordinary, toxic = self.pair
+        piece = self.carrier + piece
         return len(ordinary.compress(piece)) - len(toxic.compress(piece))
 
     def classes(self, text: bytes | None) -> np.ndarray:
@@ -84,7 +88,7 @@ class _Packer:
                 counts[0] += 1
                 continue
             words = window.split()
-            best = max((self.gain(b" %b " % b" ".join(words[i:i + 3])) for i in range(max(1, len(words) - 2))), default=0)
+            best = max((self.gain(b" %b " % b" ".join(words[i:i + RUN])) for i in range(max(1, len(words) - RUN + 1))), default=0)
             counts[min(max(best, 0) + 1, CLASSES - 1)] += 1
         return counts
 
