@@ -124,13 +124,13 @@ def test_greedy_pairs_equal_one_pass_whatever_the_segment(spark):
         assert got == want
 
 
-def brute_time_price(ref, cand, delta, eps):
+def brute_time_price(ref, cand, delta, eps, before_only=False, after_only=False):
     used, out = set(), {}
     for t, rid, p in sorted(ref):
         best = None
         for ct, cid, cp in sorted(cand):
             d = (ct - t).total_seconds() * 1000
-            if cid in used or abs(d) > delta or abs(cp - p) > eps + 1e-12:
+            if cid in used or abs(d) > delta or abs(cp - p) > eps + 1e-12 or (before_only and d > 0) or (after_only and d < 0):
                 continue
             if best is None or (abs(d), abs(cp - p)) < best[:2]:
                 best = (abs(d), abs(cp - p), cid)
@@ -140,18 +140,42 @@ def brute_time_price(ref, cand, delta, eps):
     return out
 
 
-def test_greedy_time_price_equals_one_pass(spark):
+@pytest.mark.parametrize("mode", [{}, {"before_only": True}, {"after_only": True}])
+def test_greedy_time_price_equals_one_pass(spark, mode):
     rnd = random.Random(4)
     side = lambda tag, n: [(at(rnd.randrange(600)), f"{tag}{i:03d}", rnd.choice([0.4, 0.41, 0.5])) for i in range(n)]
     ref, cand = side("r", 80), side("c", 80)
     schema = "ts timestamp, row_id string, price double"
     frame = lambda rows: spark.createDataFrame(rows, schema).withColumn("m", F.lit("x"))
-    want = brute_time_price(ref, cand, 10_000, 0.01)
+    want = brute_time_price(ref, cand, 10_000, 0.01, **mode)
     for segment in (20, 100000):
-        got = {r.row_id: r.match_id for r in matching.greedy_time_price(frame(ref), frame(cand), ["m"], 10_000, 0.01, segment_seconds=segment).collect()}
+        got = {r.row_id: r.match_id for r in matching.greedy_time_price(frame(ref), frame(cand), ["m"], 10_000, 0.01, segment_seconds=segment, **mode).collect()}
         assert got == want
 
 
+def test_nearest_on_a_hot_key_equals_all_pairs(spark):
+    """Nine tenths of the rows on one key and day; equal times take the greatest tie, equal distances the earlier row."""
+    rnd = random.Random(6)
+    side = lambda n: [(rnd.choice("aaaaaaaaab"), at(rnd.randrange(400)), i) for i in range(n)]
+    left, right = [*side(150), (None, at(3), 900), ("a", None, 901), ("none", at(3), 902)], [*side(60), (None, at(3), 903), ("a", None, 904)]
+    schema = "k string, ts timestamp, i int"
+    want = {}
+    for k, t, i in left:
+        found = [((abs(rt - t), rt > t, -ri), ri) for rk, rt, ri in right if rk is not None and rk == k and rt is not None and t is not None]
+        want[i] = min(found)[1] if found else None
+    for width in (7, 100000):
+        near = asof_nearest(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "k", "k", value_cols=["i"], tie=["i"], segment_seconds=width)
+        assert {r.i: r.nearest_i for r in near.collect()} == want
+
+
+def test_rank_of_clocks_in_time_segments(spark):
+    rnd = random.Random(8)
+    stamps = [1_700_000_000_000_000 + rnd.randrange(10_000_000_000) for _ in range(200)]
+    df = spark.createDataFrame([(s,) for s in [*stamps, stamps[0]]], "v bigint")
+    got = global_rank(df, "v", rank="r", segment=lambda v: F.floor(v / F.lit(600_000_000)).cast("bigint"))
+    assert {r.v: r.r for r in got.collect()} == {s: 1 + sum(o < s for o in [*stamps, stamps[0]]) for s in stamps}
+
+
 def test_hex_words(spark):
     big = "f" * 64
     df = spark.createDataFrame([(f"{5:064x}",), (f"{(1 << 100) + 7:064x}",), (big,)], "w string")

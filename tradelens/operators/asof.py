@@ -90,20 +90,40 @@ def asof_nearest(
     tie: Sequence[str] = (),
     segment_seconds: int = DAY_SECONDS,
 ) -> DataFrame:
-    """Nearest right row in either direction; the earlier one wins an equal distance."""
-    value_cols = list(value_cols)
+    """Nearest right row in either direction; the earlier one wins an equal distance.
+
+    Both sides are stacked and dealt once per (key, segment); one shuffle serves the windows of both directions.
+    Each window is a running one, so a segment costs its sort. Left rows with a NULL key or time get no match.
+    """
     cols = [right_ts, *[c for c in value_cols if c != right_ts]]
-    common = {
-        "left_key": left_key, "right_key": right_key, "left_ts": left_ts, "right_ts": right_ts,
-        "right_cols": cols, "segment_seconds": segment_seconds, "tie": tie,
-    }
-    both = asof_join(left, right, prefix="_b_", **common)
-    both = asof_join(both, right, prefix="_f_", direction="forward", **common)
-    back = epoch_micros(left_ts) - epoch_micros(f"_b_{right_ts}")
-    ahead = epoch_micros(f"_f_{right_ts}") - epoch_micros(left_ts)
-    use_back = ahead.isNull() | (back <= ahead)
-    picked = [
-        F.when(use_back, F.col(f"_b_{c}")).otherwise(F.col(f"_f_{c}")).alias(f"nearest_{c}") for c in cols
-    ]
-    delay = F.when(use_back, back).otherwise(ahead)
-    return both.select(*left.columns, *picked, (delay / F.lit(1_000_000.0)).alias("abs_delay_seconds"))
+    quote = F.struct(epoch_micros(right_ts).alias("_at"), *cols)
+    ties = F.struct(*tie) if tie else F.struct(F.lit(0).alias("_z"))
+
+    def placed(df: DataFrame, key: str, ts: str, side: int, *more: Column) -> DataFrame:
+        rows = df.filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
+        return rows.select(F.col(key).alias("_k"), time_segment(ts, segment_seconds).alias(SEG), epoch_micros(ts).alias("_o"), F.lit(side).alias("_side"), *more)
+
+    rights = placed(right, right_key, right_ts, 0, ties.alias("_tie"), quote.alias("_quote"))
+    lefts = placed(left, left_key, left_ts, 1, F.struct(*left.columns).alias("_left"))
+    loose = left.filter(F.col(left_key).isNull() | F.col(left_ts).isNull())
+
+    # what the segments before and after a segment hold nearest to it
+    ends = rights.groupBy("_k", SEG).agg(
+        F.max_by("_quote", F.struct("_o", "_tie")).alias("_last"), F.max_by("_quote", F.struct(-F.col("_o"), "_tie")).alias("_first"))
+    wanted = lefts.select("_k", SEG).distinct().withColumn("_want", F.lit(True))
+    others = lambda order: Window.partitionBy("_k").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    carried = ends.unionByName(wanted, allowMissingColumns=True).withColumns({
+        "_before": F.last("_last", ignorenulls=True).over(others(F.asc(SEG))), "_after": F.last("_first", ignorenulls=True).over(others(F.desc(SEG))),
+    }).filter("_want").select("_k", SEG, "_before", "_after")
+
+    running = lambda order: Window.partitionBy("_k", SEG).orderBy(order, "_side", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    scanned = rights.unionByName(lefts, allowMissingColumns=True).withColumns({
+        "_back": F.last("_quote", ignorenulls=True).over(running(F.asc("_o"))), "_ahead": F.last("_quote", ignorenulls=True).over(running(F.desc("_o")))})
+    both = scanned.filter("_side = 1").join(carried, ["_k", SEG], "left").withColumns({
+        "_back": F.coalesce("_back", "_before"), "_ahead": F.coalesce("_ahead", "_after")})
+    back, ahead = F.col("_o") - F.col("_back._at"), F.col("_ahead._at") - F.col("_o")
+    both = both.withColumns({"_near": F.when(ahead.isNull() | (back <= ahead), F.col("_back")).otherwise(F.col("_ahead"))})
+    names = [f"nearest_{c}" for c in cols]
+    delay = F.abs(F.col("_near._at") - F.col("_o")) / F.lit(1_000_000.0)
+    matched = both.select("_left.*", *[F.col(f"_near.{c}").alias(n) for c, n in zip(cols, names, strict=True)], delay.alias("abs_delay_seconds"))
+    return matched.unionByName(loose, allowMissingColumns=True)

@@ -6,7 +6,7 @@ counts are then accumulated with the segmented scan. No task ever holds a whole
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,11 +25,15 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame
     return counted if keys else counted.withColumn(ALL, F.lit(0))
 
 
-def cumulative_counts(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
-    """Distinct values with ``_cnt``, the running ``_cum`` in ascending order and the group's ``_total``."""
+def cumulative_counts(df: DataFrame, keys: Sequence[str], value: Column, segment: Callable[[Column], Column] = log_segment) -> DataFrame:
+    """Distinct values with ``_cnt``, the running ``_cum`` in ascending order and the group's ``_total``.
+
+    ``segment`` cuts the range of values; it must never decrease as the value grows. Large values in a narrow
+    range, such as clocks, need segments of their own width.
+    """
     counted = value_counts(df, keys, value)
     return ordered_scan(
-        counted, list(keys) or [ALL], log_segment(F.col("_v")), ["_v"],
+        counted, list(keys) or [ALL], segment(F.col("_v")), ["_v"],
         sums={"_cum": F.col("_cnt")}, totals={"_total": F.col("_cnt")},
     )
 
@@ -71,13 +75,14 @@ def global_rank(
     percent: str | None = None,
     below_share: str | None = None,
     keys: Sequence[str] = (),
+    segment: Callable[[Column], Column] = log_segment,
 ) -> DataFrame:
     """Ascending ``rank()``, ``percent_rank()`` and share of strictly smaller values, group-wide.
 
     Works on the distinct values, so no window spans the whole table; rows get their rank back by
     an equality join on the value.
     """
-    cum = cumulative_counts(df, keys, F.col(value))
+    cum = cumulative_counts(df, keys, F.col(value), segment)
     below = F.col("_cum") - F.col("_cnt")
     outs = []
     if rank:

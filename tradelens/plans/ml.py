@@ -59,9 +59,10 @@ def training_labels(scores: DataFrame, daily: DataFrame, first_trades: DataFrame
         F.coalesce(own, derived, F.lit(0.0)).alias("sharpe_label"), "first_trade_at")
 
 
-def temporal_split(labels: DataFrame, train: float = 0.8, validation: float = 0.1) -> DataFrame:
+def temporal_split(labels: DataFrame, train: float = 0.8, validation: float = 0.1, segment_seconds: int = 3600) -> DataFrame:
     """Oldest traders train, the next validate, the newest test."""
-    ranked = global_rank(labels.withColumn("_t", F.unix_micros("first_trade_at")), "_t", percent="_p")
+    hours = lambda t: F.floor(t / F.lit(segment_seconds * 1_000_000)).cast("bigint")
+    ranked = global_rank(labels.withColumn("_t", F.unix_micros("first_trade_at")), "_t", percent="_p", segment=hours)
     split = F.when(F.col("_p") < train, "train").when(F.col("_p") < train + validation, "validation").otherwise("test")
     return ranked.withColumn("split", split).drop("_t", "_p")
 
