@@ -86,6 +86,14 @@ def test_cooldown_holds_and_releases(spark, tmp_path):
     assert sent["a"] == at(0) and sent["c"] == at(10) and sent["b"] == at(60) and sent["d"] == at(120)
 
 
+def test_cooldown_drops_stale_signals(spark, tmp_path):
+    """b would wait 990 s and goes; c waits 100 s and is sent; a key whose cooldown is over starts anew."""
+    schema = "market_slug string, signal_id string, detected_at timestamp"
+    batches = [[("m", "a", at(0)), ("m", "b", at(10))], [("m", "c", at(900))], [("z", "e", at(1500))], [("z", "f", at(5000))], [("m", "d", at(5001)), ("z", "g", at(9000))]]
+    rows = replay(spark, tmp_path, batches, schema, lambda s: state.cooldown(s, 1000))
+    assert {r.signal_id: r.released_at for r in rows if r.cooldown_key == "m"} == {"a": at(0), "c": at(1000), "d": at(5001)}
+
+
 def test_delayed_release(spark, tmp_path):
     schema = "fund_type string, signal_id string, detected_at timestamp, payload string"
     batches = [[("F", "a", at(0), "p"), ("F", "b", at(50), "q")], [("G", "x", at(70), "r")], [("G", "y", at(500), "s")], [("G", "z", at(900), "s")]]

@@ -398,10 +398,24 @@ def greedy_pair_match(t: Tables):
     return rounded(matching.greedy_pairs(t.trades(), window_seconds=300, segment_seconds=86_400))
 
 
-@query("greedy_time_price_match")
-def greedy_time_price_match(t: Tables):
+def time_price_match(t: Tables, **mode: bool):
     ref = t.trades().select("market_slug", "outcome", "side", "ts", F.col("event_key").alias("row_id"), "price")
     cand = t.market_trades().select("market_slug", F.split_part("token_id", F.lit(":"), F.lit(2)).alias("outcome"),
                                     "side", "ts", F.concat_ws("|", "event_key", F.unix_seconds("ts"), "size", "price").alias("row_id"), "price")
-    m = matching.greedy_time_price(ref, cand, ["market_slug", "outcome", "side"], 60_000, 0.05, segment_seconds=86_400)
+    m = matching.greedy_time_price(ref, cand, ["market_slug", "outcome", "side"], 60_000, 0.05, segment_seconds=86_400, **mode)
     return rounded(matching.match_summary(m, ["side"]))
+
+
+@query("greedy_time_price_match")
+def greedy_time_price_match(t: Tables):
+    return time_price_match(t)
+
+
+@query("greedy_time_price_before")
+def greedy_time_price_before(t: Tables):
+    return time_price_match(t, before_only=True)
+
+
+@query("greedy_time_price_after")
+def greedy_time_price_after(t: Tables):
+    return time_price_match(t, after_only=True)

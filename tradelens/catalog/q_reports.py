@@ -362,6 +362,26 @@ def market_positions_top(t: Tables):
         "username", "market_slug", "realized_pnl_usd", "token_positions"))
 
 
+@query("token_positions_all", _token_sql("true", "settled.last_trade_at"))
+def token_positions_all(t: Tables):
+    return rounded(positions.token_positions(_settled(t), "ALL").select(*_TOKEN_COLS))
+
+
+@query("market_positions_open", f"""WITH {_SETTLED} SELECT username, market_slug, r6(sum(net_cost_usd)) AS net_cost_usd, count(*) AS token_positions
+FROM settled WHERE NOT is_resolved GROUP BY username, market_slug
+QUALIFY row_number() OVER (PARTITION BY username ORDER BY abs(round(sum(settled.net_cost_usd), 6)) DESC NULLS LAST, market_slug) <= 200""")
+def market_positions_open(t: Tables):
+    rolled = positions.market_positions(_settled(t)).withColumn("net_cost_usd", F.round("net_cost_usd", 6))
+    return rounded(positions.top_market_positions(rolled, "OPEN").select("username", "market_slug", "net_cost_usd", "token_positions"))
+
+
+@query("market_positions_all", f"""WITH {_SETTLED} SELECT username, market_slug, max(settled.last_trade_at) AS last_trade_at, count(*) AS token_positions
+FROM settled GROUP BY username, market_slug
+QUALIFY row_number() OVER (PARTITION BY username ORDER BY max(settled.last_trade_at) DESC NULLS LAST, market_slug) <= 200""")
+def market_positions_all(t: Tables):
+    return positions.top_market_positions(positions.market_positions(_settled(t)), "ALL").select("username", "market_slug", "last_trade_at", "token_positions")
+
+
 @query("asset_roi", f"""WITH {_SETTLED} SELECT username, upper(split_part(market_slug, '-', 1)) AS asset, count(*) AS token_positions,
   r6(sum(net_cost_usd)) AS net_cost_usd, r6(sum(realized_pnl_usd)) AS realized_pnl_usd,
   r6(CASE WHEN round(sum(net_cost_usd), 9) > 0 THEN sum(realized_pnl_usd)/sum(net_cost_usd) ELSE 0 END) AS roi

@@ -111,12 +111,17 @@ def capped_signals(signals: DataFrame, max_trades: int, max_notional: float, min
     return _keyed(ok.select(*cols), ["fund_type"], fn, out, "day bigint, count int, total double")
 
 
-def cooldown(signals: DataFrame, seconds: int, keys: tuple[str, ...] = ("market_slug",)) -> DataFrame:
-    """At most one signal per key every ``seconds``; blocked ones wait and the oldest goes when time is up."""
+def cooldown(signals: DataFrame, seconds: int, keys: tuple[str, ...] = ("market_slug",), longest_wait: int = 300) -> DataFrame:
+    """At most one signal per key every ``seconds``; blocked ones wait and the oldest goes when time is up.
+
+    A signal that would wait more than ``longest_wait`` seconds is stale and dropped, so what waits is bounded. A key
+    leaves the state once the watermark has passed the end of its cooldown. Signals that still wait when a stream
+    ends stay in its checkpoint.
+    """
     marked = signals.withColumn("_key", F.concat_ws("|", *keys))
     cols = ["_key", "signal_id", "detected_at"]
     out = "cooldown_key string, signal_id string, detected_at timestamp, released_at timestamp"
-    gap = seconds * 1_000_000
+    gap, longest = seconds * 1_000_000, longest_wait * 1_000_000
 
     def fn(key, batches, state: GroupState):
         free_at, stamps, ids = state.get if state.exists else (NEVER, [], [])
@@ -127,14 +132,19 @@ def cooldown(signals: DataFrame, seconds: int, keys: tuple[str, ...] = ("market_
             ids += rows["signal_id"].tolist()
         now = max(stamps) if len(rows) else NEVER
         now = max(now, state.getCurrentWatermarkMs() * 1000)
-        sent = []
-        while stamps and max(stamps[0], free_at) <= now:
-            at = max(stamps[0], free_at)
-            sent.append((key[0], ids.pop(0), stamps.pop(0), at))
-            free_at = at + gap
-        state.update((free_at, stamps, ids))
-        if stamps:
+        sent, i = [], 0
+        while i < len(stamps) and max(stamps[i], free_at) <= now:
+            at = max(stamps[i], free_at)
+            if at - stamps[i] <= longest:
+                sent.append((key[0], ids[i], stamps[i], at))
+                free_at = at + gap
+            i += 1
+        waiting = [k for k in range(i, len(stamps)) if free_at - stamps[k] <= longest]
+        if waiting or free_at > state.getCurrentWatermarkMs() * 1000:
+            state.update((free_at, [stamps[k] for k in waiting], [ids[k] for k in waiting]))
             state.setTimeoutTimestamp(max(free_at // 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         if sent:
             df = pd.DataFrame(sent, columns=["cooldown_key", "signal_id", "detected_at", "released_at"])
             df["detected_at"] = pd.to_datetime(df["detected_at"], unit="us")
