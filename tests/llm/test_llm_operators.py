@@ -330,6 +330,16 @@ def test_models_on_odd_tables(spark, docs, none):
             assert found[2]["lang_pred"] == found[3]["lang_pred"] == "und" and found[6]["lang_pred"] == "en"
 
 
+def test_short_pieces_show_their_gain():
+    """A piece of a few bytes is told apart only behind the carrier; what neither dictionary holds gains nothing."""
+    base = " ".join(f"word{i * 7919 % 1000}" for i in range(300)).encode()
+    packer = toxicity._Packer(b"#" * 11 + base, b" zorblaxes " + base)
+    assert packer.carrier == base[-toxicity.CARRIER:]
+    assert packer.gain(b" zorblaxes ") >= toxicity.SUSPECT and packer.gain(b" unrelated ") == 0
+    assert packer.classes(b"plain words then zorblaxes and more plain words")[1:].sum() == 1 and packer.classes(b"plain words only")[1:].sum() == 0
+    assert toxicity._Packer(b"", b"").carrier == b""
+
+
 def test_codewords_differ():
     for n in (2, 4, 6, 9):
         codes = language_id.codebook(n)
