@@ -159,6 +159,15 @@ def test_license_diagonals_merge_over_an_inserted_word(spark):
     assert row[1]["labels"] == "" and row[1]["score"] == 0
 
 
+def test_license_spans_hold_the_template_in_order(spark):
+    """Repeated numbers and pairs out of order vote on neighbouring diagonals, yet hold a position or two of the template."""
+    texts = [" ".join(["4.0"] * 5), " ".join(["4.0"] * 6), " ".join(["2.0"] * 6), "version 2 0, license version, apache license, the apache, under the, licensed under",
+             "Licensed under CC BY-NC 4.0.", "licensed under, the apache license version 2.0 or 4.0 4.0 4.0 4.0"]
+    rows = license_scan.scan(docs_of(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert [r["labels"] for r in rows] == ["", "", "", "apache", "cc-by-nc", "apache"] and [r["score"] for r in rows[:3]] == [0, 0, 0]
+    assert [s["label"] for s in rows[3]["spans"]] == ["apache"] and rows[3]["spans"][0]["start"] == rows[3]["first_word"]
+
+
 def plain_lines(rows):
     docs_with = defaultdict(set)
     for i, t in rows:

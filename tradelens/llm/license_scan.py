@@ -2,7 +2,8 @@
 
 Rolling hashes of word pairs meet the positions where a template has the same pair. A match votes for its
 diagonal (position in the text minus position in the template); neighbouring diagonals, which a word put in or left
-out moves by one or two, are merged; a span counts when enough of the template's pairs voted for it.
+out moves by one or two, are merged. A span is verified by its longest chain of matches that goes forward in text and template,
+one match for each position of the template and at most ``merge`` diagonals a step; it counts when the chain holds enough pairs.
 """
 
 from __future__ import annotations
@@ -55,10 +56,11 @@ def _pair(first: Column, second: Column) -> Column:
 
 
 def template_positions(spark: SparkSession, templates: Sequence[Template]) -> DataFrame:
-    """gram, template, tpos: one row per word pair of a template, and template -1 for the mark that every document carries."""
+    """gram, template, tpos, a, b: one row per word pair of a template, and template -1 for the mark that every document carries."""
     rows = [(i, p, w[p], w[p + 1]) for i, t in enumerate(templates) for w in [t.words.split()] for p in range(len(w) - GRAM + 1)]
-    grams = spark.createDataFrame(rows, "template int, tpos int, a string, b string").select(_pair(F.xxhash64("a"), F.xxhash64("b")).alias("gram"), "template", "tpos")
-    return grams.unionByName(spark.range(1).select(_mark().alias("gram"), F.lit(-1).alias("template"), F.lit(0).alias("tpos")))
+    grams = spark.createDataFrame(rows, "template int, tpos int, a string, b string").select(_pair(F.xxhash64("a"), F.xxhash64("b")).alias("gram"), "template", "tpos", "a", "b")
+    no_word = F.lit(None).cast("string")
+    return grams.unionByName(spark.range(1).select(_mark().alias("gram"), F.lit(-1).alias("template"), F.lit(0).alias("tpos"), no_word.alias("a"), no_word.alias("b")))
 
 
 def _mark() -> Column:
@@ -67,9 +69,9 @@ def _mark() -> Column:
 
 
 def votes(docs: DataFrame, templates: Sequence[Template], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_hash, n_words, template, diagonal, votes. Template -1 counts the rows of the document itself.
+    """doc_id, text_hash, n_words, template, diagonal, votes, places. Template -1 counts the rows of the document itself.
 
-    Every pair of every whole text is joined. The templates are constants, so their side is bounded and may be broadcast.
+    Bit t of ``places`` is set if the pair at position t of the template voted, so its match starts at word diagonal + t. Every pair of every whole text is joined. The templates are constants, so their side is bounded and may be broadcast.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), lowered(F.col(text)).alias("t"))
     rows = rows.select("doc_id", "text_hash", F.regexp_extract_all("t", F.lit(WORD_RUN), F.lit(0)).alias("words"))
@@ -84,19 +86,47 @@ def votes(docs: DataFrame, templates: Sequence[Template], doc_id: str = "doc_id"
     phrase = F.element_at(F.array(*[F.lit(t.words if t.exact else None).cast("string") for t in templates]), F.greatest(F.col("template") + 1, F.lit(1)))
     met = met.withColumns({"diagonal": place - F.col("tpos"), "phrase": F.when(F.col("template") >= 0, phrase)})
     held = F.array_join(F.slice("words", F.greatest(F.col("diagonal") + 1, F.lit(1)), F.size(F.split("phrase", " "))), " ")
-    verified = F.col("phrase").isNull() | ((F.col("diagonal") >= 0) & (held == F.col("phrase")))
-    return met.filter(verified).groupBy("doc_id", "text_hash", "n_words", "template", "diagonal").agg(F.count(F.lit(1)).alias("votes"))
+    same = (F.get("words", place) == F.col("a")) & (F.get("words", place + 1) == F.col("b"))
+    verified = (F.col("template") < 0) | F.when(F.col("phrase").isNull(), same).otherwise((F.col("diagonal") >= 0) & (held == F.col("phrase")))
+    return met.filter(verified).groupBy("doc_id", "text_hash", "n_words", "template", "diagonal").agg(
+        F.count(F.lit(1)).alias("votes"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("tpos"))).alias("places"))
+
+
+def longest_chain(diagonals: Column, pairs: Column, merge: int) -> Column:
+    """Struct (n, back) of the longest chain of a span's matches: its length and minus the diagonal it starts on.
+
+    ``diagonals`` holds structs (diagonal, places). A chain goes forward in text and template and moves by at most ``merge`` diagonals from one
+    match to the next, so it has a position of the template once and spans few words more than the template. Chains that ended too far back are let go.
+    """
+    places = F.sequence(F.lit(0), pairs - 1)
+    matches = F.array_sort(F.flatten(F.transform(diagonals, lambda d: F.transform(
+        F.filter(places, lambda t: F.getbit(d["places"], t) == 1), lambda t: F.struct((d["diagonal"] + t).alias("p"), t.alias("t"))))))
+
+    def grown(ends: Column, m: Column) -> Column:
+        before = F.filter(ends, lambda e: (e["p"] < m["p"]) & (e["t"] < m["t"]) & (F.abs(m["p"] - m["t"] - e["p"] + e["t"]) <= merge))
+        best = F.array_max(F.transform(before, lambda e: F.struct(e["n"].alias("n"), e["back"].alias("back"))))
+        return F.struct(m["p"].alias("p"), m["t"].alias("t"), (F.coalesce(best["n"], F.lit(0)) + 1).alias("n"), F.coalesce(best["back"], m["t"] - m["p"]).alias("back"))
+
+    def step(state: Column, m: Column) -> Column:
+        ends = F.concat(F.filter(state["ends"], lambda e: e["p"] >= m["p"] - pairs - merge), F.array(grown(state["ends"], m)))
+        top = F.array_max(F.transform(ends, lambda e: F.struct(e["n"].alias("n"), e["back"].alias("back"))))
+        return F.struct(ends.alias("ends"), F.greatest(state["top"], top).alias("top"))
+
+    start = F.from_json(F.lit('{"ends": [], "top": {"n": 0, "back": 0}}'), "ends array<struct<p: int, t: int, n: int, back: int>>, top struct<n: int, back: int>")
+    return F.aggregate(matches, start, step, lambda state: state["top"])
 
 
 def scan(docs: DataFrame, phrases: Sequence[Template] = PHRASES, licenses: Sequence[Template] = LICENSES, doc_id: str = "doc_id", text: str = "text",
          merge: int = MERGE, cover: float = COVER) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
-    ``spans`` lists (label, first word, share of the template's pairs that voted). The score is the largest share, 0 without
+    ``spans`` lists (label, first word, share of the template's pairs in the span's longest chain). The score is the largest share, 0 without
     a span. A null or empty text has no words and no span. Rows that repeat with the same id and text are counted once and
     given back as often as they came. An empty table gives no rows.
     """
     templates = [*phrases, *licenses]
+    if any(len(t.words.split()) - GRAM + 1 > 64 for t in templates):
+        raise ValueError("a template has at most 64 pairs, one for each bit")
     pairs = F.element_at(F.array(*[F.lit(len(t.words.split()) - GRAM + 1) for t in templates]), F.greatest(F.col("template") + 1, F.lit(1)))
     label = F.element_at(F.array(*[F.lit(t.label) for t in templates]), F.greatest(F.col("template") + 1, F.lit(1)))
     doc = ["doc_id", "text_hash", "n_words"]
@@ -107,10 +137,12 @@ def scan(docs: DataFrame, phrases: Sequence[Template] = PHRASES, licenses: Seque
     fresh = ~(F.lag("template").over(by_doc).eqNullSafe(F.col("template")) & (F.col("diagonal") - F.lag("diagonal").over(by_doc) <= reach))
     found = found.withColumn("fresh", fresh.cast("int"))
     found = found.withColumn("span", F.sum("fresh").over(by_doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    spans = found.groupBy(*doc, "template", "span").agg(F.sum("votes").alias("votes"), F.max("copies").alias("copies"), F.min("diagonal").alias("start"))
-    share = F.least(F.col("votes") / F.col("copies") / pairs, F.lit(1.0))
+    spans = found.groupBy(*doc, "template", "span").agg(
+        F.max("copies").alias("copies"), F.bit_or("places").alias("places"), F.collect_list(F.struct("diagonal", "places")).alias("diagonals"))
     needed = F.when(F.col("template") < len(phrases), F.lit(1.0)).otherwise(F.lit(cover))
-    spans = spans.withColumns({"share": share, "label": label}).withColumn("good", (F.col("template") >= 0) & (F.col("share") >= needed))
+    enough = (F.col("template") >= 0) & (F.bit_count("places") / pairs >= needed)  # else no chain can be long enough
+    spans = spans.withColumn("chain", F.when(enough, longest_chain(F.col("diagonals"), pairs, merge)))
+    spans = spans.withColumns({"share": F.coalesce(F.col("chain.n") / pairs, F.lit(0.0)), "start": -F.col("chain.back"), "label": label}).withColumn("good", (F.col("template") >= 0) & (F.col("share") >= needed))
     base = F.col("good") & (F.col("template") < len(phrases))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     out = spans.groupBy(*doc).agg(
