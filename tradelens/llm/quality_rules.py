@@ -46,8 +46,7 @@ def _covered(words: Column, starts: Column) -> Column:
     return _let(places, summed)
 
 
-def _repeat_words(f: Features) -> Column:
-    words = f("words")
+def _repeated(words: Column) -> Column:
     starts = F.sequence(F.lit(0), F.size(words) - GRAM)
     hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(GRAM)]))
     # windows whose hashes all differ all differ, which is so in most texts; only the others are compared as text
@@ -68,7 +67,7 @@ FEATURES: dict[str, Callable[[Features], Column]] = {
     "n_symbols": lambda f: F.regexp_count(f.text, F.lit(SYMBOLS)).cast("bigint"),
     "n_dup_lines": lambda f: (F.size(f("lines")) - F.size(F.array_distinct(f("lines")))).cast("bigint"),
     "n_lines": lambda f: F.size(f("lines")).cast("bigint"),
-    "n_repeat_words": _repeat_words,
+    "n_repeat_words": lambda f: _repeated(f("words")) if "words" in f.held else _let(f("words"), _repeated),
     "n_letter_words": _share_of("words", r"[A-Za-z\x{80}-\x{10FFFF}]"),
     "n_shouted_words": _share_of("words", r"^[^a-z]*[A-Z][^a-z]*$"),
     "n_bullet_lines": _share_of("lines", r"^[\x20\x09-\x0D]*[-*\x{2022}]"),
