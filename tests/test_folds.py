@@ -48,6 +48,20 @@ def test_ranks_and_top_rows(spark):
     df = spark.range(3000).select(F.concat(F.lit("0x"), F.lpad(F.hex((F.col("id") * 7919) % 65536), 8, "0")).alias("who"), F.when(F.col("id") % 10 < 9, 50).otherwise(F.col("id") % 40).alias("score"))
     rows = df.collect()
     expect = {r.who: k + 1 for k, r in enumerate(sorted(rows, key=lambda r: (-r.score, r.who)))}
-    assert {r.who: r.rank for r in ranked(df, "score", "who", prefix=4).collect()} == expect
+    assert {r.who: r.rank for r in ranked(df, "score", "who").collect()} == expect
     top = top_per(df, ["score"], [F.asc("who")], 2).collect()
     assert all(sum(r.score == s for r in top) == min(2, sum(r.score == s for r in rows)) for s in {r.score for r in rows})
+
+
+def test_ranks_keep_rows_without_value_or_name(spark):
+    rows = [("a", 3.0), (None, 3.0), ("b", None), (None, None), ("c", 5.5), ("same prefix 1", 3.0), ("same prefix 2", 3.0)]
+    df = spark.createDataFrame(rows, "who string, score double")
+    found = sorted(ranked(df, "score", "who").collect(), key=lambda r: r.rank)
+    expect = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0] is None, r[0] or ""))
+    assert [(r.who, r.score, r.rank) for r in found] == [(*r, k + 1) for k, r in enumerate(expect)]
+    assert ranked(df.limit(0), "score", "who").count() == 0
+
+
+def test_ranks_of_one_hot_value_over_many_partitions(spark):
+    df = spark.range(5000).select(F.lit(1.25).alias("score"), F.lpad(F.col("id").cast("string"), 9, "0").alias("who")).repartition(7)
+    assert ranked(df, "score", "who").filter("rank <> cast(who as bigint) + 1").count() == 0

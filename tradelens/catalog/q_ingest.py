@@ -232,14 +232,13 @@ def global_trades_dedup(t: Tables):
 # ---- books, markets, retention, labels -------------------------------------------------------
 
 
-@query("book_depth_metrics", """SELECT trade_key, token_id, captured_at, r6(best_bid_size*3) AS total_bid_volume, r6(best_ask_size*3) AS total_ask_volume,
-  r6((best_bid_size - best_ask_size)/(best_bid_size + best_ask_size)) AS book_imbalance,
-  r6(CASE WHEN mid0 > 0 THEN CASE WHEN best_bid_price >= mid0*0.99 THEN best_bid_size ELSE 0 END + CASE WHEN round(best_bid_price - 0.01, 2) >= mid0*0.99 THEN best_bid_size*2 ELSE 0 END
-    + CASE WHEN best_ask_price <= mid0*1.01 THEN best_ask_size ELSE 0 END + CASE WHEN round(best_ask_price + 0.01, 2) <= mid0*1.01 THEN best_ask_size*2 ELSE 0 END END) AS depth_near_mid
-FROM (SELECT *, (best_bid_price + best_ask_price)/2 AS mid0 FROM v_tob WHERE best_bid_price > 0.02)""")
+@query("book_depth_metrics", """WITH b AS (SELECT *, coalesce(best_bid_price, 0) AS bid, CASE WHEN best_bid_price > 0 THEN best_bid_size ELSE 0 END AS bid1,
+    CASE WHEN round(best_bid_price - 0.01, 2) > 0 THEN best_bid_size*2 ELSE 0 END AS bid2, (best_bid_price + best_ask_price)/2 AS mid0 FROM v_tob)
+SELECT trade_key, token_id, captured_at, r6(bid1 + bid2) AS total_bid_volume, r6(best_ask_size*3) AS total_ask_volume, r6((bid1 + bid2 - best_ask_size*3)/(bid1 + bid2 + best_ask_size*3)) AS book_imbalance,
+  r6(CASE WHEN mid0 > 0 THEN CASE WHEN bid >= mid0*0.99 THEN bid1 ELSE 0 END + CASE WHEN round(bid - 0.01, 2) >= mid0*0.99 THEN bid2 ELSE 0 END
+    + CASE WHEN best_ask_price <= mid0*1.01 THEN best_ask_size ELSE 0 END + CASE WHEN round(best_ask_price + 0.01, 2) <= mid0*1.01 THEN best_ask_size*2 ELSE 0 END END) AS depth_near_mid FROM b""")
 def book_depth_metrics(t: Tables):
-    b = t.tob().filter("best_bid_price > 0.02")
-    return rounded(b.select("trade_key", "token_id", "captured_at", *[
+    return rounded(t.tob().select("trade_key", "token_id", "captured_at", *[
         c.alias(n) for n, c in books.book_metrics("bid_levels", "ask_levels").items()]))
 
 

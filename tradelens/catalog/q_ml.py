@@ -342,22 +342,34 @@ def edge_follow_signals(t: Tables):
     return rounded(follow.edge_follow_signals(t.trades(), t.ml_scores(), as_of(), max_age_seconds=20_000_000, full_notional=20.0))
 
 
-_MOM = """WITH p AS (SELECT * FROM v_prints0), w AS (SELECT a.market_slug, a.event_key, a.ts, a.price, list(b.price ORDER BY b.ts, b.event_key) AS ps FROM p a JOIN p b ON a.market_slug = b.market_slug AND b.ts <= a.ts AND epoch_us(b.ts) >= epoch_us(a.ts) - 600000000 GROUP BY ALL),
-m AS (SELECT *, len(ps) AS n, greatest(1, len(ps)//3) AS k FROM w), c AS (SELECT *, round(list_sum(ps[1:k])/k, 4) AS e, round(list_sum(ps[n - k + 1:n])/k, 4) AS l FROM m)
+_MOM = """WITH p AS (SELECT market_slug, ts, event_key || '-' || row_number() OVER (PARTITION BY event_key ORDER BY ts, price, size, token_id, side) AS event_key, CAST(round(price*1000000) AS BIGINT) AS price FROM v_market_trades),
+w AS (SELECT a.market_slug, a.event_key, a.ts, a.price, list(b.price ORDER BY b.ts, b.event_key) AS ps FROM p a JOIN p b ON a.market_slug = b.market_slug AND b.ts <= a.ts AND epoch_us(b.ts) >= epoch_us(a.ts) - 600000000 GROUP BY ALL),
+m AS (SELECT *, len(ps) AS n, greatest(1, len(ps)//3) AS k FROM w), c AS (SELECT *, round(CAST(list_sum(ps[1:k]) AS DOUBLE)/(k*1000000), 4) AS e, round(CAST(list_sum(ps[n - k + 1:n]) AS DOUBLE)/(k*1000000), 4) AS l FROM m)
 SELECT event_key, CAST(n AS INTEGER) AS samples, r4(e) AS early_price, r4(l) AS late_price, CASE WHEN n < 3 THEN 'NEUTRAL' WHEN round(l - e, 6) > 0.02 THEN 'UP_RISING' WHEN round(l - e, 6) < -0.02 THEN 'UP_FALLING' ELSE 'NEUTRAL' END AS signal FROM c"""
 
 
-@query("momentum_signal", _MOM.replace("SELECT * FROM v_prints0", "SELECT market_slug, ts, event_key || '-' || row_number() OVER (PARTITION BY event_key ORDER BY ts, price, size, token_id, side) AS event_key, price FROM v_market_trades WHERE market_slug LIKE 'btc%' OR market_slug LIKE 'eth%' OR market_slug LIKE 'topic%'"))
-def momentum_signal(t: Tables):
+def ticks(t: Tables):
     from pyspark.sql import Window
     nth = F.row_number().over(Window.partitionBy("event_key").orderBy("ts", "price", "size", "token_id", "side"))
-    prices = t.market_trades().withColumn("event_key", F.concat_ws("-", "event_key", nth)).select("market_slug", "ts", "event_key", "price")
-    out = follow.momentum_signal(prices)
+    return t.market_trades().withColumn("event_key", F.concat_ws("-", "event_key", nth)).select("market_slug", "ts", "event_key", "price")
+
+
+@query("momentum_signal", _MOM)
+def momentum_signal(t: Tables):
+    out = follow.momentum_signal(ticks(t))
+    return out.select("event_key", "samples", rnd("early_price", 4).alias("early_price"), rnd("late_price", 4).alias("late_price"), "signal")
+
+
+@query("stream_momentum", _MOM)
+def stream_momentum(t: Tables):
+    from tradelens.catalog.q_streams import drained_in_slices
+    from tradelens.streaming import state
+    out = drained_in_slices(t, ticks(t), "ts", ["market_slug"], state.momentum, "momentum")
     return out.select("event_key", "samples", rnd("early_price", 4).alias("early_price"), rnd("late_price", 4).alias("late_price"), "signal")
 
 
 @query("alert_dedup", """WITH al AS (SELECT event_key AS alert_id, market_slug, CASE WHEN version % 2 = 0 THEN 'VOLUME_SPIKE' ELSE 'WHALE_ANOMALY' END AS signal_type, notional AS v, CASE WHEN outcome = 'Up' THEN 'YES' ELSE 'NO' END AS direction, ts AS detected_at,
-  CASE WHEN version % 10 = 0 THEN 'CRITICAL' WHEN version % 5 = 1 THEN 'HIGH' WHEN version % 5 = 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM v_trades WHERE notional >= 10),
+  CASE WHEN version % 10 = 0 THEN 'CRITICAL' WHEN version % 5 = 1 THEN 'HIGH' WHEN version % 5 = 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM v_trades),
 k AS (SELECT *, left(md5('insider:' || signal_type || ':' || market_slug || ':' || direction || ':' || CAST(CAST(floor(v/1000)*1000 AS BIGINT) AS VARCHAR)), 16) AS dedup_key FROM al WHERE severity <> 'LOW')
 SELECT dedup_key, arg_min(alert_id, (detected_at, alert_id)) AS alert_id, min(detected_at) AS detected_at, count(*) AS copies FROM k GROUP BY 1""")
 def alert_dedup(t: Tables):

@@ -150,7 +150,7 @@ def coordinated_entry(t: Tables):
 
 @query("coordinated_entry_members", f"""WITH {_CLUSTER}, e AS (SELECT market_slug, outcome_index, username, min(ts) AS entry FROM v_trades SEMI JOIN cl USING (market_slug, outcome_index) WHERE {_SINCE} AND side = 'BUY' GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY market_slug, outcome_index ORDER BY entry, username) AS rn FROM e)
-SELECT market_slug, outcome_index, string_agg(username, ',' ORDER BY rn) AS traders FROM r WHERE rn <= 10 GROUP BY ALL""")
+SELECT market_slug, outcome_index, string_agg(username, ',' ORDER BY rn) AS traders FROM r GROUP BY ALL""")
 def coordinated_entry_members(t: Tables):
     found = signals.coordinated_entry(t.trades(), as_of(), H, min_volume=20)
     return signals.cluster_members(t.trades(), found, as_of(), H).withColumn("traders", F.array_join("traders", ","))
@@ -201,9 +201,9 @@ def arb_scan(t: Tables):
 
 
 def alert_table(t: Tables):
-    """Alerts derived from large trades."""
+    """An alert of every trade."""
     n = F.col("version")
-    return t.trades().filter("notional >= 10").select(
+    return t.trades().select(
         F.col("event_key").alias("alert_id"), "username", "proxy_address", "market_slug", F.when(n % 2 == 0, "VOLUME_SPIKE").otherwise("WHALE_ANOMALY").alias("signal_type"),
         F.when(n % 10 == 0, "CRITICAL").when(n % 5 == 1, "HIGH").when(n % 5 == 2, "MEDIUM").otherwise("LOW").alias("severity"),
         F.when(n % 3 == 0, F.lit(None).cast("boolean")).otherwise(n % 3 == 1).alias("was_correct"), F.round(F.col("price"), 2).alias("confidence"),
@@ -214,7 +214,7 @@ def alert_table(t: Tables):
 _ALERTS = """al AS (SELECT event_key AS alert_id, username, proxy_address, market_slug, CASE WHEN version % 2 = 0 THEN 'VOLUME_SPIKE' ELSE 'WHALE_ANOMALY' END AS signal_type,
   CASE WHEN version % 10 = 0 THEN 'CRITICAL' WHEN version % 5 = 1 THEN 'HIGH' WHEN version % 5 = 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
   CASE WHEN version % 3 = 0 THEN NULL ELSE version % 3 = 1 END AS was_correct, price AS confidence, notional AS total_volume_usd, CASE WHEN outcome = 'Up' THEN 'YES' ELSE 'NO' END AS direction, ts AS detected_at,
-  CASE version % 4 WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'RESOLVED' ELSE 'INVESTIGATING' END AS status FROM v_trades WHERE notional >= 10)"""
+  CASE version % 4 WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'RESOLVED' ELSE 'INVESTIGATING' END AS status FROM v_trades)"""
 
 
 @query("insider_detection_performance", f"""WITH {_ALERTS} SELECT signal_type, severity, count(*) AS total_alerts, count(*) FILTER (was_correct) AS correct_predictions, count(*) FILTER (NOT was_correct) AS incorrect_predictions,

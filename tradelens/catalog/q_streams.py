@@ -45,6 +45,18 @@ def drained_batches(t: Tables, stream: DataFrame, name: str, batch_fn, mode: str
     return f"{root}/out"
 
 
+def drained_in_slices(t: Tables, rows: DataFrame, ts: str, keys: list[str], build, name: str, slices: int = 3) -> DataFrame:
+    """Run a stream over ``rows`` in slices of time, each after a restart from the checkpoint, so that state is carried over. Within a slice a key is in one file."""
+    root = work_folder(t.spark, name)
+    first, last = rows.agg(F.min(F.unix_micros(ts)), F.max(F.unix_micros(ts))).first()
+    stream = build(t.spark.readStream.schema(rows.schema).parquet(f"{root}/in/*"))
+    place = F.floor((F.unix_micros(ts) - F.lit(first)) * slices / F.lit(last - first + 1))
+    for k in range(slices):
+        rows.filter(place == k).repartition(*keys).write.parquet(f"{root}/in/{k}")
+        stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
 @query("kafka_event_source", """SELECT 'k' || event_id AS kafka_key, CASE WHEN event_id % 3 < 2 THEN make_timestamp(CAST(floor(epoch_us(ts)/1000000) AS BIGINT)*1000000) ELSE ts END AS ts,
   CASE WHEN event_id % 5 <> 0 THEN 'feed-' || (event_id % 4) ELSE 'unknown' END AS source, CASE WHEN event_id % 7 <> 0 THEN event_type ELSE 'unknown' END AS type, event_id AS kafka_offset FROM events""")
 def kafka_event_source(t: Tables):
@@ -67,20 +79,63 @@ def stream_minute_bars(t: Tables):
 
 @query("stream_latest_book", """SELECT asset_id, ts, bid, ask FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY ts DESC, event_id DESC) AS rn FROM v_quotes) WHERE rn = 1""")
 def stream_latest_book(t: Tables):
-    q = live(t).quotes().withColumnRenamed("event_id", "seq")
-    path = drained_batches(t, jobs.stream_latest_book(q), "book", jobs.reconcile_late, "update")
-    return latest_per_key(t.spark.read.parquet(path), ["asset_id"], ["ts", "batch_id"]).select("asset_id", "ts", "bid", "ask")
-
-
-@query("event_fanout", """SELECT 'user_trades' AS table_name, count(*) AS rows, r2(sum(l_quantity)) AS size FROM lineitem UNION ALL SELECT 'ws_tob', count(*), r2(sum(l_quantity)) FROM lineitem""")
+    q = t.quotes().withColumnRenamed("event_id", "seq").select("asset_id", "ts", "seq", "bid", "ask")
+    changes = drained_in_slices(t, q, "ts", ["asset_id"], state.latest_book, "book")
+    return latest_per_key(changes, ["asset_id"], ["ts", "seq"]).select("asset_id", "ts", "bid", "ask")
+
+
+def _text(c: str):
+    return F.col(c).cast("string")
+
+
+def feeds():
+    """Table, event type, payload, the column that is summed up, and its SQL: one feed for each typed table."""
+    size, trade = F.col("l_quantity"), trade_payload()
+    count = F.col("l_quantity").cast("bigint")
+    return [
+        ("user_trades", "venue.user.trade", F.struct(F.lit("u").alias("username"), trade.alias("trade")), "size", "l_quantity"),
+        ("market_trades", "venue.market.trade", F.struct(F.col("slug").alias("marketSlug"), trade.alias("trade")), "price", "price"),
+        ("clob_tob", "venue.clob.tob", F.struct(F.struct(_text("l_orderkey").alias("tradeKey")).alias("trigger"), F.struct(F.struct(_text("price").alias("price"), _text("l_quantity").alias("size")).alias("bestBid")).alias("book")),
+         "best_bid_size", "l_quantity"),
+        ("gamma_markets", "venue.gamma.market", F.struct("slug", F.struct(_text("l_partkey").alias("id"), F.col("l_extendedprice").alias("volumeNum")).alias("market")), "volume_num", "l_extendedprice"),
+        ("tx_receipts", "chain.tx.receipt", F.struct(F.concat(F.lit("0x"), _text("l_orderkey")).alias("txHash"), count.alias("gasUsed")), "gas_used", "l_quantity"),
+        ("ws_tob", "market_ws.tob", F.struct(F.col("slug").alias("assetId"), F.col("price").alias("bestBid"), size.alias("bestBidSize")), "best_bid_size", "l_quantity"),
+        ("ws_trades", "market_ws.trade", F.struct(F.col("slug").alias("assetId"), F.col("price"), size.alias("size")), "size", "l_quantity"),
+        ("strategy_orders", "strategy.maker.order", F.struct(F.lit("maker").alias("strategy"), F.lit("PLACE").alias("action"), size.alias("size")), "size", "l_quantity"),
+        ("limit_orders", "executor.order.limit", F.struct(F.col("slug").alias("tokenId"), size.alias("size"), F.col("price")), "price", "price"),
+        ("market_orders", "executor.order.market", F.struct(F.col("slug").alias("tokenId"), size.alias("amount")), "amount", "l_quantity"),
+        ("cancel_orders", "executor.order.cancel", F.struct(_text("l_orderkey").alias("orderId"), (F.col("l_suppkey") % 2 == 0).alias("success")), "success", "CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE 0 END"),
+        ("order_status", "executor.order.status", F.struct(_text("l_orderkey").alias("orderId"), size.alias("matchedSize")), "matched_size", "l_quantity"),
+        ("global_trades", "venue.global.trade", F.struct(_text("l_orderkey").alias("id"), F.col("price"), size.alias("size")), "notional", "price*l_quantity"),
+    ]
+
+
+def _fanned() -> str:
+    cells = [(name, value) for name, _, _, _, value in feeds()]
+    cases = " ".join(f"WHEN {k} THEN CAST({value} AS DOUBLE)" for k, (_, value) in enumerate(cells))
+    names = ", ".join(f"'{n}'" for n, _ in cells)
+    return f"""SELECT table_name, month, count(*) AS rows, r2(sum(value)) AS value, min(event_key) AS first_key, max(event_key) AS last_key FROM
+  (SELECT [{names}][CAST((l_orderkey + l_linenumber) % {len(cells)} AS INTEGER) + 1] AS table_name, strftime(ts, '%Y-%m') AS month, event_key, CASE (l_orderkey + l_linenumber) % {len(cells)} {cases} END AS value FROM v_lines) GROUP BY ALL"""
+
+
+@query("event_fanout", _fanned())
 def event_fanout(t: Tables):
-    li = live(t).lines()
-    trades = wrap(li, "venue.user.trade", F.struct(F.lit("u").alias("username"), trade_payload().alias("trade")))
-    books = wrap(li, "market_ws.tob", F.struct(F.col("slug").alias("assetId"), F.col("price").alias("bestBid"), F.col("l_quantity").alias("bestBidSize")))
-    path = drained_batches(t, trades.unionByName(books), "fanout", lambda root: jobs.fan_out(["user_trades", "ws_tob"], root, grain="month"))
-    count = lambda name, c: t.spark.read.parquet(f"{path}/{name}").agg(F.count(F.lit(1)).alias("rows"), F.sum(c).alias("size")).select(
-        F.lit(name).alias("table_name"), "rows", "size")
-    return rounded(count("user_trades", "size").unionByName(count("ws_tob", "best_bid_size")), 2)
+    """One raw stream with the events of all thirteen tables; each line of the table is an event of one of them."""
+    rows = live(t).lines()
+    route = (F.col("l_orderkey") + F.col("l_linenumber")) % len(feeds())
+    kind, data = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (_, event_type, payload, _, _) in enumerate(feeds()):
+        kind, data = F.when(route == k, event_type).otherwise(kind), F.when(route == k, F.to_json(payload)).otherwise(data)
+    events = rows.select("ts", F.lit("feed").alias("source"), kind.alias("type"), data.alias("data"), F.col("event_key").alias("kafka_key"), F.lit(0).alias("kafka_partition"),
+                         F.col("l_orderkey").alias("kafka_offset"), F.col("ts").alias("kafka_timestamp"))
+    path = drained_batches(t, events, "fanout", lambda root: jobs.fan_out([f[0] for f in feeds()], root, grain="month"))
+    out = None
+    for name, _, _, column, _ in feeds():
+        table = t.spark.read.parquet(f"{path}/{name}").groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(
+            F.count(F.lit(1)).alias("rows"), F.sum(F.col(column).cast("double")).alias("value"), F.min("event_key").alias("first_key"), F.max("event_key").alias("last_key"))
+        table = table.select(F.lit(name).alias("table_name"), "*")
+        out = table if out is None else out.unionByName(table)
+    return rounded(out, 2)
 
 
 @query("late_version_reconcile", """SELECT event_key, version, price, size FROM (SELECT event_key, l_suppkey AS version, price, l_quantity AS size, row_number() OVER (PARTITION BY event_key ORDER BY l_suppkey DESC, price DESC, l_quantity DESC) AS rn FROM v_lines) WHERE rn = 1""")
@@ -100,33 +155,70 @@ def mirror_signals(t: Tables):
     return rounded(out.select(F.lower("username").alias("username"), "event_key", "ts", "side", "size", "weight"), 4)
 
 
-@query("stream_capped_signals")
+_DRAINED = "(SELECT make_timestamp(CAST(floor(epoch_us(max(ts))/1000) AS BIGINT)*1000) - INTERVAL 10 MINUTE FROM events)"
+
+
+@query("stream_capped_signals", """WITH RECURSIVE s AS (SELECT event_type AS fund_type, CAST(event_id AS VARCHAR) AS signal_id, ts, value, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, CAST(event_id AS VARCHAR)) AS rn FROM events),
+f AS (SELECT fund_type, day, 0::BIGINT AS rn, NULL::VARCHAR AS signal_id, NULL::TIMESTAMP AS ts, 0.0::DOUBLE AS value, 0 AS nth, 0.0::DOUBLE AS used, FALSE AS taken FROM (SELECT DISTINCT fund_type, day FROM s)
+  UNION ALL SELECT s.fund_type, s.day, s.rn, s.signal_id, s.ts, s.value, f.nth + (f.nth < 5 AND f.used + s.value <= 300 + 1e-9)::INTEGER, f.used + CASE WHEN f.nth < 5 AND f.used + s.value <= 300 + 1e-9 THEN s.value ELSE 0 END,
+    f.nth < 5 AND f.used + s.value <= 300 + 1e-9 FROM f JOIN s ON s.fund_type = f.fund_type AND s.day = f.day AND s.rn = f.rn + 1)
+SELECT fund_type, signal_id, ts AS detected_at, r6(value) AS notional, nth, r6(used) AS day_notional FROM f WHERE taken""")
 def stream_capped_signals(t: Tables):
-    e = live(t).read("events").select(
+    e = t.read("events").select(
         F.col("event_type").alias("fund_type"), F.col("event_id").cast("string").alias("signal_id"), F.col("ts").alias("detected_at"), F.col("value").alias("notional"),
         F.lit(0.9).alias("confidence"), F.lit(0.5).alias("strength"), F.lit("BUY").alias("action"))
-    return rounded(drained(t, state.capped_signals(e, 5, 300.0), "caps"))
+    return rounded(drained_in_slices(t, e, "detected_at", ["fund_type"], lambda s: state.capped_signals(s, 5, 300.0), "caps"))
 
 
-@query("signal_cooldown")
+@query("signal_cooldown", f"""WITH RECURSIVE s AS (SELECT CAST(user_id AS VARCHAR) AS k, CAST(event_id AS VARCHAR) AS signal_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR)) AS rn,
+  greatest(max(ts) OVER (PARTITION BY user_id), {_DRAINED}) AS now FROM events),
+f AS (SELECT k, 0::BIGINT AS rn, NULL::VARCHAR AS signal_id, NULL::TIMESTAMP AS ts, TIMESTAMP '1970-01-01' AS free_at, FALSE AS sent FROM (SELECT DISTINCT k FROM s)
+  UNION ALL SELECT k, rn, signal_id, ts, CASE WHEN sent THEN at + INTERVAL 3600 SECOND ELSE free_at END, sent
+  FROM (SELECT *, at <= now AND epoch_us(at) - epoch_us(ts) <= 300000000 AS sent FROM (SELECT s.*, f.free_at, greatest(s.ts, f.free_at) AS at FROM f JOIN s ON s.k = f.k AND s.rn = f.rn + 1)))
+SELECT k AS cooldown_key, signal_id, ts AS detected_at, free_at - INTERVAL 3600 SECOND AS released_at FROM f WHERE sent""")
 def signal_cooldown(t: Tables):
-    e = live(t).read("events").select(F.col("user_id").cast("string").alias("market_slug"), F.col("event_id").cast("string").alias("signal_id"), F.col("ts").alias("detected_at"))
-    return drained(t, state.cooldown(e, 3600), "cooldown")
+    e = t.read("events").select(F.col("user_id").cast("string").alias("market_slug"), F.col("event_id").cast("string").alias("signal_id"), F.col("ts").alias("detected_at"))
+    return drained_in_slices(t, e, "detected_at", ["market_slug"], lambda s: state.cooldown(s, 3600), "cooldown")
 
 
-@query("delayed_signals")
+@query("delayed_signals", f"""SELECT event_type AS fund_type, CAST(event_id AS VARCHAR) AS signal_id, ts AS detected_at, props AS payload FROM events WHERE ts + INTERVAL 300 SECOND <= {_DRAINED}""")
 def delayed_signals(t: Tables):
     e = live(t).read("events").select(F.col("event_type").alias("fund_type"), F.col("event_id").cast("string").alias("signal_id"), F.col("ts").alias("detected_at"), F.col("props").alias("payload"))
     return drained(t, state.delayed_signals(e, 300), "delayed")
 
 
-@query("stream_position_state", """SELECT count(*) AS fills, count(DISTINCT username) AS owners FROM (SELECT DISTINCT 'u' || user_id AS username, event_id FROM events)""")
+@query("stream_position_state", """WITH RECURSIVE s AS (SELECT 'u' || user_id AS k, CAST(event_id AS VARCHAR) AS event_key, event_type = 'view' AS sell, (event_id % 90 + 5)/100.0::DOUBLE AS price, value + 1 AS size,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR)) AS rn FROM events),
+f AS (SELECT k, 0::BIGINT AS rn, NULL::VARCHAR AS event_key, 0.0::DOUBLE AS shares, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS pnl FROM (SELECT DISTINCT k FROM s)
+  UNION ALL SELECT s.k, s.rn, s.event_key, CASE WHEN sell THEN round(shares - least(shares, size), 9) ELSE shares + size END,
+    CASE WHEN NOT sell THEN (shares*cost + size*price)/(shares + size) WHEN round(shares - least(shares, size), 9) > 0 THEN cost ELSE 0 END,
+    pnl + CASE WHEN sell THEN least(shares, size)*(price - cost) ELSE 0 END FROM f JOIN s ON s.k = f.k AND s.rn = f.rn + 1)
+SELECT k AS fund_type, event_key, r4(shares) AS shares, r4(cost) AS avg_cost, r4(pnl) AS realized_pnl FROM f WHERE rn > 0""")
 def stream_position_state(t: Tables):
-    e = live(t).read("events").select(
+    e = t.read("events").select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("fund_type"), F.lit("t").alias("token_id"), F.col("event_id").cast("string").alias("event_key"), "ts",
         F.when(F.col("event_type") == "view", "SELL").otherwise("BUY").alias("side"), ((F.col("event_id") % 90 + 5) / F.lit(100.0)).alias("price"), (F.col("value") + 1).alias("size"))
-    out = drained(t, state.position_state(e), "positions")
-    return out.agg(F.count_distinct("event_key").alias("fills"), F.count_distinct("fund_type").alias("owners"))
+    out = drained_in_slices(t, e, "ts", ["fund_type"], lambda s: state.position_state(s, keep_seconds=400 * state.DAY), "positions")
+    return rounded(out.drop("token_id"), 4)
+
+
+@query("stream_edge_drops", """SELECT proxy_address, calculated_at, total_score, peak AS recent_peak FROM (SELECT *, max(total_score) OVER (PARTITION BY proxy_address ORDER BY calculated_at, version ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS peak
+  FROM v_score_history) WHERE peak - total_score > 15""")
+def stream_edge_drops(t: Tables):
+    h = t.score_history().select("proxy_address", "calculated_at", "version", "total_score")
+    return drained_in_slices(t, h, "calculated_at", ["proxy_address"], lambda s: state.edge_drops(s, keep_seconds=400 * state.DAY), "edge-drops")
+
+
+@query("stream_alert_dedup", """SELECT DISTINCT left(md5('insider:' || CASE WHEN version % 2 = 0 THEN 'VOLUME_SPIKE' ELSE 'WHALE_ANOMALY' END || ':' || market_slug || ':' || CASE WHEN outcome = 'Up' THEN 'YES' ELSE 'NO' END || ':'
+  || CAST(CAST(floor(notional/1000)*1000 AS BIGINT) AS VARCHAR)), 16) AS dedup_key FROM v_trades_raw WHERE version % 10 = 0 OR version % 5 IN (1, 2)""")
+def stream_alert_dedup(t: Tables):
+    """All alerts come in one batch, so each key passes once, whatever the version of a trade."""
+    n = F.col("version")
+    alerts = live(t).lines().select("*", F.col("l_suppkey").alias("version"), F.col("slug").alias("market_slug"), (F.col("price") * F.col("l_quantity")).alias("total_volume_usd")).select(
+        F.col("event_key").alias("alert_id"), "market_slug", F.when(n % 2 == 0, "VOLUME_SPIKE").otherwise("WHALE_ANOMALY").alias("signal_type"),
+        F.when(n % 10 == 0, "CRITICAL").when(n % 5 == 1, "HIGH").when(n % 5 == 2, "MEDIUM").otherwise("LOW").alias("severity"), F.when(F.col("outcome") == "Up", "YES").otherwise("NO").alias("direction"),
+        "total_volume_usd", F.col("ts").alias("detected_at"))
+    return drained(t, jobs.stream_alert_dedup(alerts), "alerts").select("dedup_key")
 
 
 # ---- batch sinks -----------------------------------------------------------------------------

@@ -7,9 +7,9 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-KINDS = {"double": (DoubleType(), pa.float64()), "bigint": (LongType(), pa.int64()), "boolean": (BooleanType(), pa.bool_())}
+KINDS = {"double": (DoubleType(), pa.float64()), "bigint": (LongType(), pa.int64()), "boolean": (BooleanType(), pa.bool_()), "string": (StringType(), pa.string())}
 
 
 def fold_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], outputs: dict[str, str],

@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradelens.session import checkpointed
+
+#: A monotonically increasing id has the place inside a partition in its lower bits.
+PARTITION_BITS = 33
+
 
 def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int) -> DataFrame:
     """The first ``limit`` rows of each key in ``order``. Spark applies the limit before the shuffle too, so a hot key sends few rows."""
@@ -14,18 +19,22 @@ def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit:
     return df.withColumn("_spot", spot).filter(F.col("_spot") <= limit).drop("_spot")
 
 
-def ranked(df: DataFrame, value: str, tie: str, name: str = "rank", prefix: int = 6) -> DataFrame:
-    """Place of every row by ``value`` descending, then by the text ``tie`` ascending.
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Place of every row from 1 in ``order``, over the whole table.
 
-    Rows are numbered inside (value, first ``prefix`` characters of tie); the counts of what stands before are summed up
-    over prefixes of a value and over the distinct values.
+    Rows are dealt to partitions by ranges of the order and sorted there; the counts of the partitions before, one row a partition, complete the place.
+    No value and no prefix has to fit in a task: rows that are alike in the order are the only ones that stay together, in any order.
     """
-    rows = df.withColumn("_head", F.substring(tie, 1, prefix))
-    counts = rows.groupBy(value, "_head").agg(F.count(F.lit(1)).alias("_n"))
-    totals = counts.groupBy(value).agg(F.sum("_n").alias("_n"))
-    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    above = totals.select(value, before(Window.partitionBy(F.lit(1)).orderBy(F.desc(value))).alias("_above"))
-    ahead = counts.select(value, "_head", before(Window.partitionBy(value).orderBy("_head")).alias("_ahead"))
-    inside = F.row_number().over(Window.partitionBy(value, "_head").orderBy(tie))
-    placed = rows.withColumn("_in", inside).join(ahead, [value, "_head"]).join(above, value)
-    return placed.select(*df.columns, (F.col("_above") + F.col("_ahead") + F.col("_in")).cast("bigint").alias(name))
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = checkpointed(placed)  # the ranges are sampled, so they must be drawn once
+    part = F.shiftrightunsigned("_id", PARTITION_BITS)
+    parts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    parts = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.col("_id") - F.shiftleft("_part", PARTITION_BITS) + 1
+    return placed.withColumn("_part", part).join(parts, "_part").select(*df.columns, (F.col("_before") + inside).cast("bigint").alias(name))
+
+
+def ranked(df: DataFrame, value: str, tie: str, name: str = "rank") -> DataFrame:
+    """Place of every row by ``value`` descending, then by ``tie`` ascending; nulls of either come last."""
+    return numbered(df, [F.col(value).desc_nulls_last(), F.col(tie).asc_nulls_last()], name)

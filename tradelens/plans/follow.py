@@ -6,8 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelens.functions.numeric import div
+from tradelens.operators.asof import asof_join
 from tradelens.operators.fold import fold_rows
+from tradelens.operators.scan import ordered_scan, time_segment
 from tradelens.plans.traders import TRADER
+from tradelens.session import checkpointed
+
+#: Prices are summed as whole millionths.
+MILLIONTHS = 1_000_000
 
 
 def edge_drop_signals(history: DataFrame, scores: int = 12, drop: float = 15) -> DataFrame:
@@ -72,19 +78,31 @@ def edge_follow_signals(trades: DataFrame, ml: DataFrame, as_of: Column, max_age
 def momentum_signal(prices: DataFrame, seconds: int = 600, min_samples: int = 3, threshold: float = 0.02) -> DataFrame:
     """Mean of the last third against the first third of a sliding window, per market and tick.
 
-    Ticks of one market are cut into time blocks as long as the window; each block is shown the ticks
-    of the block before, so one block and not the whole market is windowed in a task.
+    No window is gathered. Ticks of a market get their place and the running sum of prices (whole millionths, so differences are exact) by a
+    segmented scan. A window is then a range of places: its end is the last tick of the same moment, its start follows the last tick
+    before the window, found as of that moment; the sums at its thirds are looked up by place.
     """
-    block = F.floor(F.unix_micros("ts") / F.lit(seconds * 1_000_000)).cast("bigint")
-    shown = prices.withColumn("_own", block).withColumn("_block", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
-    span = Window.partitionBy("market_slug", "_block").orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000, 0)
-    window = F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), "event_key", "price")).over(span))
-    rows = shown.withColumn("_w", window).filter("_own = _block")
-    n = F.size("_w")
-    third = F.greatest(F.lit(1), F.floor(n / 3).cast("int"))
-    mean = lambda part, k: F.aggregate(part, F.lit(0.0), lambda a, x: a + x["price"]) / k
-    early, late = F.round(mean(F.slice("_w", F.lit(1), third), third), 4), F.round(mean(F.slice("_w", n - third + 1, third), third), 4)
-    rows = rows.withColumns({"samples": n, "early_price": early, "late_price": late}).drop("_w", "_own", "_block")
+    key, span = "market_slug", F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds).cast("decimal(18,6)") + F.lit(0.000001).cast("decimal(18,6)"))
+    value = F.round(F.col("price") * MILLIONTHS).cast("bigint")
+    ticks = checkpointed(ordered_scan(prices, [key], time_segment("ts"), ["ts", "event_key"], sums={"_at": F.lit(1).cast("bigint"), "_sum": value}))
+    ends = ticks.groupBy(key, "ts").agg(F.max("_at").alias("_end"), F.max_by("_sum", "_at").alias("_end_sum")).filter(f"{key} IS NOT NULL AND ts IS NOT NULL")
+    asked = ends.withColumn("_before_ts", F.col("ts") - span)
+    windows = asof_join(asked, ends.select(F.col(key).alias("_market"), F.col("ts").alias("_at_ts"), F.col("_end").alias("start"), F.col("_end_sum").alias("start_sum")),
+                        key, "_market", "_before_ts", "_at_ts", ["start", "start_sum"], prefix="_")
+    start = F.coalesce("_start", F.lit(0).cast("bigint"))
+    n = F.col("_end") - start
+    third = F.greatest(F.lit(1).cast("bigint"), F.floor(n / 3).cast("bigint"))
+    windows = checkpointed(windows.select(key, "ts", n.alias("samples"), third.alias("_third"), "_end_sum", F.coalesce("_start_sum", F.lit(0).cast("bigint")).alias("_start_sum"),
+                                          (start + third).alias("_early_at"), (F.col("_end") - third).alias("_late_at")))
+    sums = ticks.select(key, "_at", "_sum")
+    asked_sums = windows.select(key, "ts", F.explode(F.array(F.struct(F.lit("e").alias("part"), F.col("_early_at").alias("at")), F.struct(F.lit("l").alias("part"), F.col("_late_at").alias("at")))).alias("x"))
+    found = asked_sums.select(key, "ts", "x.part", F.col("x.at").alias("_at")).join(sums, [key, "_at"]).groupBy(key, "ts").agg(
+        F.max(F.when(F.col("part") == "e", F.col("_sum"))).alias("_early_sum"), F.max(F.when(F.col("part") == "l", F.col("_sum"))).alias("_late_sum"))
+    whole = F.col("_third") * MILLIONTHS
+    rows = windows.join(found, [key, "ts"]).select(
+        key, "ts", F.col("samples").cast("int").alias("samples"), F.round((F.col("_early_sum") - F.col("_start_sum")) / whole, 4).alias("early_price"),
+        F.round((F.col("_end_sum") - F.coalesce("_late_sum", F.lit(0))) / whole, 4).alias("late_price"))
+    rows = ticks.drop("_at", "_sum").join(rows, [key, "ts"])
     change = F.round(F.col("late_price") - F.col("early_price"), 6)
     kind = F.when(F.col("samples") < min_samples, "NEUTRAL").when(change > threshold, "UP_RISING").when(change < -threshold, "UP_FALLING").otherwise("NEUTRAL")
     return rows.withColumns({"price_change": change, "signal": kind})
@@ -96,10 +114,13 @@ def alert_key(kind: Column, market: Column, direction: Column, volume: Column) -
     return F.substring(F.md5(F.concat_ws(":", F.lit("insider"), kind, market, direction, bucket)), 1, 16)
 
 
+def severity_level() -> Column:
+    return F.when(F.col("severity") == "CRITICAL", 4).when(F.col("severity") == "HIGH", 3).when(F.col("severity") == "MEDIUM", 2).otherwise(1)
+
+
 def alert_dedup(alerts: DataFrame, min_severity: int = 2) -> DataFrame:
     """First alert per key among those severe enough."""
-    level = F.when(F.col("severity") == "CRITICAL", 4).when(F.col("severity") == "HIGH", 3).when(F.col("severity") == "MEDIUM", 2).otherwise(1)
-    keyed = alerts.filter(level >= min_severity).withColumn(
+    keyed = alerts.filter(severity_level() >= min_severity).withColumn(
         "dedup_key", alert_key(F.col("signal_type"), F.col("market_slug"), F.col("direction"), F.col("total_volume_usd")))
     return keyed.groupBy("dedup_key").agg(
         F.min_by(F.struct("alert_id", "detected_at"), F.struct("detected_at", "alert_id")).alias("_f"), F.count(F.lit(1)).alias("copies")).select(

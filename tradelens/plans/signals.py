@@ -151,15 +151,13 @@ def coordinated_entry(trades: DataFrame, as_of: Column, hours: int = 24, min_tra
         "direction", F.when(F.col("outcome_index") == 0, "YES").otherwise("NO"))
 
 
-def cluster_members(trades: DataFrame, clusters: DataFrame, as_of: Column, hours: int = 24, named: int = 10) -> DataFrame:
-    """The first traders of each flagged cluster, by entry time."""
+def cluster_members(trades: DataFrame, clusters: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
+    """All traders of each flagged cluster, by entry time. The list is as long as the cluster has traders."""
     keys = ["market_slug", "outcome_index"]
     entries = trades.filter(since(as_of, hours=hours) & (F.col("side") == "BUY")).join(clusters.select(*keys), keys, "left_semi").groupBy(
         *keys, "username").agg(F.min("ts").alias("entry"))
-    order = Window.partitionBy(*keys).orderBy("entry", "username")
-    first = entries.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= named)
-    return first.groupBy(*keys).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("rn", "username"))), lambda x: x["username"]).alias("traders"))
+    listed = F.array_sort(F.collect_list(F.struct("entry", "username")))
+    return entries.groupBy(*keys).agg(F.transform(listed, lambda x: x["username"]).alias("traders"))
 
 
 def large_recent_bets(trades: DataFrame, as_of: Column, hours: int) -> DataFrame:

@@ -176,9 +176,13 @@ def payload_schema(cells: Mapping[str, tuple[str, str]]) -> T.StructType:
     return build(tree)
 
 
-def of_type(events: DataFrame, spec: Projection) -> DataFrame:
+def is_type(spec: Projection) -> Column:
     kind = F.col("type").endswith(spec.event_type)
-    return events.filter(kind & F.col("type").startswith(spec.type_start) if spec.type_start else kind)
+    return kind & F.col("type").startswith(spec.type_start) if spec.type_start else kind
+
+
+def of_type(events: DataFrame, spec: Projection) -> DataFrame:
+    return events.filter(is_type(spec))
 
 
 def project(events: DataFrame, name: str, source: str | None = None) -> DataFrame:

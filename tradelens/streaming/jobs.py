@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tradelens.operators.latest import latest_per_key
-from tradelens.plans.follow import alert_key
-from tradelens.sources.projections import PROJECTIONS, of_type, project
+from tradelens.plans.follow import alert_key, severity_level
+from tradelens.sources.projections import PROJECTIONS, is_type, project
 from tradelens.sources.sinks import write_table
 
 WATERMARK = "10 minutes"
@@ -37,14 +37,10 @@ def stream_minute_bars(prints: DataFrame, watermark: str = WATERMARK) -> DataFra
                        F.try_divide("notional", "volume").alias("vwap"), "low_price", "high_price", "buy_volume", "sell_volume")
 
 
-def stream_latest_book(quotes: DataFrame) -> DataFrame:
-    """Newest quote per asset in update mode; one row of state per asset."""
-    fields = [c for c in quotes.columns if c not in ("asset_id", "ts", "seq")]
-    return quotes.groupBy("asset_id").agg(F.max_by(F.struct("ts", *fields), F.struct("ts", "seq")).alias("q")).select("asset_id", "q.*")
-
-
-def stream_alert_dedup(alerts: DataFrame, ttl: str = "1 hour") -> DataFrame:
-    keyed = alerts.withColumn("dedup_key", alert_key(F.col("signal_type"), F.col("market_slug"), F.col("direction"), F.col("total_volume_usd")))
+def stream_alert_dedup(alerts: DataFrame, ttl: str = "1 hour", min_severity: int = 2) -> DataFrame:
+    """Alerts severe enough, one per key within ``ttl`` of event time; keys leave the state after it."""
+    keyed = alerts.filter(severity_level() >= min_severity).withColumn(
+        "dedup_key", alert_key(F.col("signal_type"), F.col("market_slug"), F.col("direction"), F.col("total_volume_usd")))
     return keyed.withWatermark("detected_at", ttl).dropDuplicatesWithinWatermark(["dedup_key"])
 
 
@@ -52,13 +48,15 @@ def fan_out(tables: Sequence[str], root: str, grain: str = "day"):
     """Batch function that writes each typed table of one micro-batch.
 
     The batch is persisted once so the payloads are read from the source a single time. Batches may be
-    replayed after a failure: tables are read through their latest-per-key view, which drops copies.
+    replayed after a failure: tables are read through their latest-per-key view, which drops copies. One pass tells which event types
+    a batch holds, so only their tables are projected.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
+            held = batch.agg(*[F.count_if(is_type(PROJECTIONS[name])).alias(name) for name in tables]).first()
             for name in tables:
-                if not of_type(batch, PROJECTIONS[name]).isEmpty():
+                if held[name]:
                     write_table(project(batch, name).withColumn("batch_id", F.lit(batch_id)), f"{root}/{name}", grain=grain)
         finally:
             batch.unpersist()
