@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries share a base trained on ordinary text. The toxic one adds pieces that stand out in toxic
-documents, the ordinary one as many bytes of ordinary text. A window that the toxic dictionary
+Two zstandard dictionaries of equal size. Each is a base trained on windows of ordinary text, behind a part trained on words of its own side: of the toxic sample those
+places where toxic documents differ from ordinary ones, of the ordinary sample as many words. A window that the toxic dictionary
 packs shorter is a suspect and is looked at again in runs of two words. Every piece is packed behind a carrier that both dictionaries
 hold, because a short piece alone is stored as it is and shows no gain. The number and the share of windows with each gain, held against
 thresholds calibrated on toxic and ordinary documents, give the score of a text.
@@ -22,9 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradelens.llm.common import small_batches, utf8, values
+from tradelens.session import checkpointed
 
 #: Bytes of a window, of its step and of the carrier; words of a run; least gain of a suspect; number of gain classes.
 WINDOW, STEP, CARRIER, RUN, SUSPECT, CLASSES = 64, 52, 64, 2, 2, 8
+#: Characters of a gram, and how many places of it a document names.
+GRAM, CONTEXTS = 6, 4
 CUTOFF = 0.7
 
 
@@ -93,20 +96,41 @@ class _Packer:
         return counts
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of the sample. Each document names one word that stands before the piece in it, chosen by hash, so copies name the same one."""
+def _words(text: bytes | None) -> Iterator[tuple[int, str]]:
+    """Each word of the whole text, between blanks, with a hash of the word before it."""
+    before = 0
+    for word in (text or b"").lower().decode().split():
+        word = word.strip(".,;:!?#$%&*|\"'()[]<>-")
+        if word:
+            yield before, f" {word} "
+            before = zlib.crc32(word.encode())
+
+
+def _grams_of(word: str) -> list[str]:
+    return [word[i:i + GRAM] for i in range(len(word) - GRAM + 1)]
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams of the sample. Each document names a few words that stand before the gram in it, chosen by hash, so copies name the same ones and a long text counts no more."""
     for batch in batches:
-        words, before, toxic = [], [], []
+        grams, before, toxic = [], [], []
         for text, label in zip(utf8(batch, "text"), values(batch, "toxic"), strict=True):
-            found = [w.strip(b".,;:!?#$%&*|\"'()[]<>-") for w in (text or b"").lower().split()]
-            chosen: dict[bytes, int] = {}
-            for a, b in zip(found, found[1:], strict=False):
-                if 3 < len(b) <= 24:
-                    chosen[b] = min(chosen.get(b, 1 << 32), zlib.crc32(a))
-            words += chosen
-            before += chosen.values()
-            toxic += [label] * len(chosen)
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(before, pa.int64()), pa.array(toxic, pa.int32())], ["piece", "before", "toxic"])
+            named: dict[str, set[int]] = {}
+            for context, word in _words(text):
+                for gram in _grams_of(word):
+                    named.setdefault(gram, set()).add(context)
+            for gram, contexts in named.items():
+                some = sorted(contexts)[:CONTEXTS]
+                grams += [gram] * len(some)
+                before += some
+                toxic += [label] * len(some)
+        yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(before, pa.int64()), pa.array(toxic, pa.int32())], ["gram", "before", "toxic"])
+
+
+def _piece(word: str, grams: frozenset[str]) -> str | None:
+    """The part of the word that grams of the set cover, from the first to the last."""
+    at = [i for i in range(len(word) - GRAM + 1) if word[i:i + GRAM] in grams]
+    return word[at[0]:at[-1] + GRAM] if at else None
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,26 +143,34 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, label: str, per_class: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """text and label of a bounded sample: per label value the ``per_class`` ids with the smallest hashes of those that ``learn`` admits.
 
-    The sample is drawn from the labels alone, so texts are read once and none is shuffled. An id with several labels counts with its largest.
+    The sample is drawn from the labels alone. An id with several labels counts with its largest, one that several documents bear gives one of them
+    (the largest text hash), so the sample has at most ``2 * per_class`` rows whatever repeats.
     """
     ids = labels.filter(learn & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).cast("int").alias(label))
     draw = lambda v: ids.filter(F.col(label) == v).orderBy(F.xxhash64(F.col(doc_id), F.lit(7)), doc_id).limit(per_class)
-    return docs.select(doc_id, text).join(F.broadcast(draw(0).unionByName(draw(1))), doc_id).select(F.col(text).alias("text"), label)
+    met = docs.select(doc_id, F.col(text).alias("text")).join(F.broadcast(draw(0).unionByName(draw(1))), doc_id)
+    return met.groupBy(doc_id, label).agg(F.max_by("text", F.xxhash64("text")).alias("text")).select("text", label)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 2000, dictionary: int = 8192, most_pieces: int = 64,
-        least_share: float = 0.02, odds: int = 40, most_windows: int = 50_000) -> Model:
-    """Learns from at most ``per_class`` documents of each label among those whose labels row satisfies ``learn``.
+def _trained(size: int, samples: list[bytes], **how: int) -> bytes:
+    try:
+        return zstandard.train_dictionary(size, samples, **how).as_bytes()
+    except (zstandard.ZstdError, ValueError):  # too little text to train on
+        return b"".join(samples)[-size:]
+
 
-    The ordinary dictionary is trained on at most ``most_windows`` windows drawn from all of the ordinary sample.
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 2000, dictionary: int = 8192, part: int = 2048, evidence: float = 25.0,
+        odds: float = 3.0, most_grams: int = 4096, most_pieces: int = 50_000, most_windows: int = 50_000) -> Model:
+    """Learns from at most ``per_class`` documents of each label among those whose labels row satisfies ``learn``.
 
-    A piece stands out when toxic documents name many different words before it, at least ``least_share`` as many as
-    there are toxic documents, and ``odds`` times as often as ordinary ones do. Copies of one text, or a single
-    long one, thus lend it no weight. Without toxic or without ordinary documents every text scores the share of toxic labels, or 0.
+    The base is trained on at most ``most_windows`` windows drawn from all of the ordinary sample. A gram tells toxic text where toxic documents name more words before it than their share of all
+    such places lets expect: by a likelihood ratio of ``evidence`` and ``odds`` times as often as ordinary ones do (at most ``most_grams``, the strongest). The toxic part is trained on
+    the pieces of toxic words that these grams cover, one for each place (at most ``most_pieces``), the ordinary part on as many words of ordinary documents. The trainer
+    chooses what the dictionaries hold. Without toxic or without ordinary documents every text scores the share of toxic labels, or 0.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    sample = training_rows(docs, labels, learn, "toxic", per_class)
+    sample = checkpointed(training_rows(docs, labels, learn, "toxic", per_class))
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_ordinary = totals.get(1, 0), totals.get(0, 0)
     share = labels.filter(learn & F.col("toxic").isNotNull()).agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
@@ -147,20 +179,33 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 2000
     if not n_toxic or not n_ordinary:
         return Model(b"", b"", tuple(nothing))
 
-    pieces = sample.mapInArrow(_pieces, "piece binary, before bigint, toxic int").groupBy("piece", "before").agg(
-        F.max(F.col("toxic")).alias("t"), F.max(1 - F.col("toxic")).alias("o"))
-    pieces = pieces.groupBy("piece").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    stands_out = (F.col("t") >= max(3, math.ceil(least_share * n_toxic))) & (F.col("t") * n_ordinary >= odds * F.col("o") * n_toxic)
-    chosen = [bytes(r["piece"]) for r in pieces.filter(stands_out).orderBy(F.col("t").desc(), "piece").limit(most_pieces).collect()]
-    drawn = sample.filter("toxic = 0").select("text").mapInArrow(_windows, "draw bigint, window binary").orderBy("draw", "window").limit(most_windows)
-    ordinary = [bytes(r["window"]) for r in drawn.collect()]
-    try:
-        base = zstandard.train_dictionary(dictionary, ordinary).as_bytes()
-    except (zstandard.ZstdError, ValueError):  # too little text to train on
-        base = b"".join(ordinary)[-dictionary:]
-    special = b" " + b" ".join(reversed(chosen)) + b" "
-    filler = (b"".join(ordinary) + b" " * len(special))[:len(special)]
-    dictionaries = (filler + base, special + base)
+    places = sample.mapInArrow(_grams, "gram string, before bigint, toxic int").groupBy("gram", "before").agg(F.max(F.col("toxic")).alias("t"), F.max(1 - F.col("toxic")).alias("o"))
+    places = checkpointed(places.groupBy("gram").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
+    all_t, all_o = (float(x or 1) for x in places.agg(F.sum("t"), F.sum("o")).first())
+    t, o, expected = F.col("t"), F.col("o"), (F.col("t") + F.col("o")) * (all_t / (all_t + all_o))
+    ratio = 2 * (t * F.ln(t / expected) + F.when(o > 0, o * F.ln(o / (t + o - expected))).otherwise(0.0))
+    telling = places.filter((t > expected) & (t * all_o >= odds * o * all_t)).withColumn("ratio", F.when(t > 0, ratio)).filter(F.col("ratio") >= evidence)
+    grams = frozenset(r["gram"] for r in telling.orderBy(F.col("ratio").desc(), "gram").limit(most_grams).collect())
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, bytes, int]] = []
+            for text, label in zip(utf8(batch, "text"), values(batch, "toxic"), strict=True):
+                for before, word in _words(text):
+                    piece = _piece(word, grams) if label else word
+                    if piece is not None:
+                        out.append((zlib.crc32(word.encode(), before), piece.encode(), label))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.int32()))], ["draw", "piece", "toxic"])
+
+    found = sample.mapInArrow(pieces, "draw bigint, piece binary, toxic int").distinct()  # a place that copies share is one
+    drawn = lambda label, n: [bytes(r["piece"]) for r in found.filter(F.col("toxic") == label).orderBy("draw", "piece").limit(n).collect()] if n else []
+    toxic = drawn(1, most_pieces) if grams else []
+    ordinary = drawn(0, len(toxic))
+    windows = sample.filter("toxic = 0").select("text").mapInArrow(_windows, "draw bigint, window binary").orderBy("draw", "window").limit(most_windows)
+    base = _trained(dictionary, [bytes(r["window"]) for r in windows.collect()])
+    own = [_trained(part, some, k=64, d=6, steps=1) if some else b"" for some in (ordinary, toxic)]
+    equal = min(map(len, own))
+    dictionaries = tuple(x[len(x) - equal:] + base for x in own)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(*dictionaries)
