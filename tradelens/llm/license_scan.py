@@ -41,6 +41,7 @@ LICENSES = (
     Template("cc-by-nc", "licensed under cc by nc 4 0"),
     Template("cc-by", "licensed under a creative commons attribution 4 0 international license"),
     Template("proprietary", "all rights reserved no part of this publication may be reproduced"),
+    Template("proprietary", "all rights reserved", True),
 )
 MERGE, COVER = 2, 0.8
 
@@ -127,19 +128,19 @@ def scan(docs: DataFrame, phrases: Sequence[Template] = PHRASES, licenses: Seque
     templates = [*phrases, *licenses]
     if any(len(t.words.split()) - GRAM + 1 > 64 for t in templates):
         raise ValueError("a template has at most 64 pairs, one for each bit")
-    pairs = F.element_at(F.array(*[F.lit(len(t.words.split()) - GRAM + 1) for t in templates]), F.greatest(F.col("template") + 1, F.lit(1)))
-    label = F.element_at(F.array(*[F.lit(t.label) for t in templates]), F.greatest(F.col("template") + 1, F.lit(1)))
+    of_template = lambda given: F.element_at(F.array(*[F.lit(x) for x in given]), F.greatest(F.col("template") + 1, F.lit(1)))
+    pairs, label = of_template([len(t.words.split()) - GRAM + 1 for t in templates]), of_template([t.label for t in templates])
     doc = ["doc_id", "text_hash", "n_words"]
     by_doc = Window.partitionBy(*doc).orderBy("template", "diagonal")
     found = votes(docs, templates, doc_id, text)
     found = found.withColumn("copies", F.first("votes").over(by_doc))  # the mark sorts first
-    reach = F.when(F.col("template") < len(phrases), F.lit(0)).otherwise(F.lit(merge))
+    reach = of_template([0 if t.exact else merge for t in templates])
     fresh = ~(F.lag("template").over(by_doc).eqNullSafe(F.col("template")) & (F.col("diagonal") - F.lag("diagonal").over(by_doc) <= reach))
     found = found.withColumn("fresh", fresh.cast("int"))
     found = found.withColumn("span", F.sum("fresh").over(by_doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     spans = found.groupBy(*doc, "template", "span").agg(
         F.max("copies").alias("copies"), F.bit_or("places").alias("places"), F.collect_list(F.struct("diagonal", "places")).alias("diagonals"))
-    needed = F.when(F.col("template") < len(phrases), F.lit(1.0)).otherwise(F.lit(cover))
+    needed = of_template([1.0 if t.exact else cover for t in templates])
     enough = (F.col("template") >= 0) & (F.bit_count("places") / pairs >= needed)  # else no chain can be long enough
     spans = spans.withColumn("chain", F.when(enough, longest_chain(F.col("diagonals"), pairs, merge)))
     spans = spans.withColumns({"share": F.coalesce(F.col("chain.n") / pairs, F.lit(0.0)), "start": -F.col("chain.back"), "label": label}).withColumn("good", (F.col("template") >= 0) & (F.col("share") >= needed))
