@@ -165,6 +165,7 @@ def test_license_spans_hold_the_template_in_order(spark):
              "Licensed under CC BY-NC 4.0.", "licensed under, the apache license version 2.0 or 4.0 4.0 4.0 4.0"]
     rows = license_scan.scan(docs_of(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
     assert [r["labels"] for r in rows] == ["", "", "", "apache", "cc-by-nc", "apache"] and [r["score"] for r in rows[:3]] == [0, 0, 0]
+    assert license_scan.scan(docs_of(spark, [(1, "All rights reserved."), (2, "all rights are reserved")])).orderBy("doc_id").collect()[0]["labels"] == "proprietary"
     assert [s["label"] for s in rows[3]["spans"]] == ["apache"] and rows[3]["spans"][0]["start"] == rows[3]["first_word"]
 
 
@@ -355,3 +356,137 @@ def test_codewords_differ():
         apart = [(a != b).sum() for i, a in enumerate(codes) for b in codes[i + 1:]]
         assert codes.shape[0] == n and min(apart) >= 1 and not (n > 3 and min(apart) < 3)
 
+
+
+def test_license_sql_states_the_chain(spark, tmp_path):
+    """The query and its SQL on repeated numbers, pairs out of order, inserted and missing words."""
+    import duckdb
+
+    from tradelens.llm import q_license_scan
+    mit = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
+    texts = [" ".join(["4.0"] * n) for n in (5, 6, 40)] + [" ".join(["2.0"] * 7), mit, mit.replace("any person", "any other nice person"), " ".join(mit.split()[::-1]), mit.replace("free of charge", "") + " " + mit,
+             "version 2 0, license version, apache license, the apache, under the, licensed under", "Licensed under CC BY-NC 4.0. 4.0 4.0", "All rights reserved. All Rights, reserved!", None, "", "MIT License mit license",
+             "licensed under the apache license version 2.0 or 4.0 4.0 4.0 4.0", "all rights reserved no part of this of this publication may be reproduced"]
+    docs_of(spark, list(enumerate(texts))).select("doc_id", "text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    found = q_license_scan.op1_license_scan(spark, str(tmp_path))
+    columns = found.columns
+    expect = con.execute(f"SELECT {', '.join(columns)} FROM ({q_license_scan.SQL})").fetchall()
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(expect, key=repr)
+
+
+def test_similar_groups_on_hot_buckets(spark, none):
+    """Hundreds of near copies of one text, exact copies, short texts and texts without words."""
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(150):
+        w = list(words)
+        w[int(rng.integers(0, 200))] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(500 + i, " ".join(words)) for i in range(40)] + [(700 + i, " ".join(rng.permutation(words))) for i in range(20)] + [(800, "a b"), (801, "A  b"), (802, "a b c"), (803, None), (804, ""), (None, " ")]
+    found = simhash.similar_groups(docs_of(spark, rows), 0.8).collect()
+    groups = defaultdict(set)
+    for r in found:
+        groups[bytes(r["group"])].add(r["doc_id"])
+    assert len(found) == len(rows) and sorted(map(len, groups.values()), reverse=True)[:3] == [190, 3, 2] and len(groups) == 1 + 20 + 1 + 1 + 1
+    assert simhash.similar_groups(none, 0.8).count() == 0 and simhash.one_per_group(none, similarity=0.8).count() == 0
+
+
+# ---- the models, scored by plain loops -------------------------------------------------------
+
+
+def taught(spark):
+    """Two languages, a toxic word, long and short texts."""
+    rng = np.random.default_rng(7)
+    en, de = ["the", "house", "is", "green", "and", "walks", "under", "morning"], ["das", "haus", "ist", "gruen", "und", "geht", "unter", "morgen"]
+    rows = []
+    for i in range(160):
+        w = [f"{x}{rng.integers(0, 50)}" for x in rng.choice(en if i % 2 else de, int(rng.integers(8, 60)))]
+        if i % 4 == 0:
+            w[::7] = ["zorblaxes"] * len(w[::7])
+        rows.append((i, " ".join(w), "en" if i % 2 else "de"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    return docs, labelled(spark, [(i, int(i % 3 == 0), int(i % 4 == 0)) for i, _, _ in rows]), rows
+
+
+def test_toxicity_scores_by_hand(spark):
+    """Window gains with the two dictionaries, packed one by one, and the logistic sum."""
+    import zstandard
+    docs, labels, rows = taught(spark)
+    model = toxicity.fit(docs, labels, F.lit(True))
+    assert len(model.ordinary) == len(model.toxic) > 0 and b"zorbl" in model.toxic and b"zorbl" not in model.ordinary
+    params = zstandard.ZstdCompressionParameters(min_match=5, strategy=zstandard.STRATEGY_GREEDY, window_log=14, hash_log=14, chain_log=14, search_log=3, target_length=16,
+                                                 write_content_size=False, write_checksum=False, write_dict_id=False)
+    carrier = b""
+    while len(carrier) < toxicity.CARRIER and model.ordinary[-len(carrier) - 1:] == model.toxic[-len(carrier) - 1:]:
+        carrier = model.ordinary[-len(carrier) - 1:]
+
+    def gain(piece):
+        sizes = []
+        for content in (model.ordinary, model.toxic):
+            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes.append(len(zstandard.ZstdCompressor(compression_params=params, dict_data=held).compress(carrier + piece)))
+        return sizes[0] - sizes[1]
+
+    found = {r["doc_id"]: r["score"] for r in toxicity.scores(docs, model).collect()}
+    for i, text, _ in rows[:24]:
+        data, levels = text.lower().encode(), [0] * toxicity.CLASSES
+        for start in range(0, len(data), toxicity.STEP):
+            window = data[start:start + toxicity.WINDOW]
+            level = 0
+            if gain(window) >= toxicity.SUSPECT:
+                w = window.split()
+                level = min(max(0, *(gain(b" " + b" ".join(w[k:k + 2]) + b" ") for k in range(max(1, len(w) - 1)))) + 1, toxicity.CLASSES - 1)
+            levels[level] += 1
+        upwards = [sum(levels[k:]) for k in range(1, toxicity.CLASSES)]
+        x = [1.0, *(math.log(1 + u) for u in upwards), *(math.sqrt(u / max(sum(levels), 1)) for u in upwards)]
+        assert math.isclose(found[i], 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True)))), rel_tol=1e-9)
+    caught = sum(found[i] >= 0.7 for i, _, _ in rows if i % 4 == 0)
+    assert caught >= 35 and not any(found[i] >= 0.7 for i, _, _ in rows if i % 4)
+
+
+def test_language_codes_decoded_by_hand(spark):
+    docs, _, rows = taught(spark)
+    model = language_id.fit(docs, F.lit(True))
+    found = {r["doc_id"]: r for r in language_id.identify(docs, model).collect()}
+    for i, text, _ in rows[:20]:
+        x = ngrams.unit(ngrams.counts(text.encode(), language_id.SIZES, language_id.BITS))
+        losses = []
+        for code in model.codes:
+            loss = 0.0
+            for bit in range(len(code)):
+                margin = float(sum(x[s] * model.weights[s, bit] for s in np.flatnonzero(x))) + float(model.bias[bit])
+                loss += math.log(1 + math.exp(-margin * code[bit])) * float(model.trust[bit])
+            losses.append(loss)
+        best = min(range(len(losses)), key=losses.__getitem__)
+        assert found[i]["lang_pred"] == model.languages[best] and math.isclose(found[i]["score"], 1 / sum(math.exp(losses[best] - v) for v in losses), rel_tol=1e-3)
+
+
+def test_attention_scores_by_hand(spark):
+    docs, labels, rows = taught(spark)
+    model = quality.fit(docs, labels, F.lit(True))
+    p = {k: np.asarray(v, dtype=float) for k, v in model.params.items()}
+    found = {r["doc_id"]: r for r in quality.scores(docs, model).collect()}
+    for i, text, _ in rows[:20]:
+        bag = np.concatenate(list(ngrams.passages(text.encode(), quality.PASSAGE, quality.SIZES, quality.BITS))).astype(float)
+        hidden = [np.tanh(x @ p["encode"] + p["encode0"]) for x in bag]
+        raw = [float(sum(np.tanh(h @ p["attend"]) / (1 + np.exp(-(h @ p["gate"]))) * p["pick"])) for h in hidden]
+        total = sum(math.exp(r) for r in raw)
+        whole = sum(math.exp(r) / total * h for r, h in zip(raw, hidden, strict=True))
+        assert math.isclose(found[i]["score"], 1 / (1 + math.exp(-float(whole @ p["score"] + p["score0"]))), rel_tol=1e-3)
+        assert found[i]["top_passage"] == max(range(len(raw)), key=raw.__getitem__)
+
+
+def test_samples_take_one_row_of_an_id(spark):
+    """An id that repeats a thousand times with different texts gives one of them; languages beyond the bound are left out."""
+    docs = spark.createDataFrame([(1, f"text number {k} of one id", "en") for k in range(1000)] + [(2, "ein anderer text", "de"), (3, "encore", "fr")], "doc_id bigint, text string, lang string")
+    sample = toxicity.training_rows(docs, labelled(spark, [(1, 0, 0), (1, 1, 1), (2, 0, 0)]), F.lit(True), "toxic", 10).collect()
+    assert sorted(r["toxic"] for r in sample) == [0, 1]
+    assert language_id.fit(docs, F.lit(True), most_languages=2).languages == ("de", "en")
+
+
+def test_shard_replaces_a_column_of_its_name(spark, docs):
+    out = sharding.with_shard(docs, 8)
+    assert out.columns == docs.columns and docs.filter("shard = 3").count() == len(TEXTS) and out.filter("shard NOT BETWEEN 0 AND 7").count() == 0

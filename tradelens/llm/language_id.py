@@ -56,20 +56,25 @@ def train_bits(x: np.ndarray, signs: np.ndarray, steps: int = 300, rate: float =
     return w, b
 
 
-def fit(docs: DataFrame, learn: Column, per_language: int = 320, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+def fit(docs: DataFrame, learn: Column, per_language: int = 320, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most_languages: int = 256) -> Model:
     """Learns from at most ``per_language`` documents of each language (a multiple of PARTS) among those that ``learn`` admits and whose text has a letter.
 
+    At most ``most_languages`` languages are learnt, those with the most documents (of equals the first by name), so the sample has at most ``most_languages * per_language`` rows and as
+    many places of each part of a language. An id that several documents of a language bear gives one of them (the largest text hash).
     Languages and texts that are null are left out. Without any such document there is no language.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang")).filter(learn & F.col("lang").isNotNull())
+    common = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).select("lang")
+    rows = rows.join(F.broadcast(common), "lang")
     # each of PARTS parts of a language gives its smallest hashes, so that no task reads a whole language
     rows = rows.withColumn("draw", F.xxhash64("doc_id", F.lit(3))).withColumn("part", F.pmod("draw", F.lit(PARTS)))
     spot = F.row_number().over(Window.partitionBy("lang", "part").orderBy("draw", "doc_id"))
     drawn = rows.withColumn("n", spot).filter(F.col("n") <= -(-per_language // PARTS))
     ids = drawn.select("doc_id", "lang").distinct()  # about per_language rows a language at most
-    sample = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("text").rlike(r"\p{L}")).join(
+    met = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("text").rlike(r"\p{L}")).join(
         F.broadcast(ids), ["doc_id", "lang"])
+    sample = met.groupBy("doc_id", "lang").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -35,7 +35,10 @@ def key_hash(doc_id: Column) -> Column:
 
 
 def with_shard(docs: DataFrame, shards: int, doc_id: str = "doc_id", name: str = "shard") -> DataFrame:
-    """The documents with their shard in column ``name``; one pass, no shuffle. Equal ids share a shard, whatever their text."""
+    """The documents with their shard in column ``name``; one pass, no shuffle. Equal ids share a shard, whatever their text; null ids share one too.
+
+    A column of the documents that is called ``name`` is replaced by the shard. Rows that repeat stay as they are, an empty table stays empty.
+    """
     return docs.withColumn(name, jump_shard(key_hash(F.col(doc_id)), shards))
 
 

@@ -26,25 +26,38 @@ FANOUT, SLICE, LARGE = 16, 4096, 2048
 ALL = (1 << 64) - 1
 
 
-def fingerprint(text: bytes | None, block: int = 1 << 16) -> int:
-    """Bit b is set if more than half the shingle hashes have it; 0 without words."""
+def shingle_hashes(text: bytes | None, shingle: int = SHINGLE, block: int = 1 << 16) -> Iterator[np.ndarray]:
+    """XXH64 of each run of ``shingle`` words of the whole text, repeats included, in blocks; of the whole sequence if it is shorter."""
     words = (text or b"").lower().split()
-    n = max(len(words) - SHINGLE + 1, 1 if words else 0)
-    ones = np.zeros(64, dtype=np.int64)
     digest = xxhash.xxh64_intdigest
-    for start in range(0, n, block):
-        some = words[start:start + block + SHINGLE - 1]
+    for start in range(0, max(len(words) - shingle + 1, 1 if words else 0), block):
+        some = words[start:start + block + shingle - 1]
         joined = b" ".join(some)
         lengths = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
         ends = (lengths + 1).cumsum() - 1
-        size = min(SHINGLE, len(some))
+        size = min(shingle, len(some))
         spans = zip((ends - lengths)[:len(some) - size + 1].tolist(), ends[size - 1:].tolist(), strict=True)
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype="<u8", count=len(some) - size + 1)
+        yield np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype="<u8", count=len(some) - size + 1)
+
+
+def _majority(blocks: Iterator[np.ndarray]) -> int:
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in blocks:
+        n += len(hashes)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = np.packbits(ones * 2 > n, bitorder="little")
     return int(bits.view("<i8")[0])
 
 
+def fingerprint(text: bytes | None, block: int = 1 << 16, shingle: int = SHINGLE) -> int:
+    """Bit b is set if more than half the shingle hashes have it; 0 without words."""
+    return _majority(shingle_hashes(text, shingle, block))
+
+
+def _keyed_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).cast("string").alias("text"))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_key, fp: one row per input row, from the whole text."""
     small_batches(docs.sparkSession)
@@ -53,8 +66,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fingerprint(t) for t in utf8(batch, "text")], pa.int64())], ["doc_id", "text_key", "fp"])
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, fp bigint")
+    return _keyed_rows(docs, doc_id, text).mapInArrow(run, "doc_id bigint, text_key bigint, fp bigint")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -225,13 +237,15 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return rows.join(of_code, "fp").select("doc_id", "text_key", "fp", "group_fp", "component_id")
 
 
-def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float | None = None) -> DataFrame:
     """The documents, all columns, one of each component: the smallest id, of repeated ids the smallest text hash, of equal rows one.
 
+    Components are those of ``near_groups``, or with ``similarity`` those of ``similar_groups``.
     Only ids and hashes are compared across documents; texts move once, for the join with those that stay.
     """
-    found = near_groups(docs, doc_id, text).groupBy("group_fp", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
-    best = found.groupBy("group_fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n")).alias("s"))
+    found = near_groups(docs, doc_id, text).withColumnRenamed("group_fp", "group") if similarity is None else similar_groups(docs, similarity, doc_id=doc_id, text=text)
+    found = found.groupBy("group", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n")).alias("s"))
     stays = checkpointed(best.select("s.doc_id", "s.text_key", "s.n"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key"))
     kept = rows.alias("d").join(stays.alias("s"), F.expr("d.doc_id <=> s.doc_id AND d.text_key = s.text_key")).select("d.*", "s.n")
@@ -239,3 +253,83 @@ def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         return kept.select("row.*")
     # rows that repeat: any of them, as their id and text agree
     return kept.filter("n = 1").select("row.*").unionByName(kept.filter("n > 1").dropDuplicates(["doc_id", "text_key"]).select("row.*"))
+
+
+# ---- similar texts ---------------------------------------------------------------------------
+
+#: Words of a shingle where similarity counts; bands of the MinHash sketch and rows of each: a pair at 0.8 shares a band with probability 0.99.
+WIDE, BANDS, ROWS = 5, 20, 7
+
+
+def _sketch(hashes: np.ndarray) -> list[int]:
+    """One hash per band: of the least values of its rows, each under a multiplication of its own."""
+    factors = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(BANDS * ROWS, ALL, dtype=np.uint64)
+    for start in range(0, len(hashes), 4096):
+        mixed = hashes[start:start + 4096]
+        mixed = (mixed ^ (mixed >> np.uint64(29)))[:, None] * factors[None, :]
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0))
+    return [xxhash.xxh64_intdigest(band.tobytes(), k) - (1 << 63) for k, band in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def _set_of(text: bytes | None) -> np.ndarray:
+    blocks = list(shingle_hashes(text, WIDE))
+    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, dtype="<u8")
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text_key, class, n, fp, bands: the class stands for the set of shingles, so copies and texts that only repeat themselves share it."""
+    for batch in batches:
+        classes, sizes, codes, bands = [], [], [], []
+        for t in utf8(batch, "text"):
+            own = _set_of(t)
+            classes.append(xxhash.xxh3_128_digest(own.tobytes())), sizes.append(len(own))
+            codes.append(_majority(iter([own]))), bands.append(_sketch(own) if len(own) else [])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(classes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(codes, pa.int64()),
+                                          pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_key", "class", "n", "fp", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("class")), pa.array([_set_of(t).view(np.int64) for t in utf8(batch, "text")], pa.list_(pa.int64()))], ["class", "shingles"])
+
+
+def similar_groups(docs: DataFrame, similarity: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: doc_id, text_key, group. Texts whose sets of five-word shingles have a Jaccard similarity of at least ``similarity`` are linked.
+
+    Texts with the same set are one class; classes, not copies, are compared. Classes that may be similar meet in buckets: the components of the Gray-order
+    index over their fingerprints, and the bands of a MinHash sketch, as 64 bits can't key that distance. In a bucket all classes are compared exactly with one of them, those that it
+    does not match with another, and so on until none is left to compare, so a bucket of any size makes one pair a member and round. A text without words has
+    the empty set and is similar to its like alone. A null id is an id like any other, repeated rows are members of their class, an empty table gives no rows.
+    """
+    small_batches(docs.sparkSession)
+    rows = checkpointed(_keyed_rows(docs, doc_id, text).mapInArrow(_described, "doc_id bigint, text_key bigint, class binary, n int, fp bigint, bands array<bigint>"))
+    classes = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("one"), F.max("n").alias("n"), F.max("fp").alias("fp"), F.max("bands").alias("bands"))
+    classes = checkpointed(classes.filter("n > 0"))
+    named = components(links(classes.select("fp").distinct())).toDF("fp", "label")
+    by_code = classes.select("class", "n", "fp").join(named, "fp", "left").select("class", "n", F.lit(-1).alias("band"), F.coalesce("label", "fp").alias("key"))
+    keyed = by_code.unionByName(classes.select("class", "n", F.posexplode("bands").alias("band", "key")))
+    crowded = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("band", "key")
+    left = checkpointed(keyed.join(crowded, ["band", "key"], "left_semi"))
+    needed = left.select("class").distinct().join(classes.select("class", "one"), "class").select("class", "one.doc_id", "one.text_key")
+    texts = _keyed_rows(docs, doc_id, text).alias("d").join(needed.alias("n"), F.expr("d.doc_id <=> n.doc_id AND d.text_key = n.text_key")).select("n.class", "d.text")
+    small_batches(docs.sparkSession)
+    sets = checkpointed(texts.mapInArrow(_sets, "class binary, shingles array<bigint>").dropDuplicates(["class"]))  # rows that repeat are alike
+
+    known = sets.sparkSession.createDataFrame([], "a binary, b binary, similar boolean")
+    while not left.isEmpty():
+        centres = left.groupBy("band", "key").agg(F.min(F.struct("class", "n")).alias("c"))
+        pairs = left.join(centres, ["band", "key"]).filter("class <> c.class").select("band", "key", "class", "n", F.col("c.class").alias("centre"), F.col("c.n").alias("centre_n"))
+        pairs = checkpointed(pairs)
+        ends = [F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")]
+        near = F.least("n", "centre_n") >= F.greatest("n", "centre_n") * similarity - 1e-9  # else the sizes alone rule it out
+        asked = pairs.filter(near).select(*ends).distinct().join(known, ["a", "b"], "left_anti")
+        one, other = sets.toDF("a", "x"), sets.toDF("b", "y")
+        shared = F.size(F.array_intersect("x", "y"))
+        fresh = asked.join(one, "a").join(other, "b").select("a", "b", (shared >= (F.size("x") + F.size("y") - shared) * similarity - 1e-9).alias("similar"))
+        known = checkpointed(known.unionByName(fresh))
+        left = checkpointed(pairs.withColumns({"a": ends[0], "b": ends[1]}).join(known.filter("similar"), ["a", "b"], "left_anti").select("class", "n", "band", "key"))
+        again = left.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("band", "key")
+        left = checkpointed(left.join(again, ["band", "key"], "left_semi"))
+    labels = components(known.filter("similar").select(F.col("a").alias("fp"), F.col("b").alias("root"))).toDF("class", "label")
+    return rows.select("doc_id", "text_key", "class").join(labels, "class", "left").select("doc_id", "text_key", F.coalesce("label", "class").alias("group"))
