@@ -173,8 +173,8 @@ def stream_capped_signals(t: Tables):
 @query("signal_cooldown", f"""WITH RECURSIVE s AS (SELECT CAST(user_id AS VARCHAR) AS k, CAST(event_id AS VARCHAR) AS signal_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR)) AS rn,
   greatest(max(ts) OVER (PARTITION BY user_id), {_DRAINED}) AS now FROM events),
 f AS (SELECT k, 0::BIGINT AS rn, NULL::VARCHAR AS signal_id, NULL::TIMESTAMP AS ts, TIMESTAMP '1970-01-01' AS free_at, FALSE AS sent FROM (SELECT DISTINCT k FROM s)
-  UNION ALL SELECT k, rn, signal_id, ts, CASE WHEN sent THEN at + INTERVAL 3600 SECOND ELSE free_at END, sent
-  FROM (SELECT *, at <= now AND epoch_us(at) - epoch_us(ts) <= 300000000 AS sent FROM (SELECT s.*, f.free_at, greatest(s.ts, f.free_at) AS at FROM f JOIN s ON s.k = f.k AND s.rn = f.rn + 1)))
+  UNION ALL SELECT k, rn, signal_id, ts, CASE WHEN sent THEN due + INTERVAL 3600 SECOND ELSE free_at END, sent
+  FROM (SELECT *, due <= now AND epoch_us(due) - epoch_us(ts) <= 300000000 AS sent FROM (SELECT s.*, f.free_at, greatest(s.ts, f.free_at) AS due FROM f JOIN s ON s.k = f.k AND s.rn = f.rn + 1)))
 SELECT k AS cooldown_key, signal_id, ts AS detected_at, free_at - INTERVAL 3600 SECOND AS released_at FROM f WHERE sent""")
 def signal_cooldown(t: Tables):
     e = t.read("events").select(F.col("user_id").cast("string").alias("market_slug"), F.col("event_id").cast("string").alias("signal_id"), F.col("ts").alias("detected_at"))
