@@ -294,42 +294,91 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("class")), pa.array([_set_of(t).view(np.int64) for t in utf8(batch, "text")], pa.list_(pa.int64()))], ["class", "shingles"])
 
 
-def similar_groups(docs: DataFrame, similarity: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+#: Classes of a bucket up to which all of them are compared in one task.
+MOST_CLASSES = 64
+
+
+def _tied(similarity: float):
+    """fp, root: links that connect the classes of a group (rows chunk, class, shingles, sorted by chunk) exactly as its similar pairs do; pairs that are connected already are not compared."""
+
+    def links_of(members: list[tuple[bytes, frozenset[int]]]) -> list[tuple[bytes, bytes]]:
+        members = sorted(members, key=lambda m: (len(m[1]), m[0]))
+        parent = list(range(len(members)))
+
+        def find(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        out = []
+        for k, (name, own) in enumerate(members):
+            for m in range(k + 1, len(members)):
+                other = members[m][1]
+                if len(own) < similarity * len(other) - 1e-9:
+                    break  # the rest is larger still
+                if find(k) != find(m):
+                    shared = len(own & other)
+                    if shared >= (len(own) + len(other) - shared) * similarity - 1e-9:
+                        parent[find(m)] = find(k)
+                        out.append((name, members[m][0]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, members = None, []
+        for batch in batches:
+            out: list[tuple[bytes, bytes]] = []
+            shingles = batch.column(batch.schema.get_field_index("shingles"))
+            for i, (chunk, name) in enumerate(zip(values(batch, "chunk"), values(batch, "class"), strict=True)):
+                if chunk != current:
+                    out += links_of(members)
+                    current, members = chunk, []
+                members.append((name, frozenset(shingles[i].values.to_numpy().tolist())))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in range(2)], ["fp", "root"])
+        out = links_of(members)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in range(2)], ["fp", "root"])
+
+    return run
+
+
+def similar_groups(docs: DataFrame, similarity: float, doc_id: str = "doc_id", text: str = "text", most: int = MOST_CLASSES) -> DataFrame:
     """One row per input row: doc_id, text_key, group. Texts whose sets of five-word shingles have a Jaccard similarity of at least ``similarity`` are linked.
 
     Texts with the same set are one class; classes, not copies, are compared. Classes that may be similar meet in buckets: the components of the Gray-order
-    index over their fingerprints, and the bands of a MinHash sketch, as 64 bits can't key that distance. In a bucket all classes are compared exactly with one of them, those that it
-    does not match with another, and so on until none is left to compare, so a bucket of any size makes one pair a member and round. A text without words has
-    the empty set and is similar to its like alone. A null id is an id like any other, repeated rows are members of their class, an empty table gives no rows.
+    index over their fingerprints, and the bands of a MinHash sketch, as 64 bits can't key that distance. The classes of a bucket are compared exactly in one task, which gives links, not pairs. In a bucket above
+    ``most`` classes all are first compared with the one that shares most buckets, and those that it does not match in groups of about ``most``, drawn by hash. So a bucket of any size costs
+    each member a bounded number of comparisons; the other bands make up for pairs that fall into different groups.
+    A text without words has the empty set and is similar to its like alone. A null id is an id like any other, repeated rows are members of their class, an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     rows = checkpointed(_keyed_rows(docs, doc_id, text).mapInArrow(_described, "doc_id bigint, text_key bigint, class binary, n int, fp bigint, bands array<bigint>"))
     classes = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("one"), F.max("n").alias("n"), F.max("fp").alias("fp"), F.max("bands").alias("bands"))
     classes = checkpointed(classes.filter("n > 0"))
     named = components(links(classes.select("fp").distinct())).toDF("fp", "label")
-    by_code = classes.select("class", "n", "fp").join(named, "fp", "left").select("class", "n", F.lit(-1).alias("band"), F.coalesce("label", "fp").alias("key"))
-    keyed = by_code.unionByName(classes.select("class", "n", F.posexplode("bands").alias("band", "key")))
-    crowded = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("band", "key")
-    left = checkpointed(keyed.join(crowded, ["band", "key"], "left_semi"))
-    needed = left.select("class").distinct().join(classes.select("class", "one"), "class").select("class", "one.doc_id", "one.text_key")
+    by_code = classes.select("class", "fp").join(named, "fp", "left").select("class", F.lit(-1).alias("band"), F.coalesce("label", "fp").alias("key"))
+    keyed = by_code.unionByName(classes.select("class", F.posexplode("bands").alias("band", "key")))
+    crowded = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    met = checkpointed(keyed.join(crowded, ["band", "key"]))
+    needed = met.select("class").distinct().join(classes.select("class", "one"), "class").select("class", "one.doc_id", "one.text_key")
     texts = _keyed_rows(docs, doc_id, text).alias("d").join(needed.alias("n"), F.expr("d.doc_id <=> n.doc_id AND d.text_key = n.text_key")).select("n.class", "d.text")
     small_batches(docs.sparkSession)
     sets = checkpointed(texts.mapInArrow(_sets, "class binary, shingles array<bigint>").dropDuplicates(["class"]))  # rows that repeat are alike
 
-    known = sets.sparkSession.createDataFrame([], "a binary, b binary, similar boolean")
-    while not left.isEmpty():
-        centres = left.groupBy("band", "key").agg(F.min(F.struct("class", "n")).alias("c"))
-        pairs = left.join(centres, ["band", "key"]).filter("class <> c.class").select("band", "key", "class", "n", F.col("c.class").alias("centre"), F.col("c.n").alias("centre_n"))
-        pairs = checkpointed(pairs)
-        ends = [F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")]
-        near = F.least("n", "centre_n") >= F.greatest("n", "centre_n") * similarity - 1e-9  # else the sizes alone rule it out
-        asked = pairs.filter(near).select(*ends).distinct().join(known, ["a", "b"], "left_anti")
-        one, other = sets.toDF("a", "x"), sets.toDF("b", "y")
-        shared = F.size(F.array_intersect("x", "y"))
-        fresh = asked.join(one, "a").join(other, "b").select("a", "b", (shared >= (F.size("x") + F.size("y") - shared) * similarity - 1e-9).alias("similar"))
-        known = checkpointed(known.unionByName(fresh))
-        left = checkpointed(pairs.withColumns({"a": ends[0], "b": ends[1]}).join(known.filter("similar"), ["a", "b"], "left_anti").select("class", "n", "band", "key"))
-        again = left.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("band", "key")
-        left = checkpointed(left.join(again, ["band", "key"], "left_semi"))
-    labels = components(known.filter("similar").select(F.col("a").alias("fp"), F.col("b").alias("root"))).toDF("class", "label")
+    large = met.filter(F.col("members") > most)
+    degree = met.groupBy("class").agg(F.sum("members").alias("degree"))
+    centres = large.join(degree, "class").groupBy("band", "key").agg(F.max(F.struct("degree", "class")).alias("c")).select("band", "key", F.col("c.class").alias("centre"))
+    starred = checkpointed(large.join(centres, ["band", "key"]).filter("class <> centre").select("band", "key", "class", "centre", "members"))
+    x, y = sets.toDF("class", "x"), sets.toDF("centre", "y")
+    shared = F.size(F.array_intersect("x", "y"))
+    stars = checkpointed(starred.select("class", "centre").distinct().join(x, "class").join(y, "centre").filter(
+        shared >= (F.size("x") + F.size("y") - shared) * similarity - 1e-9).select("class", "centre"))
+    rest = starred.join(stars, ["class", "centre"], "left_anti").select(
+        "band", "key", "class", F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / F.lit(most))).alias("part"))
+    small = met.filter(F.col("members") <= most).select("band", "key", "class", F.lit(0).cast("bigint").alias("part"))
+    # a group has about ``most`` classes; bands that bring the same ones together count once
+    groups = small.unionByName(rest).groupBy("band", "key", "part").agg(F.array_sort(F.collect_set("class")).alias("classes")).filter(F.size("classes") > 1).select("classes").distinct()
+    grouped = groups.select(F.md5(F.array_join(F.transform("classes", F.hex), "")).alias("chunk"), F.explode("classes").alias("class")).join(sets, "class")
+    tied = grouped.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_tied(similarity), "fp binary, root binary")
+    edges = checkpointed(tied.unionByName(stars.toDF("fp", "root")).distinct())
+    labels = components(edges).toDF("class", "label")
     return rows.select("doc_id", "text_key", "class").join(labels, "class", "left").select("doc_id", "text_key", F.coalesce("label", "class").alias("group"))
