@@ -119,8 +119,8 @@ def test_greedy_pairs_equal_one_pass_whatever_the_segment(spark):
     rows = [("u", "m", at(rnd.randrange(900)), f"e{i:03d}", rnd.choice(["Up", "Down"]), "BUY", 0.4, 1.0) for i in range(120)]
     df = spark.createDataFrame(rows, "username string, market_slug string, ts timestamp, event_key string, outcome string, side string, price double, size double")
     want = brute_pairs(rows, 20)
-    for segment in (30, 100000):
-        got = {frozenset((r.event_key_1, r.event_key_2)) for r in matching.greedy_pairs(df, 20, segment).collect()}
+    for segment, most in ((30, 0), (30, 10), (100000, 0), (30, 100_000)):  # cut into segments, partly, and island by island
+        got = {frozenset((r.event_key_1, r.event_key_2)) for r in matching.greedy_pairs(df, 20, segment, most_rows=most).collect()}
         assert got == want
 
 
@@ -148,8 +148,8 @@ def test_greedy_time_price_equals_one_pass(spark, mode):
     schema = "ts timestamp, row_id string, price double"
     frame = lambda rows: spark.createDataFrame(rows, schema).withColumn("m", F.lit("x"))
     want = brute_time_price(ref, cand, 10_000, 0.01, **mode)
-    for segment in (20, 100000):
-        got = {r.row_id: r.match_id for r in matching.greedy_time_price(frame(ref), frame(cand), ["m"], 10_000, 0.01, segment_seconds=segment, **mode).collect()}
+    for segment, most in ((20, 0), (20, 30), (100000, 0), (20, 100_000)):
+        got = {r.row_id: r.match_id for r in matching.greedy_time_price(frame(ref), frame(cand), ["m"], 10_000, 0.01, segment_seconds=segment, most_rows=most, **mode).collect()}
         assert got == want
 
 
@@ -191,3 +191,34 @@ def test_slug_and_settlement_edges(spark):
                               "outcomes array<string>, outcome_prices array<double>, outcome string")
     assert [r[0] for r in m.select(C.settle_price()).collect()] == [0.0, None, None, None]
     assert [r[0] for r in m.select(C.resolved_outcome()).collect()] == ["Up", None, None, "Down"]
+
+
+def test_islands_are_further_apart_than_the_reach(spark):
+    rnd = random.Random(12)
+    rows = [(rnd.choice("ab"), rnd.randrange(5000)) for _ in range(300)]
+    found = matching.with_islands(spark.createDataFrame(rows, "k string, t bigint"), ["k"], 10).collect()
+    assert len(found) == len(rows)
+    for k in "ab":
+        mine = sorted((r.t, r._island, r._rows) for r in found if r.k == k)
+        for (t, island, _), (u, other, _) in zip(mine, mine[1:], strict=False):
+            assert island == other or u - t > 10
+        assert all(n == sum(o[1] == island for o in mine) for _, island, n in mine)
+
+
+def test_pairs_in_a_busy_minute_are_divided(spark):
+    """Five hundred buys of each side in one minute, divided into parts of 64: every pair once."""
+    from tradelens.plans import positions
+    rows = [("u", "m", "c", at(k % 50), f"e{k:04d}", "Up" if k % 2 else "Down", "BUY", 0.4, 1.0) for k in range(600)] + [("v", "m", "c", at(5), "e1", "Up", "BUY", 0.4, 1.0), ("v", "m", "c", at(9), "e2", "Down", "BUY", 0.4, 1.0)]
+    df = spark.createDataFrame(rows, "username string, market_slug string, condition_id string, ts timestamp, event_key string, outcome string, side string, price double, size double")
+    want = sum(a[0] == b[0] and a[5] != b[5] and a[3] <= b[3] and a[4] < b[4] for a in rows for b in rows)
+    found = positions.complete_set_pairs(df, most_legs=64)
+    assert found.count() == want == found.select("username", "event_key_1", "event_key_2").distinct().count()
+
+
+def test_weighted_quantiles_equal_those_of_the_rows(spark):
+    rnd = random.Random(3)
+    rows = [("g", rnd.randrange(40), rnd.randrange(1, 6)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "g string, v int, n int")
+    flat = df.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    how = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+    assert exact_quantiles(df, ["g"], F.col("v"), how, weight=F.col("n")).collect() == exact_quantiles(flat, ["g"], F.col("v"), how).collect()

@@ -103,11 +103,15 @@ def class_weights(t: Tables):
     return rounded(ml.class_weights(labels(t)))
 
 
-@query("tier_and_sharpe_model")
-def tier_and_sharpe_model(t: Tables):
+def model_rows(t: Tables):
     cols = ["total_trades", "sharpe_ratio", "win_rate", "hhi", "maker_ratio", "trades_per_day"]
     split = ml.temporal_split(labels(t)).select("proxy_address", "tier_label", "sharpe_label", "split")
-    rows = checkpointed(feature_table(t).select("proxy_address", *[F.col(c).cast("double").alias(c) for c in cols]).join(split, "proxy_address"))
+    return checkpointed(feature_table(t).select("proxy_address", *[F.col(c).cast("double").alias(c) for c in cols]).join(split, "proxy_address")), cols
+
+
+@query("tier_and_sharpe_model")
+def tier_and_sharpe_model(t: Tables):
+    rows, cols = model_rows(t)
     train = rows.filter("split = 'train'")
     return ml.model_scores(ml.fit_tier_and_sharpe(train, cols, ml.class_weights(labels(t)), trees=5), rows.filter("split != 'train'"))
 
@@ -125,9 +129,28 @@ def strategy_clustering(t: Tables):
     return rounded(ml.cluster_profiles(clustered(t), CLUSTER_COLUMNS))
 
 
+#: What an anomaly is called by the column that tells it apart.
+ANOMALY_KINDS = {"hhi": "CONCENTRATION", "top3_share": "CONCENTRATION", "complete_set_ratio": "COMPLETE_SETS", "updown_market_ratio": "MARKET_CHOICE", "trades_per_hour": "TRADING_SPEED"}
+
+
 @query("outlier_detection")
 def outlier_detection(t: Tables):
-    return rounded(ml.outlier_detection(clustered(t), "proxy_address"))
+    rows = features.concentration(t.trades()).join(features.hft_features(t.trades()), "proxy_address")
+    return rounded(ml.outlier_detection(rows, "proxy_address", CLUSTER_COLUMNS, ANOMALY_KINDS))
+
+
+@query("feature_importance")
+def feature_importance(t: Tables):
+    rows, cols = model_rows(t)
+    tier, _ = ml.fit_tier_and_sharpe(rows.filter("split = 'train'"), cols, ml.class_weights(labels(t)), trees=5)
+    return rounded(ml.feature_importance(tier, cols, t.spark))
+
+
+@query("hour_sequences", """SELECT proxy_address, event_key, r6(sin(hour(ts)*2*3.141592653589793/24)) AS hour_sin, r6(cos(hour(ts)*2*3.141592653589793/24)) AS hour_cos, r6(price) AS price, CASE side WHEN 'BUY' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS side,
+  r6(ln(1 + notional)) AS log_notional, CAST(n - rn + 1 AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY proxy_address ORDER BY ts DESC, event_key DESC) AS rn, least(count(*) OVER (PARTITION BY proxy_address), 100) AS n FROM v_trades) WHERE rn <= 100""")
+def hour_sequences(t: Tables):
+    s = features.hour_sequences(t.trades()).select("proxy_address", F.posexplode("sequence").alias("i", "x"))
+    return rounded(s.select("proxy_address", "x.event_key", "x.hour_sin", "x.hour_cos", "x.price", "x.side", "x.log_notional", (F.col("i") + 1).cast("int").alias("place")))
 
 
 _KS = """ev AS (SELECT 'value' AS feature, value AS v, ts >= TIMESTAMP '2024-01-16' AS cur FROM events UNION ALL SELECT 'user', CAST(user_id AS DOUBLE), ts >= TIMESTAMP '2024-01-16' FROM events
@@ -348,10 +371,10 @@ m AS (SELECT *, len(ps) AS n, greatest(1, len(ps)//3) AS k FROM w), c AS (SELECT
 SELECT event_key, CAST(n AS INTEGER) AS samples, r4(e) AS early_price, r4(l) AS late_price, CASE WHEN n < 3 THEN 'NEUTRAL' WHEN round(l - e, 6) > 0.02 THEN 'UP_RISING' WHEN round(l - e, 6) < -0.02 THEN 'UP_FALLING' ELSE 'NEUTRAL' END AS signal FROM c"""
 
 
-def ticks(t: Tables):
+def ticks(t: Tables, *more: str):
     from pyspark.sql import Window
     nth = F.row_number().over(Window.partitionBy("event_key").orderBy("ts", "price", "size", "token_id", "side"))
-    return t.market_trades().withColumn("event_key", F.concat_ws("-", "event_key", nth)).select("market_slug", "ts", "event_key", "price")
+    return t.market_trades().withColumn("event_key", F.concat_ws("-", "event_key", nth)).select("market_slug", "ts", "event_key", "price", *more)
 
 
 @query("momentum_signal", _MOM)
@@ -405,29 +428,58 @@ def signal_filter_caps(t: Tables):
 # ---- matching --------------------------------------------------------------------------------
 
 
-@query("greedy_pair_match")
+_LEG = "struct_pack(t := epoch_us(o.ts), event_key := o.event_key, outcome := o.outcome, price := o.price, size := o.size)"
+_LEG_TYPE = "STRUCT(t BIGINT, event_key VARCHAR, outcome VARCHAR, price DOUBLE, size DOUBLE)"
+
+
+@query("greedy_pair_match", f"""WITH RECURSIVE o AS (SELECT username, market_slug, ts, event_key, outcome, price, size, row_number() OVER (PARTITION BY username, market_slug ORDER BY ts, event_key) AS rn
+  FROM v_trades WHERE side = 'BUY' AND outcome IN ('Up', 'Down', 'Yes', 'No')),
+f AS (SELECT username, market_slug, 0::BIGINT AS rn, []::{_LEG_TYPE}[] AS free, NULL::{_LEG_TYPE} AS hit, NULL::{_LEG_TYPE} AS me FROM (SELECT DISTINCT username, market_slug FROM o)
+  UNION ALL SELECT username, market_slug, rn, CASE WHEN hit IS NULL THEN list_append(live, me) ELSE list_filter(live, lambda x: x.event_key <> hit.event_key) END, hit, me
+  FROM (SELECT *, list_filter(live, lambda x: x.outcome <> me.outcome)[1] AS hit FROM
+    (SELECT o.username, o.market_slug, o.rn, {_LEG} AS me, list_filter(f.free, lambda x: epoch_us(o.ts) - x.t <= 300000000) AS live FROM f JOIN o ON o.username = f.username AND o.market_slug = f.market_slug AND o.rn = f.rn + 1)))
+SELECT username, market_slug, hit.event_key AS event_key_1, hit.outcome AS outcome_1, r6(hit.price) AS price_1, r6(hit.size) AS size_1, me.event_key AS event_key_2, me.outcome AS outcome_2, r6(me.price) AS price_2, r6(me.size) AS size_2,
+  r6((me.t - hit.t)/1e6) AS time_gap_sec, r6(least(hit.size, me.size)) AS matched_size, r6(hit.price + me.price) AS combined_cost, r6(1 - (hit.price + me.price)) AS edge, r6(least(hit.size, me.size)*(1 - (hit.price + me.price))) AS edge_pnl
+FROM f WHERE hit IS NOT NULL""")
 def greedy_pair_match(t: Tables):
-    return rounded(matching.greedy_pairs(t.trades(), window_seconds=300, segment_seconds=86_400))
+    return rounded(matching.greedy_pairs(t.trades(), window_seconds=300))
 
 
 def time_price_match(t: Tables, **mode: bool):
     ref = t.trades().select("market_slug", "outcome", "side", "ts", F.col("event_key").alias("row_id"), "price")
-    cand = t.market_trades().select("market_slug", F.split_part("token_id", F.lit(":"), F.lit(2)).alias("outcome"),
-                                    "side", "ts", F.concat_ws("|", "event_key", F.unix_seconds("ts"), "size", "price").alias("row_id"), "price")
-    m = matching.greedy_time_price(ref, cand, ["market_slug", "outcome", "side"], 60_000, 0.05, segment_seconds=86_400, **mode)
+    prints = ticks(t, "token_id", "side").withColumnRenamed("event_key", "row_id")
+    cand = prints.select("market_slug", F.split_part("token_id", F.lit(":"), F.lit(2)).alias("outcome"), "side", "ts", "row_id", "price")
+    m = matching.greedy_time_price(ref, cand, ["market_slug", "outcome", "side"], 60_000, 0.05, **mode)
     return rounded(matching.match_summary(m, ["side"]))
 
 
-@query("greedy_time_price_match")
+def _time_price(timely: str) -> str:
+    """Each reference row with something in reach has its options best first; along those of a key the first option that is not used is taken."""
+    return f"""WITH RECURSIVE r AS (SELECT market_slug, outcome, side, epoch_ms(ts) AS t, event_key AS row_id, price, row_number() OVER (PARTITION BY market_slug, outcome, side ORDER BY epoch_ms(ts), event_key) AS rn FROM v_trades),
+c AS (SELECT market_slug, split_part(token_id, ':', 2) AS outcome, side, epoch_ms(ts) AS t, price, event_key || '-' || row_number() OVER (PARTITION BY event_key ORDER BY ts, price, size, token_id, side) AS row_id FROM v_market_trades),
+near AS (SELECT r.market_slug, r.outcome, r.side, r.rn, c.row_id, c.t - r.t AS delta, abs(c.price - r.price) AS gap, c.t AS ct, {timely} AS timely
+  FROM r JOIN c ON r.market_slug = c.market_slug AND r.outcome = c.outcome AND r.side = c.side AND abs(c.t - r.t) <= 60000),
+opts AS (SELECT market_slug, outcome, side, rn, list(row_id) AS seen, list(row_id) FILTER (timely) AS timed, list(struct_pack(id := row_id, delta := delta, ct := ct) ORDER BY abs(delta), gap, ct, row_id) FILTER (timely AND gap <= 0.05 + 1e-12) AS good FROM near GROUP BY ALL),
+g AS (SELECT r.market_slug, r.outcome, r.side, row_number() OVER (PARTITION BY r.market_slug, r.outcome, r.side ORDER BY r.rn) AS rn, r.t, seen, coalesce(timed, []) AS timed, good FROM r JOIN opts o ON r.market_slug = o.market_slug AND r.outcome = o.outcome AND r.side = o.side AND r.rn = o.rn),
+f AS (SELECT market_slug, outcome, side, 0::BIGINT AS rn, []::STRUCT(id VARCHAR, delta BIGINT, ct BIGINT)[] AS used, []::VARCHAR[] AS gone, NULL::STRUCT(id VARCHAR, delta BIGINT, ct BIGINT) AS hit, ''::VARCHAR AS reason FROM (SELECT DISTINCT market_slug, outcome, side FROM g)
+  UNION ALL SELECT market_slug, outcome, side, rn, CASE WHEN hit IS NULL THEN used ELSE list_append(used, hit) END, gone, hit,
+    CASE WHEN hit IS NOT NULL THEN 'MATCH' WHEN len(list_filter(seen, lambda x: NOT list_contains(gone, x))) = 0 THEN 'NO_SIM' WHEN len(list_filter(timed, lambda x: NOT list_contains(gone, x))) = 0 THEN 'NO_TIME_MATCH' ELSE 'NO_PRICE_MATCH' END
+  FROM (SELECT *, list_transform(used, lambda x: x.id) AS gone, list_filter(good, lambda x: NOT list_contains(list_transform(used, lambda y: y.id), x.id))[1] AS hit
+    FROM (SELECT g.*, list_filter(f.used, lambda x: x.ct >= g.t - 60000) AS used FROM f JOIN g ON g.market_slug = f.market_slug AND g.outcome = f.outcome AND g.side = f.side AND g.rn = f.rn + 1)))
+SELECT side, n AS reference_rows, count(hit) AS matched, r6(avg(abs(hit.delta))) AS avg_abs_delta_ms, n - count(*) FILTER (reason <> 'NO_SIM') AS no_sim, count(*) FILTER (reason = 'NO_TIME_MATCH') AS no_time_match,
+  count(*) FILTER (reason = 'NO_PRICE_MATCH') AS no_price_match FROM (SELECT side, count(*) AS n FROM r GROUP BY side) LEFT JOIN (SELECT * FROM f WHERE rn > 0) USING (side) GROUP BY side, n"""
+
+
+@query("greedy_time_price_match", _time_price("TRUE"))
 def greedy_time_price_match(t: Tables):
     return time_price_match(t)
 
 
-@query("greedy_time_price_before")
+@query("greedy_time_price_before", _time_price("c.t <= r.t"))
 def greedy_time_price_before(t: Tables):
     return time_price_match(t, before_only=True)
 
 
-@query("greedy_time_price_after")
+@query("greedy_time_price_after", _time_price("c.t >= r.t"))
 def greedy_time_price_after(t: Tables):
     return time_price_match(t, after_only=True)

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from tradelens.operators.ordering import top_per
 from tradelens.catalog.registry import query
-from tradelens.catalog.tables import Tables
+from tradelens.catalog.tables import AS_OF, Tables, as_of
 from tradelens.functions import columns as C
 from tradelens.functions.numeric import rnd
 from tradelens.plans import enrich, positions, reports
+from tradelens.session import checkpointed
 
 
 def rounded(df, digits: int = 6):
@@ -468,3 +469,23 @@ def microstructure_summary(t: Tables):
 def microstructure_by_asset(t: Tables):
     base = t.trades().withColumn("asset", C.asset_of("market_slug")).filter("asset != ''")
     return rounded(reports.microstructure_summary(_flow(t, base), ["username", "asset"]))
+
+
+# ---- mergeable states ------------------------------------------------------------------------
+
+
+@query("sketch_report", f"""SELECT username, count(*) AS trades, r4(sum(notional)) AS notional, TRUE AS median_within, TRUE AS markets_within FROM v_trades
+WHERE CAST(ts AS DATE) > DATE '{AS_OF[:10]}' - INTERVAL 400 DAY AND CAST(ts AS DATE) <= DATE '{AS_OF[:10]}' GROUP BY username""")
+def sketch_report(t: Tables):
+    """Reports of 400 days from daily states, held against exact figures: the rank of the median within 5 %, the number of markets within 6 % or 2."""
+    from tradelens.plans import sketches
+    states = checkpointed(sketches.daily_states(t.trades(), ["username"], F.col("price"), F.col("market_slug")))
+    found = sketches.merged_report(states, ["username"], as_of(), 400, {"median": 0.5})
+    day = F.to_date("ts")
+    recent = t.trades().filter((day > F.to_date(as_of()) - 400) & (day <= F.to_date(as_of()))).select("username", "price", "market_slug")
+    exact = recent.join(found.select("username", "median"), "username").groupBy("username").agg(
+        F.avg((F.col("price") < F.col("median")).cast("int")).alias("below"), F.avg((F.col("price") <= F.col("median")).cast("int")).alias("upto"), F.count_distinct("market_slug").alias("markets"))
+    out = found.join(exact, "username").select(
+        "username", "trades", "notional", ((F.col("below") <= 0.55) & (F.col("upto") >= 0.45)).alias("median_within"),
+        (F.abs(F.col("distinct_estimate") - F.col("markets")) <= F.greatest(F.lit(2.0), F.col("markets") * 0.06)).alias("markets_within"))
+    return rounded(out, 4)

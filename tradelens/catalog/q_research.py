@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tradelens.catalog.q_reports import rounded
 from tradelens.catalog.registry import query
+from tradelens.session import work_folder
 from tradelens.catalog.tables import Tables
 from tradelens.functions import columns as C
 from tradelens.functions.numeric import rnd
@@ -102,14 +103,40 @@ def token_bucket_labels(t: Tables):
 # ---- quality ---------------------------------------------------------------------------------
 
 
-@query("clean_trade_backfill", """SELECT event_key, username, market_slug, series, token_id, outcome, side, price, size, CAST(seconds_to_end AS DOUBLE) AS seconds_to_end, r6(our_best_bid) AS our_best_bid, r6(our_best_ask) AS our_best_ask,
-  r6(our_mid) AS our_mid, r6(other_best_bid) AS other_best_bid, tob_source, r6(complete_set_edge) AS complete_set_edge, is_resolved, settle_price, r6(realized_pnl) AS realized_pnl FROM v_clean""")
-def clean_trade_backfill(t: Tables):
-    return rounded(quality.clean_trades(t.enriched_opposite()).select(
+_CLEAN = """SELECT event_key, username, market_slug, series, token_id, outcome, side, price, size, CAST(seconds_to_end AS DOUBLE) AS seconds_to_end, r6(our_best_bid) AS our_best_bid, r6(our_best_ask) AS our_best_ask,
+  r6(our_mid) AS our_mid, r6(other_best_bid) AS other_best_bid, tob_source, r6(complete_set_edge) AS complete_set_edge, is_resolved, settle_price, r6(realized_pnl) AS realized_pnl FROM v_clean"""
+
+
+def clean_columns(clean):
+    return rounded(clean.select(
         "event_key", "username", "market_slug", "series", "token_id", "outcome", "side", "price", "size", F.col("seconds_to_end").cast("double").alias("seconds_to_end"),
         "our_best_bid", "our_best_ask", "our_mid", "other_best_bid", "tob_source", "complete_set_edge", "is_resolved", "settle_price", "realized_pnl"))
 
 
+@query("clean_trade_backfill", _CLEAN)
+def clean_trade_backfill(t: Tables):
+    return clean_columns(quality.clean_trades(t.enriched_opposite()))
+
+
+@query("clean_trade_batches", _CLEAN)
+def clean_trade_batches(t: Tables):
+    """Two bounded batches behind a high-water mark, the first of them asked for again, give what one run over all gives."""
+    from tradelens.plans import backfill, enrich
+    trades, quotes = t.trades(), t.ws_tob()
+    first, last = trades.agg(F.min("ts"), F.max("ts")).first()
+
+    def build(since, upto):
+        some = backfill.bounded(trades, "ts", since, upto, 0)
+        books = backfill.bounded(t.tob(), "captured_at", since, upto, 3600)
+        recent = backfill.bounded(quotes, "ts", since, upto, 86_400)
+        return quality.clean_trades(enrich.with_opposite_book(enrich.with_ws_book(enrich.trade_enrich(some, books, t.markets()), recent), recent))
+
+    path = f"{work_folder(t.spark, 'clean')}/table"
+    for upto in (first + (last - first) / 2, first + (last - first) / 2, last):
+        backfill.backfill(t.spark, path, upto, build)
+    return clean_columns(t.spark.read.parquet(path))
+
+
 def _quality_sql(keys: str, key_expr: str) -> str:
     return f"""WITH raw AS (SELECT {key_expr}, count(*) AS total_raw, count(*) FILTER (seconds_to_end >= 0) AS has_time_to_end, count(*) FILTER (len(token_ids) = 2) AS has_both_tokens,
   count(*) FILTER (coalesce(ws_best_bid_price, best_bid_price) > 0) AS has_our_tob, count(*) FILTER (ws_best_bid_price > 0) AS has_ws_tob, count(*) FILTER (is_resolved) AS resolved FROM v_enriched_ws
@@ -368,12 +395,31 @@ def strategy_order_dashboard(t: Tables):
     return rounded(orders.order_dashboard(t.strategy_orders(), t.order_status()))
 
 
-@query("order_stream_score")
+def _bins(v: str, edges: tuple) -> str:
+    last = len(edges) - 2
+    steps = " ".join(f"WHEN {v} >= {edges[i]} AND {v} {'<=' if i == last else '<'} {edges[i + 1]} THEN {i}" for i in range(last + 1))
+    return f"CASE {steps} WHEN {v} > {edges[-1]} THEN {last + 1} END"
+
+
+_DAY_BINS = (0, 3600, 7200, 14400, 43200, 86400, 864000)
+
+
+@query("order_stream_score", f"""WITH s AS (SELECT CASE WHEN username IN (SELECT username FROM v_scores WHERE total_score >= 60) THEN 'a' ELSE 'b' END AS stream, * FROM v_trades),
+g AS (SELECT stream, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS us, price <> lag(price) OVER w AS repriced FROM s WINDOW w AS (PARTITION BY stream, token_id ORDER BY ts, event_key)),
+o AS (SELECT DISTINCT stream, outcome, market_slug, ts FROM s WHERE outcome IN ('Up', 'Down')),
+l AS (SELECT stream, CASE outcome WHEN 'Up' THEN 'Down' ELSE 'Up' END AS other, market_slug, ts FROM s WHERE outcome IN ('Up', 'Down')),
+a AS (SELECT l.*, o.ts AS before FROM l ASOF LEFT JOIN o ON l.stream = o.stream AND l.market_slug = o.market_slug AND l.other = o.outcome AND l.ts >= o.ts),
+n AS (SELECT a.*, o.ts AS after FROM a ASOF LEFT JOIN o ON a.stream = o.stream AND a.market_slug = o.market_slug AND a.other = o.outcome AND a.ts <= o.ts),
+p AS (SELECT stream, (epoch_us(after) - epoch_us(ts))/1e6 AS v FROM n WHERE after IS NOT NULL AND (before IS NULL OR epoch_us(ts) - epoch_us(before) > epoch_us(after) - epoch_us(ts)) AND after > ts),
+i AS (SELECT stream, abs(u - d)/(u + d) AS v FROM (SELECT stream, market_slug, coalesce(sum(size) FILTER (outcome = 'Up'), 0) AS u, coalesce(sum(size) FILTER (outcome = 'Down'), 0) AS d FROM s GROUP BY ALL) WHERE u + d > 0),
+c AS (SELECT 'cadence_l1' AS component, stream, {_bins('us/1e6', _DAY_BINS)} AS bin FROM g UNION ALL SELECT 'reprice_l1', stream, repriced::INTEGER FROM g
+  UNION ALL SELECT 'pair_latency_l1', stream, {_bins('v', _DAY_BINS)} FROM p UNION ALL SELECT 'imbalance_l1', stream, {_bins('v', orders.IMBALANCE_BINS)} FROM i),
+h AS (SELECT component, bin, count(*) FILTER (stream = 'a') AS x, count(*) FILTER (stream = 'b') AS y FROM c WHERE bin IS NOT NULL GROUP BY ALL)
+SELECT component, r6(sum(abs(x/nullif(tx, 0) - y/nullif(ty, 0)))) AS l1 FROM (SELECT *, sum(x) OVER (PARTITION BY component) AS tx, sum(y) OVER (PARTITION BY component) AS ty FROM h) GROUP BY component""")
 def order_stream_score(t: Tables):
     strong = t.strong_traders()
-    day = [0, 3600, 7200, 14400, 43200, 86400, 864000]
     return rounded(orders.order_stream_score(
-        t.trades().join(strong, "username", "left_semi"), t.trades().join(strong, "username", "left_anti"), cadence=day, latency=day))
+        t.trades().join(strong, "username", "left_semi"), t.trades().join(strong, "username", "left_anti"), cadence=_DAY_BINS, latency=_DAY_BINS))
 
 
 @query("rank_matched_hold", """WITH n AS (SELECT proxy_address, market_slug, token_id, side, ts, row_number() OVER (PARTITION BY proxy_address, market_slug, token_id, side ORDER BY ts, event_key) AS nth FROM v_trades)

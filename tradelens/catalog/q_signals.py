@@ -9,7 +9,7 @@ from tradelens.catalog.q_traders import _ELIGIBLE, T0, eligible
 from tradelens.catalog.registry import query
 from tradelens.catalog.tables import Tables, as_of
 from tradelens.functions.numeric import rnd
-from tradelens.plans import discovery, edge, integrity, markets, signals
+from tradelens.plans import discovery, edge, integrity, ledgers, markets, signals
 
 # ---- discovery -------------------------------------------------------------------------------
 
@@ -258,6 +258,87 @@ def ledger_lists(t: Tables):
     return signals.active_alerts(alert_table(t), ["ACTIVE"], 100).select("alert_id", "severity", "detected_at", "market_slug")
 
 
+@query("open_anomalies", f"""WITH {_ALERTS} SELECT alert_id, severity, detected_at, market_slug, CAST(CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END AS INTEGER) AS severity_rank
+FROM al WHERE status = 'INVESTIGATING'""")
+def open_anomalies(t: Tables):
+    return ledgers.open_anomalies(alert_table(t).withColumn("version", F.lit(1))).select("alert_id", "severity", "detected_at", "market_slug", "severity_rank")
+
+
+def consensus_log(t: Tables):
+    """Two versions of a signal per (market, outcome): the first batch of buyers and all of them."""
+    rows = t.trades().filter("side = 'BUY'").groupBy("market_slug", "outcome").agg(F.count_distinct("username").alias("n"), F.max("ts").alias("at"))
+    versions = rows.withColumn("version", F.explode(F.array(F.lit(1), F.lit(2))))
+    seen = F.when(F.col("version") == 1, F.floor(F.col("n") / 2)).otherwise(F.col("n"))
+    return versions.select(
+        F.concat_ws(":", "market_slug", "outcome").alias("signal_id"), "version", "market_slug", "outcome", seen.alias("traders"),
+        F.when(seen >= 30, "EXTREME").when(seen >= 6, "STRONG").when(seen >= 3, "MODERATE").otherwise("WEAK").alias("strength"), (F.col("at") + F.expr("INTERVAL 30 DAYS")).alias("valid_until"))
+
+
+@query("live_consensus", """SELECT market_slug || ':' || outcome AS signal_id, n AS traders, CASE WHEN n >= 30 THEN 'EXTREME' ELSE 'STRONG' END AS strength, last_buy + INTERVAL 30 DAY AS valid_until
+FROM (SELECT market_slug, outcome, count(DISTINCT username) AS n, max(ts) AS last_buy FROM v_trades WHERE side = 'BUY' GROUP BY ALL) WHERE n >= 6 AND last_buy + INTERVAL 30 DAY > TIMESTAMP '1998-06-01'""")
+def live_consensus(t: Tables):
+    return ledgers.live_consensus(consensus_log(t), F.to_timestamp(F.lit("1998-06-01"))).select("signal_id", "traders", "strength", "valid_until")
+
+
+@query("latest_discoveries", """SELECT proxy_address, discovery_score, calculated_at AS discovered_at FROM (SELECT *, total_score + 0 AS discovery_score FROM v_scores)
+WHERE calculated_at > TIMESTAMP '2001-11-10' - INTERVAL 60 DAY ORDER BY discovery_score DESC, proxy_address LIMIT 50""")
+def latest_discoveries(t: Tables):
+    found = t.score_history().select("proxy_address", "version", F.col("total_score").alias("discovery_score"), F.col("calculated_at").alias("discovered_at"))
+    return ledgers.latest_discoveries(found, as_of(), days=60).select("proxy_address", "discovery_score", "discovered_at")
+
+
+@query("current_index", """WITH h AS (SELECT strategy_type AS index_type, proxy_address, total_score, date_trunc('month', calculated_at) AS rebalanced_at FROM v_score_history)
+SELECT index_type, proxy_address, total_score, rebalanced_at FROM h WHERE (index_type, rebalanced_at) IN (SELECT index_type, max(rebalanced_at) FROM h GROUP BY 1)""")
+def current_index(t: Tables):
+    history = t.score_history().select(F.col("strategy_type").alias("index_type"), "proxy_address", "total_score", F.date_trunc("month", "calculated_at").alias("rebalanced_at"))
+    return ledgers.current_index(history)
+
+
+def fund_positions(t: Tables):
+    """Positions of ten funds: what the trades of their users left in each token; sales beyond what is held close a position."""
+    signed = F.when(F.col("side") == "BUY", F.col("size")).otherwise(-F.col("size"))
+    return t.trades().groupBy((F.substring("username", 2, 9).cast("bigint") % 10).cast("string").alias("fund_type"), "token_id").agg(
+        F.sum(signed).alias("shares"), F.avg("price").alias("avg_entry_price"), F.max_by("price", F.struct("ts", "event_key")).alias("current_price")).withColumn("version", F.lit(1))
+
+
+_FUND = "CAST(CAST(substr(username, 2) AS BIGINT) % 10 AS VARCHAR)"
+
+
+@query("valued_positions", f"""WITH p AS (SELECT {_FUND} AS fund_type, token_id, sum(CASE side WHEN 'BUY' THEN size ELSE -size END) AS shares, avg(price) AS e, arg_max(price, (ts, event_key)) AS c FROM v_trades GROUP BY ALL)
+SELECT fund_type, token_id, r4(shares) AS shares, r4(shares*c) AS current_value, r4(shares*c - shares*e) AS unrealized_pnl, r4(coalesce((shares*c - shares*e)*100/nullif(shares*e, 0), 0)) AS unrealized_pnl_pct FROM p WHERE shares > 0""")
+def valued_positions(t: Tables):
+    return rounded(ledgers.valued_positions(fund_positions(t)).select("fund_type", "token_id", "shares", "current_value", "unrealized_pnl", "unrealized_pnl_pct"), 4)
+
+
+def fund_trades(t: Tables):
+    return t.trades().select((F.substring("username", 2, 9).cast("bigint") % 10).cast("string").alias("fund_type"), "event_key", "ts", "username", "market_slug", "side", "price", "size", "notional",
+                             F.concat(F.col("username"), F.lit("-"), F.col("event_key")).alias("trade_id"))
+
+
+@query("newest_fund_trades", f"""SELECT fund_type, trade_id, ts, side, r4(notional) AS notional FROM (SELECT *, {_FUND} AS fund_type, username || '-' || event_key AS trade_id FROM v_trades)
+QUALIFY row_number() OVER (PARTITION BY fund_type ORDER BY ts DESC, trade_id) <= 50""")
+def newest_fund_trades(t: Tables):
+    return rounded(ledgers.newest_per_fund(fund_trades(t), "ts", "trade_id", 50).select("fund_type", "trade_id", "ts", "side", "notional"), 4)
+
+
+def fund_executions(t: Tables):
+    """An execution a second after every third trade."""
+    return fund_trades(t).filter(F.unix_seconds("ts") % 3 == 0).withColumn("executed_at", F.col("ts") + F.expr("INTERVAL 1 SECOND"))
+
+
+@query("newest_fund_executions", f"""SELECT fund_type, trade_id, ts + INTERVAL 1 SECOND AS executed_at FROM (SELECT *, {_FUND} AS fund_type, username || '-' || event_key AS trade_id FROM v_trades WHERE CAST(floor(epoch(ts)) AS BIGINT) % 3 = 0)
+QUALIFY row_number() OVER (PARTITION BY fund_type ORDER BY ts DESC, trade_id) <= 20""")
+def newest_fund_executions(t: Tables):
+    return ledgers.newest_per_fund(fund_executions(t), "executed_at", "trade_id", 20).select("fund_type", "trade_id", "executed_at")
+
+
+@query("fund_day_counters", f"""WITH f AS (SELECT *, {_FUND} AS fund_type FROM v_trades), a AS (SELECT TIMESTAMP '1998-06-01 12:00:00' AS z)
+SELECT fund_type, count(*) FILTER (ts >= z - INTERVAL 24 HOUR AND ts <= z) AS trades_24h, r4(coalesce(sum(notional) FILTER (ts >= z - INTERVAL 24 HOUR AND ts <= z), 0)) AS volume_24h,
+  count(*) FILTER (CAST(floor(epoch(ts)) AS BIGINT) % 3 = 0 AND ts + INTERVAL 1 SECOND >= z - INTERVAL 24 HOUR AND ts + INTERVAL 1 SECOND <= z) AS signals_24h FROM f, a GROUP BY fund_type""")
+def fund_day_counters(t: Tables):
+    return rounded(ledgers.day_counters(fund_trades(t), fund_executions(t), F.to_timestamp(F.lit("1998-06-01 12:00:00"))), 4)
+
+
 @query("drift_trend", """SELECT CAST(ts AS DATE) AS date, r6(avg(value/500)) AS avg_drift_ratio, r6(max(value/500)) AS max_drift_ratio, count(*) FILTER (event_type = 'view') AS warning_count,
   count(*) FILTER (event_type = 'error') AS critical_count, count(*) FILTER (user_id % 10 = 0) AS retrains_triggered FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY GROUP BY 1""")
 def drift_trend(t: Tables):

@@ -245,6 +245,17 @@ def versioned_upsert_sink(t: Tables):
     return t.spark.read.parquet(f"{root}/compacted").select("proxy_address", "total_score", "tier", n.scalar().alias("history_rows"))
 
 
+@query("bucket_merge_sink", "SELECT proxy_address, version, total_score, tier FROM (SELECT *, row_number() OVER (PARTITION BY proxy_address ORDER BY version DESC) AS rn FROM v_score_history) WHERE rn = 1")
+def bucket_merge_sink(t: Tables):
+    """Three merges of versions that come out of order into a table in hash buckets."""
+    from tradelens.sources import sinks
+    path = f"{work_folder(t.spark, 'buckets')}/scores"
+    h = t.score_history().select("proxy_address", "version", "total_score", "tier")
+    for k in (1, 0, 2):
+        sinks.merge_versions(t.spark, h.filter(F.col("version") % 3 == k), path, ["proxy_address"], ["version"], buckets=16)
+    return t.spark.read.parquet(path).select("proxy_address", "version", "total_score", "tier")
+
+
 @query("snapshot_export")
 def snapshot_export(t: Tables):
     from tradelens.sources import sinks

@@ -17,21 +17,23 @@ from tradelens.operators.scan import ordered_scan
 ALL = "_all"
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
+def value_counts(df: DataFrame, keys: Sequence[str], value: Column, weight: Column | None = None) -> DataFrame:
+    """How often each value occurs; ``weight`` says how many rows a row stands for, where they were counted before."""
     counted = (
-        df.select(*keys, value.alias("_v")).filter(F.col("_v").isNotNull())
-        .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_cnt"))
+        df.select(*keys, value.alias("_v"), (F.lit(1) if weight is None else weight).cast("bigint").alias("_w")).filter(F.col("_v").isNotNull())
+        .groupBy(*keys, "_v").agg(F.sum("_w").alias("_cnt"))
     )
     return counted if keys else counted.withColumn(ALL, F.lit(0))
 
 
-def cumulative_counts(df: DataFrame, keys: Sequence[str], value: Column, segment: Callable[[Column], Column] = log_segment) -> DataFrame:
+def cumulative_counts(df: DataFrame, keys: Sequence[str], value: Column, segment: Callable[[Column], Column] = log_segment,
+                      weight: Column | None = None) -> DataFrame:
     """Distinct values with ``_cnt``, the running ``_cum`` in ascending order and the group's ``_total``.
 
     ``segment`` cuts the range of values; it must never decrease as the value grows. Large values in a narrow
     range, such as clocks, need segments of their own width.
     """
-    counted = value_counts(df, keys, value)
+    counted = value_counts(df, keys, value, weight)
     return ordered_scan(
         counted, list(keys) or [ALL], segment(F.col("_v")), ["_v"],
         sums={"_cum": F.col("_cnt")}, totals={"_total": F.col("_cnt")},
@@ -44,13 +46,14 @@ def exact_quantiles(
     value: Column,
     probabilities: Mapping[str, float],
     interpolate: bool = False,
+    weight: Column | None = None,
 ) -> DataFrame:
     """One row per group with the requested quantiles.
 
     Default rule: the element at index ``floor(p * n)`` of the sorted group, the last one at the
     end. With ``interpolate`` the position is ``p * (n - 1)`` between two neighbours.
     """
-    cum = cumulative_counts(df, keys, value)
+    cum = cumulative_counts(df, keys, value, weight=weight)
     n = F.col("_total")
 
     def at(index: Column) -> Column:

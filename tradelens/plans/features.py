@@ -123,6 +123,14 @@ def hour_encoding(ts: Column) -> list[Column]:
     return [F.sin(angle).alias("hour_sin"), F.cos(angle).alias("hour_cos")]
 
 
+def hour_sequences(trades: DataFrame, length: int = 100) -> DataFrame:
+    """The latest ``length`` trades of each trader, oldest first, encoded by the time of day: hour on a circle, price, side, log notional."""
+    newest = Window.partitionBy(TRADER).orderBy(F.desc("ts"), F.desc("event_key"))
+    kept = trades.select(TRADER, "ts", "event_key", "price", "notional", "side").withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= length)
+    step = F.struct("ts", "event_key", *hour_encoding(F.col("ts")), "price", F.when(F.col("side") == "BUY", 1.0).otherwise(-1.0).alias("side"), F.log1p("notional").alias("log_notional"))
+    return kept.groupBy(TRADER).agg(F.array_sort(F.collect_list(step)).alias("sequence")).select(TRADER, F.size("sequence").alias("length"), "sequence")
+
+
 def hold_pairs(trades: DataFrame) -> DataFrame:
     """The nth buy of a position paired with its nth sell, in time order on each side."""
     keys = [TRADER, "market_slug", "token_id"]

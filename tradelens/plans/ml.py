@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -13,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradelens.functions import columns as C
 from tradelens.functions.numeric import count_if, div, div0, log_segment
@@ -117,11 +120,90 @@ def cluster_profiles(clustered: DataFrame, columns: Sequence[str]) -> DataFrame:
     return clustered.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("members"), *[F.avg(c).alias(f"avg_{c}") for c in columns])
 
 
-def outlier_detection(clustered: DataFrame, row_id: str, share: float = 0.01) -> DataFrame:
-    """Rows farthest from their centre; the score is the distance over the cut."""
-    cut = clustered.agg(F.percentile_approx("distance", 1 - share, 10_000).alias("c"))
-    score = F.col("distance") / cut.scalar()
-    return clustered.select(row_id, "cluster_id", "distance", score.alias("anomaly_score")).withColumn("is_anomaly", F.col("anomaly_score") > 1)
+#: Trees of the forest and rows that each is grown on; a tree ends at the depth where that many rows are told apart on average.
+TREES, SUBSAMPLE = 64, 256
+
+
+def _mean_depth(n: np.ndarray) -> np.ndarray:
+    """Mean depth of a search among n rows, which stands for the part of a tree that was not grown."""
+    n = np.maximum(n, 1).astype(float)
+    return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
+
+
+def _grow(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A tree as rows (feature or -1, cut, left, right, size, least and greatest value of the feature)."""
+    nodes, todo, deepest = [], [(np.arange(len(x)), 0, -1, 0)], int(np.ceil(np.log2(max(len(x), 2))))
+    while todo:
+        rows, depth, parent, side = todo.pop()
+        if parent >= 0:
+            nodes[parent][2 + side] = len(nodes)
+        low, high = x[rows].min(axis=0), x[rows].max(axis=0)
+        wide = np.flatnonzero(high > low)
+        if depth >= deepest or len(rows) < 2 or not len(wide):
+            nodes.append([-1, 0.0, 0, 0, len(rows), 0.0, 0.0])
+            continue
+        f = int(rng.choice(wide))
+        cut = float(rng.uniform(low[f], high[f]))
+        nodes.append([f, cut, 0, 0, len(rows), float(low[f]), float(high[f])])
+        under = x[rows, f] < cut
+        todo += [(rows[under], depth + 1, len(nodes) - 1, 0), (rows[~under], depth + 1, len(nodes) - 1, 1)]
+    return np.array(nodes)
+
+
+def _walk(trees: Sequence[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean path length of each row, and how much each feature told it apart: a cut counts by how few rows it leaves.
+
+    A row that lies further outside the values of a node than those spread is alone there, and its path ends, as a subsample seldom holds the strangest rows.
+    """
+    total, blame = np.zeros(len(x)), np.zeros(x.shape)
+    rows = np.arange(len(x))
+    for tree in trees:
+        at, depth, alone = np.zeros(len(x), dtype=int), np.zeros(len(x)), np.zeros(len(x), dtype=bool)
+        while (inner := (tree[at, 0] >= 0) & ~alone).any():
+            node = tree[at[inner]]
+            f = node[:, 0].astype(int)
+            value, spread = x[rows[inner], f], node[:, 6] - node[:, 5]
+            far = (value < node[:, 5] - spread) | (value > node[:, 6] + spread)
+            below = np.where(value < node[:, 1], node[:, 2], node[:, 3]).astype(int)
+            blame[rows[inner], f] += np.log(node[:, 4] / np.where(far, 1.0, np.maximum(tree[below, 4], 1)))
+            depth[inner] += 1
+            alone[inner] = far
+            at[inner] = np.where(far, at[inner], below)
+        total += depth + np.where(alone, 0.0, _mean_depth(tree[at, 4]))
+    return total / len(trees), blame
+
+
+def outlier_detection(rows: DataFrame, row_id: str, columns: Sequence[str], kinds: Mapping[str, str], share: float = 0.01, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 7) -> DataFrame:
+    """Isolation forest: row_id, path_length, anomaly_score (0 to 1), is_anomaly and anomaly_type.
+
+    Each tree is grown on the driver from ``subsample`` of the ``trees * subsample`` rows with the smallest hashes of the id, so what is collected is bounded whatever the table holds; every row is scored
+    where it is. The score is 2 ** -(path / mean path of a subsample); the ``share`` with the highest scores are anomalies. The type is that of the column (``kinds``) whose cuts told the
+    row apart most. Null cells count as 0. Rows that repeat an id are scored one by one; an empty table gives no rows.
+    """
+    spark = rows.sparkSession
+    cells = checkpointed(rows.select(row_id, F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]).alias("x")))
+    drawn = cells.withColumn("_id", F.col(row_id).cast("string")).orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(trees * subsample).collect()
+    sample = np.array([r["x"] for r in drawn]).reshape(len(drawn), len(columns))
+    size, rng = min(subsample, len(sample)), np.random.default_rng(seed)
+    grown = [_grow(sample[rng.choice(len(sample), size, replace=False)], rng) for _ in range(trees)] if size else []
+    typical = float(_mean_depth(np.array([size]))[0])
+    held = spark.sparkContext.broadcast(grown)
+    schema = T.StructType([rows.schema[row_id], T.StructField("path_length", T.DoubleType()), T.StructField("feature", T.StringType())])
+    names = list(columns)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            path, blame = _walk(held.value, np.array(batch["x"].tolist()).reshape(len(batch), len(names)))
+            yield pd.DataFrame({row_id: batch[row_id], "path_length": path, "feature": [names[i] for i in blame.argmax(axis=1)]})
+
+    if not grown:
+        scored = spark.createDataFrame([], schema)
+    else:
+        scored = checkpointed(cells.mapInPandas(score, schema))
+    scored = scored.withColumn("anomaly_score", F.pow(F.lit(2.0), -F.col("path_length") / max(typical, 1e-9)))
+    cut = scored.agg(F.percentile_approx("anomaly_score", 1 - share, 10_000).alias("c"))
+    kind = F.element_at(F.create_map(*[F.lit(v) for c in names for v in (c, kinds[c])]), F.col("feature"))
+    return scored.withColumn("is_anomaly", F.col("anomaly_score") > cut.scalar()).withColumn("anomaly_type", F.when(F.col("is_anomaly"), kind).otherwise("NORMAL"))
 
 
 # ---- trading style ---------------------------------------------------------------------------
@@ -231,46 +313,76 @@ def decision_units(rows: DataFrame, group: Sequence[str], pnl: str = "pnl") -> D
         F.sum(pnl).alias("pnl"), F.max(F.coalesce("end_date", "ts")).alias("pnl_ts"), F.count(F.lit(1)).alias("trades"))
 
 
+#: Starts of a task; it also sees as many rows behind them as a block has.
+STARTS = 8192
+
+
+def _joined(a: tuple, b: tuple) -> tuple:
+    """Two stretches behind each other: sum, highest and lowest running total, deepest fall."""
+    return a[0] + b[0], np.maximum(a[1], a[0] + b[1]), np.minimum(a[2], a[0] + b[2]), np.maximum(np.maximum(a[3], b[3]), a[1] - (a[0] + b[2]))
+
+
+def stretches(values: np.ndarray, length: int) -> tuple:
+    """The figures of the stretch of ``length`` values that begins at each place, by doubling: log2(length) joins of whole arrays."""
+    level, done, n = (values, values, values, np.zeros(len(values))), None, 0
+    width = 1
+    while width <= length:
+        if length & width:
+            shifted = tuple(x[n:] for x in level)
+            keep = min(len(shifted[0]), len(done[0]) if done else len(shifted[0]))
+            done = tuple(x[:keep] for x in shifted) if done is None else _joined(tuple(x[:keep] for x in done), tuple(x[:keep] for x in shifted))
+            n += width
+        left, right = tuple(x[:max(len(x) - width, 0)] for x in level), tuple(x[width:] for x in level)
+        level = _joined(left, right)
+        width *= 2
+    return done
+
+
 def block_bootstrap(units: DataFrame, order: Sequence[str], iterations: int, block: int, seed: int = 7) -> DataFrame:
     """Total and drawdown of circular block resamples of a time-ordered PnL series.
 
     A resample is a list of blocks, so only per-block figures are needed: sum, highest and lowest
-    running total, deepest fall. They are computed once per start; every resample joins its random
-    starts to them. Nothing is broadcast or collected, and work splits over (iteration, block).
+    running total, deepest fall. They compose, so a task gets them for all its starts by doubling; it holds a stretch of the series and the block that
+    follows. Every resample joins its random starts to them. Nothing is broadcast or collected, no count reaches the driver, and work splits over (iteration, block).
     """
     numbered = ordered_scan(units.withColumn("_k", F.lit(0)), ["_k"], time_segment("pnl_ts"), ["pnl_ts", *order], sums={"pos": F.lit(1)})
-    series = checkpointed(numbered.select((F.col("pos") - 1).cast("bigint").alias("pos"), F.coalesce("pnl", F.lit(0.0)).alias("pnl")))
-    n = series.count()
-    if n == 0:
-        return series.sparkSession.createDataFrame([], "iteration bigint, total double, max_drawdown double")
-    width = min(block, n)
-    blocks = -(-n // width)
-    tail = n - (blocks - 1) * width
-    spread = series.select(F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("k"), "pos", "pnl").select(
-        F.pmod(F.col("pos") - F.col("k"), F.lit(n)).alias("start"), "k", "pnl")
-    # a block holds `width` values, so each list is short
-    lists = spread.groupBy("start").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "pnl"))), lambda x: x["pnl"]).alias("v"))
-
-    def figures(values: Column) -> Column:
-        zero = F.struct(F.lit(0.0).alias("s"), F.lit(float("-inf")).alias("hi"), F.lit(float("inf")).alias("lo"), F.lit(0.0).alias("dd"))
-        def step(a, x):
-            s = a["s"] + x
-            hi = F.greatest(a["hi"], s)
-            return F.struct(s.alias("s"), hi.alias("hi"), F.least(a["lo"], s).alias("lo"), F.greatest(a["dd"], hi - s).alias("dd"))
-        return F.aggregate(values, zero, step)
-
-    starts = lists.select("start", figures(F.col("v")).alias("full"), figures(F.slice("v", 1, tail)).alias("cut"))
-    draws = series.sparkSession.range(iterations * blocks).select(
-        F.floor(F.col("id") / blocks).cast("bigint").alias("iteration"), (F.col("id") % blocks).alias("b"),
-        F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(n)).alias("start"))
-    picked = draws.join(starts, "start").select(
-        "iteration", "b", F.when(F.col("b") == blocks - 1, F.col("cut")).otherwise(F.col("full")).alias("f"))
+    series = checkpointed(numbered.select((F.col("pos") - 1).cast("bigint").alias("pos"), F.coalesce("pnl", F.lit(0.0)).cast("double").alias("pnl")))
+    n = series.agg(F.count(F.lit(1)).alias("n"))
+    size = max(STARTS, block)
+    placed = series.withColumn("n", n.scalar()).withColumn("width", F.least(F.lit(block).cast("bigint"), F.col("n")))
+    # the series is a circle: what begins near its end goes on at its start
+    turned = F.when(F.col("pos") < F.col("width") - 1, F.array(F.col("pos"), F.col("pos") + F.col("n"))).otherwise(F.array(F.col("pos")))
+    placed = placed.withColumn("at", F.explode(turned))
+    part = lambda c: F.floor(c / F.lit(size)).cast("bigint")
+    parts = F.array_distinct(F.array(part(F.greatest(F.col("at") - F.col("width") + 1, F.lit(0))), part(F.least(F.col("at"), F.col("n") - 1))))
+    placed = placed.withColumn("part", F.explode(parts)).select("part", "at", "pnl", "n", "width")
+    schema = "start bigint, full_s double, full_hi double, full_lo double, full_dd double, cut_s double, cut_hi double, cut_lo double, cut_dd double"
+
+    def figures(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("at")
+        count, width = int(rows["n"].iloc[0]), int(rows["width"].iloc[0])
+        tail = count - (-(-count // width) - 1) * width
+        first, values = int(rows["at"].iloc[0]), rows["pnl"].to_numpy()
+        starts = np.arange(first, min((int(key[0]) + 1) * size, count))
+        out = {"start": starts}
+        for name, length in (("full", width), ("cut", tail)):
+            for column, x in zip(("s", "hi", "lo", "dd"), stretches(values, length), strict=True):
+                out[f"{name}_{column}"] = x[:len(starts)]
+        return pd.DataFrame(out)
+
+    starts = placed.groupBy("part").applyInPandas(figures, schema)
+    blocks = F.ceil(F.col("n") / F.col("width")).cast("bigint")
+    draws = series.sparkSession.range(iterations).withColumn("n", n.scalar()).filter("n > 0").withColumn("width", F.least(F.lit(block).cast("bigint"), F.col("n"))).withColumn("blocks", blocks)
+    draws = draws.select(F.col("id").alias("iteration"), "n", "blocks", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("b")).select(
+        "iteration", "b", "blocks", F.pmod(F.xxhash64(F.col("iteration") * F.col("blocks") + F.col("b"), F.lit(seed)), F.col("n")).alias("start"))
+    chosen = lambda c: F.when(F.col("b") == F.col("blocks") - 1, F.col(f"cut_{c}")).otherwise(F.col(f"full_{c}")).alias(c)
+    picked = draws.join(starts, "start").select("iteration", "b", *[chosen(c) for c in ("s", "hi", "lo", "dd")])
     order_b = Window.partitionBy("iteration").orderBy("b")
     before = order_b.rowsBetween(Window.unboundedPreceding, -1)
-    base = picked.withColumn("base", F.coalesce(F.sum("f.s").over(before), F.lit(0.0)))
-    peak = base.withColumn("peak", F.max(F.col("base") + F.col("f.hi")).over(before))
-    fall = F.greatest(F.col("f.dd"), F.coalesce(F.col("peak") - (F.col("base") + F.col("f.lo")), F.lit(0.0)))
-    return peak.groupBy("iteration").agg(F.sum("f.s").alias("total"), F.max(fall).alias("max_drawdown"))
+    base = picked.withColumn("base", F.coalesce(F.sum("s").over(before), F.lit(0.0)))
+    peak = base.withColumn("peak", F.max(F.col("base") + F.col("hi")).over(before))
+    fall = F.greatest(F.col("dd"), F.coalesce(F.col("peak") - (F.col("base") + F.col("lo")), F.lit(0.0)))
+    return peak.groupBy("iteration").agg(F.sum("s").alias("total"), F.max(fall).alias("max_drawdown"))
 
 
 def bootstrap_quantiles(samples: DataFrame) -> DataFrame:

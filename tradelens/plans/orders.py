@@ -11,6 +11,7 @@ from tradelens.functions.numeric import clamp, count_if, div, div0, millis_betwe
 from tradelens.operators.asof import asof_nearest
 from tradelens.operators.quantiles import exact_quantiles
 from tradelens.operators.scan import ordered_scan, time_segment
+from tradelens.session import checkpointed
 
 PLACE_COLUMNS = ("price", "size", "tick_size", "best_bid_price", "best_ask_price")
 
@@ -101,15 +102,13 @@ def fill_model_calibration(orders: DataFrame, poll_ms: int = 250, min_samples: i
     level = F.coalesce(F.regr_intercept(y, x), F.max(y))
     fit = per_tick.agg(F.count(F.lit(1)).alias("ticks"), F.least(F.lit(1.0), F.exp(level)).alias("p0"), F.exp(slope).alias("mult"), F.max("p_hat").alias("p_max"))
     share = F.col("first_matched_size") / F.col("requested_size")
-    rows = maker_fills(orders).withColumns({"scope": F.lit("ALL"), "share": F.when((share > 0) & (share <= 1), F.round(share, 6)),
+    rows = maker_fills(orders).withColumns({"share": F.when((share > 0) & (share <= 1), F.round(share, 6)),
                                            "k0": F.when(F.col("ticks_above_best_bid") == 0, F.col("fill_latency_ms").cast("double"))})
-    frac = exact_quantiles(rows, ["scope"], F.col("share"), {"median_first_fill_share": 0.5}, interpolate=True)
-    lat = exact_quantiles(rows, ["scope"], F.col("k0"), {"q10": 0.1, "q50": 0.5, "q90": 0.9}, interpolate=True)
+    frac = exact_quantiles(rows, [], F.col("share"), {"median_first_fill_share": 0.5}, interpolate=True)
+    lat = exact_quantiles(rows, [], F.col("k0"), {"q10": 0.1, "q50": 0.5, "q90": 0.9}, interpolate=True)
     p = lambda c: geometric_p(F.col(c), poll_ms)
-    queue = frac.join(lat, "scope", "left").select(
-        "scope", "median_first_fill_share", clamp(div(p("q90"), p("q50")), 0.1, 5.0).alias("queue_factor_min"),
-        clamp(div(p("q10"), p("q50")), 0.1, 5.0).alias("queue_factor_max"))
-    return fit.withColumn("scope", F.lit("ALL")).join(queue, "scope", "left")
+    factor = lambda q: lat.select(clamp(div(p(q), p("q50")), 0.1, 5.0).alias("f")).scalar()
+    return fit.select(F.lit("ALL").alias("scope"), "*", frac.scalar().alias("median_first_fill_share"), factor("q90").alias("queue_factor_min"), factor("q10").alias("queue_factor_max"))
 
 
 def fills_from_status(status: DataFrame, strategy_orders: DataFrame) -> DataFrame:
@@ -140,42 +139,14 @@ def order_dashboard(strategy_orders: DataFrame, status: DataFrame) -> DataFrame:
 # ---- order streams ---------------------------------------------------------------------------
 
 
-def binned_share(rows: DataFrame, value: Column, edges: Sequence[float]) -> DataFrame:
-    """Share of values per left-closed bin; the last bin is closed, larger values overflow."""
-    v = F.col("_v")
+def bin_of(value: Column, edges: Sequence[float]) -> Column:
+    """Number of the left-closed bin; the last bin is closed, larger values overflow into one more, smaller ones have none."""
     last = len(edges) - 2
-    label = F.lit(None).cast("string")
+    label = F.lit(None).cast("int")
     for i in reversed(range(last + 1)):
-        upper = v <= edges[i + 1] if i == last else v < edges[i + 1]
-        label = F.when((v >= edges[i]) & upper, f"{i}").otherwise(label)
-    label = F.coalesce(label, F.when(v > edges[-1], f"{last + 1}"))
-    counts = rows.select(value.alias("_v")).filter("_v IS NOT NULL").groupBy(label.alias("bin")).agg(F.count(F.lit(1)).alias("n")).filter("bin IS NOT NULL")
-    total = counts.agg(F.sum("n").alias("t"))
-    return counts.withColumn("share", F.col("n") / total.scalar())
-
-
-def l1(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select("bin", F.col("share").alias("x")).join(b.select("bin", F.col("share").alias("y")), "bin", "full_outer").agg(
-        F.sum(F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0)))).alias("l1"))
-
-
-def interarrival(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    gaps = ordered_scan(rows, keys, time_segment("ts"), ["ts", "event_key"], previous={"_p": F.col("ts"), "_price": F.col("price")})
-    return gaps.withColumns({"gap_s": (F.unix_micros("ts") - F.unix_micros("_p")) / F.lit(1e6), "repriced": F.col("price") != F.col("_price")})
-
-
-def pair_latency(rows: DataFrame, key: str) -> DataFrame:
-    """Seconds from each trade to the nearest trade of the opposite outcome in its market."""
-    up, down = rows.filter("outcome = 'Up'"), rows.filter("outcome = 'Down'")
-    ahead = lambda a, b: asof_nearest(a, b.select(key, "ts", "event_key"), key, key, tie=["event_key"])
-    both = ahead(up, down).unionByName(ahead(down, up))
-    return both.withColumn("signed_s", (F.unix_micros("nearest_ts") - F.unix_micros("ts")) / F.lit(1e6))
-
-
-def imbalance_share(rows: DataFrame, key: str) -> DataFrame:
-    size = lambda o: F.coalesce(F.sum(F.when(F.col("outcome") == o, F.col("size"))), F.lit(0.0))
-    grouped = rows.groupBy(key).agg(size("Up").alias("u"), size("Down").alias("d"))
-    return grouped.withColumn("imbalance", F.when(F.col("u") + F.col("d") > 0, F.abs(F.col("u") - F.col("d")) / (F.col("u") + F.col("d"))))
+        upper = value <= edges[i + 1] if i == last else value < edges[i + 1]
+        label = F.when((value >= edges[i]) & upper, i).otherwise(label)
+    return F.coalesce(label, F.when(value > edges[-1], last + 1))
 
 
 # Bin edges of the four compared distributions.
@@ -187,18 +158,33 @@ IMBALANCE_BINS = (0.0, 0.1, 0.2, 0.4, 0.6, 0.8)
 def order_stream_score(first: DataFrame, second: DataFrame, key: str = "market_slug", cadence=CADENCE_BINS, latency=LATENCY_BINS) -> DataFrame:
     """Distances of cadence, reprice rate, pair latency and imbalance between two trade streams.
 
-    Both need ``market_slug, token_id, outcome, ts, event_key, price, size``.
+    Both need ``market_slug, token_id, outcome, ts, event_key, price, size``. The streams are stacked with a tag and read once; one ordered scan gives gaps and repricings,
+    one scan the nearest trade of the opposite outcome in either direction, and one aggregate counts the bins of all components.
     """
-    ga, gb = interarrival(first, ["token_id"]), interarrival(second, ["token_id"])
-    rate = lambda g: g.agg(F.avg(F.when(F.col("repriced").isNotNull(), F.col("repriced").cast("int"))).alias("r"))
-    parts = [
-        ("cadence_l1", l1(binned_share(ga, F.col("gap_s"), cadence), binned_share(gb, F.col("gap_s"), cadence))),
-        ("reprice_l1", rate(ga).select(F.abs(F.col("r") - rate(gb).scalar()).alias("l1")).withColumn("l1", F.col("l1") * 2.0)),
-        ("pair_latency_l1", l1(*[binned_share(pair_latency(x, key).filter("signed_s > 0"), F.col("signed_s"), latency) for x in (first, second)])),
-        ("imbalance_l1", l1(*[binned_share(imbalance_share(x, key), F.col("imbalance"), IMBALANCE_BINS) for x in (first, second)])),
-    ]
-    out = None
-    for name, df in parts:
-        row = df.select(F.lit(name).alias("component"), "l1")
-        out = row if out is None else out.unionByName(row)
-    return out
+    columns = [key, "token_id", "outcome", "ts", "event_key", "price", "size"]
+    both = checkpointed(first.select(F.lit("a").alias("stream"), *columns).unionByName(second.select(F.lit("b").alias("stream"), *columns)))
+    cell = lambda name, label: F.struct(F.lit(name).alias("component"), label.cast("int").alias("bin"))
+
+    gaps = ordered_scan(both, ["stream", "token_id"], time_segment("ts"), ["ts", "event_key"], previous={"_p": F.col("ts"), "_price": F.col("price")})
+    gap = (F.unix_micros("ts") - F.unix_micros("_p")) / F.lit(1e6)
+    repriced = (F.col("price") != F.col("_price")).cast("int")
+    paced = gaps.select("stream", F.explode(F.array(cell("cadence_l1", bin_of(gap, cadence)), cell("reprice_l1", repriced))).alias("c"))
+
+    # a trade looks among the trades of the other outcome of its market
+    place = lambda outcome: F.concat_ws("|", "stream", outcome, key)
+    sided = both.filter(F.col("outcome").isin("Up", "Down")).withColumns({"_own": place("outcome"), "_other": place(F.when(F.col("outcome") == "Up", "Down").otherwise("Up"))})
+    sided = sided.filter(F.col(key).isNotNull())
+    nearest = asof_nearest(sided.select("stream", "_other", "ts", "event_key"), sided.select("_own", "ts", "event_key"), "_other", "_own", tie=["event_key"])
+    signed = (F.unix_micros("nearest_ts") - F.unix_micros("ts")) / F.lit(1e6)
+    paired = nearest.filter(signed > 0).select("stream", cell("pair_latency_l1", bin_of(signed, latency)).alias("c"))
+
+    size = lambda o: F.coalesce(F.sum(F.when(F.col("outcome") == o, F.col("size"))), F.lit(0.0))
+    sides = both.groupBy("stream", key).agg(size("Up").alias("u"), size("Down").alias("d"))
+    tilt = F.when(F.col("u") + F.col("d") > 0, F.abs(F.col("u") - F.col("d")) / (F.col("u") + F.col("d")))
+    tilted = sides.select("stream", cell("imbalance_l1", bin_of(tilt, IMBALANCE_BINS)).alias("c"))
+
+    counts = paced.unionByName(paired).unionByName(tilted).select("stream", "c.*").filter("bin IS NOT NULL").groupBy("component", "bin").agg(
+        count_if(F.col("stream") == "a").alias("x"), count_if(F.col("stream") == "b").alias("y"))
+    totals = counts.groupBy("component").agg(F.sum("x").alias("all_x"), F.sum("y").alias("all_y"))
+    shares = counts.join(totals, "component")
+    return shares.groupBy("component").agg(F.sum(F.abs(div0("x", "all_x") - div0("y", "all_y"))).alias("l1"))

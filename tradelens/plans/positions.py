@@ -209,11 +209,12 @@ def windowed_rollup(windows: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.when(matched > 0, div0(pnl, matched)).otherwise(0.0).alias("avg_implied_edge_per_share"))
 
 
-def complete_set_pairs(trades: DataFrame, window_seconds: int = 60) -> DataFrame:
+def complete_set_pairs(trades: DataFrame, window_seconds: int = 60, most_legs: int = 512) -> DataFrame:
     """Pairs of opposite-outcome buys in one market at most ``window_seconds`` apart.
 
     The second leg is offered to the time slot of the first leg only (its own slot and the one
-    before), so a hot market is cut into slots and no pair outside the window is ever built.
+    before), so a hot market is cut into slots and no pair outside the window is ever built. A slot of more than ``most_legs`` first legs is divided by their hash; its
+    second legs go to each part, so one task joins at most about that many first legs, however busy a minute is.
     """
     names = [*UP_NAMES, *DOWN_NAMES]
     cols = ["username", "market_slug", "condition_id", "ts", "event_key", "outcome", "price", "size"]
@@ -227,13 +228,17 @@ def complete_set_pairs(trades: DataFrame, window_seconds: int = 60) -> DataFrame
 
     first = leg(1, slot)
     second = leg(2, F.explode(F.array(slot - 1, slot)))
+    busy = first.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(most_legs)).alias("_parts")).filter("_parts > 1")
+    parts = F.coalesce("_parts", F.lit(1))
+    first = first.join(busy, keys, "left").withColumn("_part", F.pmod(F.xxhash64("event_key_1"), parts)).drop("_parts")
+    second = second.join(busy, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts.cast("bigint") - 1))).drop("_parts")
     gap = seconds_between("ts_1", "ts_2")
     cost = F.col("price_1") + F.col("price_2")
     return (
-        first.join(second, keys)
+        first.join(second, [*keys, "_part"])
         .filter((F.col("outcome_1") != F.col("outcome_2")) & (F.col("ts_1") <= F.col("ts_2"))
                 & (F.col("event_key_1") < F.col("event_key_2")) & (gap <= window_seconds))
-        .drop("_slot", "condition_id")
+        .drop("_slot", "_part", "condition_id")
         .withColumns({
             "time_gap_sec": gap, "matched_size": F.least("size_1", "size_2"), "combined_cost": cost,
             "edge_per_share": F.lit(1.0) - cost, "edge_pnl": F.least("size_1", "size_2") * (F.lit(1.0) - cost),

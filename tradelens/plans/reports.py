@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tradelens.functions import columns as C
 from tradelens.functions.numeric import (avg_if, count_if, div, div0, int_div, max_if, seconds_between, sum_if)
 from tradelens.operators.ordering import top_per
-from tradelens.operators.quantiles import exact_quantiles
+from tradelens.operators.quantiles import exact_quantiles, value_counts
 from tradelens.operators.scan import ordered_scan, time_segment
+from tradelens.session import checkpointed
 
 NOTIONAL = "size * price"
 TIMING_PROBS = {"p10_seconds_to_end": 0.1, "p50_seconds_to_end": 0.5, "p90_seconds_to_end": 0.9}
@@ -127,10 +128,11 @@ def execution_report(enriched: DataFrame) -> DataFrame:
         item(side, "edge", F.when(side == "BUY", gap).otherwise(-gap)), item(side, "eff_spread", eff),
         item(side, "eff_ratio", div(eff, "spread")))).alias("m")).select("username", "m.*")
     keys = ["username", "scope", "measure"]
-    basic = long.groupBy(*keys).agg(
-        F.count("value").alias("n"), F.avg("value").alias("avg_value"), F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"))
-    quant = exact_quantiles(long, keys, F.col("value"), {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    counts = checkpointed(value_counts(long, keys, F.col("value")))
+    basic = counts.groupBy(*keys).agg(
+        F.sum("_cnt").alias("n"), (F.sum(F.col("_v") * F.col("_cnt")) / F.sum("_cnt")).alias("avg_value"), F.min("_v").alias("min_value"),
+        F.max("_v").alias("max_value"))
+    quant = exact_quantiles(counts, keys, F.col("_v"), {"p10": 0.1, "p50": 0.5, "p90": 0.9}, weight=F.col("_cnt"))
     return basic.join(quant, keys)
 
 
@@ -166,15 +168,17 @@ def with_previous_trade(trades: DataFrame, keys: Sequence[str] = ("username",))
 
 
 def market_churn(trades: DataFrame) -> DataFrame:
-    gaps = with_previous_trade(trades.select("username", "ts", "event_key", "market_slug")).withColumn(
-        "delta", seconds_between("prev_ts", "ts"))
-    follow = F.col("prev_ts").isNotNull()
-    n, switches = F.count(F.lit(1)), count_if(follow & (F.col("market_slug") != F.col("prev_market_slug")))
-    basic = gaps.groupBy("username").agg(
+    """Market switches and seconds between trades per user. Trades are reduced once to counts per (user, seconds, switched); all figures come from those."""
+    gaps = with_previous_trade(trades.select("username", "ts", "event_key", "market_slug"))
+    counts = checkpointed(gaps.groupBy(
+        "username", seconds_between("prev_ts", "ts").alias("delta"),
+        F.coalesce(F.col("prev_ts").isNotNull() & (F.col("market_slug") != F.col("prev_market_slug")), F.lit(False)).alias("switched")).agg(F.count(F.lit(1)).alias("n")))
+    n, switches = F.sum("n"), F.coalesce(F.sum(F.when(F.col("switched"), F.col("n"))), F.lit(0))
+    basic = counts.groupBy("username").agg(
         n.alias("trades"), switches.alias("market_switches"), div0(switches, n - 1).alias("market_switch_rate"),
-        F.avg("delta").alias("avg_seconds_between_trades"))
-    quant = exact_quantiles(gaps, ["username"], F.col("delta"),
-                            {"p50_seconds_between_trades": 0.5, "p90_seconds_between_trades": 0.9})
+        div(F.sum(F.col("delta") * F.col("n")), F.sum(F.when(F.col("delta").isNotNull(), F.col("n")))).alias("avg_seconds_between_trades"))
+    quant = exact_quantiles(counts, ["username"], F.col("delta"),
+                            {"p50_seconds_between_trades": 0.5, "p90_seconds_between_trades": 0.9}, weight=F.col("n"))
     return basic.join(quant, "username", "left")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tradelens.functions.numeric import div, div0, ladder
 from tradelens.operators.keysets import with_benchmark
 from tradelens.operators.quantiles import global_rank
-from tradelens.plans.traders import TRADER, concentrated_in
+from tradelens.plans.traders import TRADER
 
 # Component weights and score ladders, (at least, points).
 WEIGHTS = {"profitability": 0.40, "risk": 0.30, "consistency": 0.20, "track_record": 0.10}
@@ -188,57 +188,60 @@ class IndexInputs:
     extra: Mapping[str, DataFrame] = field(default_factory=dict)
 
 
-def index_candidates(inputs: IndexInputs, config: IndexConfig) -> DataFrame:
+def rule_rows(configs: Sequence[IndexConfig]) -> Column:
+    """The entry rules as an array of structs, one per index: a short constant table."""
+    names = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    return F.array(*[F.struct(
+        F.lit(c.name).alias("index_type"), F.lit(c.size).alias("size"), F.lit(c.weighting).alias("weighting"), F.lit(float(c.min_score)).alias("min_score"),
+        F.lit(c.min_trades).alias("min_trades"), F.lit(c.min_days).alias("min_days"), F.lit(float(c.min_volume)).alias("min_volume"), F.lit(float(c.min_sharpe)).alias("min_sharpe"),
+        names(c.allowed).alias("allowed"), names(c.excluded).alias("excluded"), names(c.categories).alias("categories"), F.lit(float(c.min_category_share)).alias("min_share"),
+        F.lit(float(c.max_weight)).alias("max_weight")) for c in configs])
+
+
+def index_candidates(inputs: IndexInputs, configs: Sequence[IndexConfig]) -> DataFrame:
+    """Each trader once for every index whose rules it meets. The traders are read once, whatever the number of indices."""
     strategy = F.coalesce(F.nullif(F.col("strategy_type"), F.lit("")), F.lit("UNKNOWN"))
-    rows = inputs.traders.withColumn("strategy_type", strategy).filter(
-        (F.col("total_score") >= config.min_score) & (F.col("total_trades") >= config.min_trades)
-        & (F.col("days_active") >= config.min_days) & (F.col("total_volume_usd") >= config.min_volume)
-        & (F.col("sharpe_ratio") >= config.min_sharpe))
-    if config.allowed:
-        rows = rows.filter(F.col("strategy_type").isin("UNKNOWN", *config.allowed))
-    if config.excluded:
-        rows = rows.filter(~F.col("strategy_type").isin(*config.excluded))
-    if config.categories and inputs.categories is not None:
-        fits = concentrated_in(inputs.categories, config.categories, config.min_category_share)
-        rows = rows.join(fits.select(TRADER), TRADER, "left_semi")
-    return rows
-
-
-def index_weights(chosen: DataFrame, config: IndexConfig) -> DataFrame:
-    """Raw weight, one cap, then renormalised to sum to one. ``chosen`` holds at most ``size`` rows."""
-    everyone = Window.partitionBy("index_type")
+    rows = inputs.traders.withColumn("strategy_type", strategy)
+    in_categories = F.lit(True)
+    if inputs.categories is not None and any(c.categories for c in configs):
+        shares = inputs.categories.groupBy(TRADER).agg(F.map_from_entries(F.collect_list(F.struct("category", "concentration"))).alias("_shares"))  # a trader has few categories
+        rows = rows.join(shares, TRADER, "left")
+        held = F.aggregate(F.col("r.categories"), F.lit(0.0), lambda total, c: total + F.coalesce(F.try_element_at("_shares", c), F.lit(0.0)))
+        in_categories = (F.size("r.categories") == 0) | (F.col("_shares").isNotNull() & (held >= F.col("r.min_share")) & (held > 0))
+    kind = F.col("strategy_type")
+    return rows.withColumn("r", F.explode(rule_rows(configs))).filter(
+        (F.col("total_score") >= F.col("r.min_score")) & (F.col("total_trades") >= F.col("r.min_trades")) & (F.col("days_active") >= F.col("r.min_days"))
+        & (F.col("total_volume_usd") >= F.col("r.min_volume")) & (F.col("sharpe_ratio") >= F.col("r.min_sharpe"))
+        & ((F.size("r.allowed") == 0) | (kind == "UNKNOWN") | F.array_contains("r.allowed", kind)) & ~F.array_contains("r.excluded", kind) & in_categories)
+
+
+def index_weights(chosen: DataFrame) -> DataFrame:
+    """Raw weight by the index's rule, one cap, then renormalised to sum to one. An index holds at most ``size`` rows."""
+    everyone, group = Window.partitionBy("index_type"), Window.partitionBy("index_type", "strategy_cluster")
     share = lambda c, w: div0(c, F.sum(c).over(w))
-    n = F.count(F.lit(1)).over(everyone)
-    if config.weighting == "EQUAL":
-        raw = F.lit(1.0) / n
-    elif config.weighting == "SHARPE":
-        raw = F.least(share(F.greatest(F.lit(0.0), F.col("sharpe_ratio")), everyone), F.lit(config.max_weight))
-    elif config.weighting == "CLUSTER":
-        group = Window.partitionBy("index_type", "strategy_cluster")
-        groups = F.size(F.collect_set("strategy_cluster").over(everyone))
-        raw = F.least(share(F.col("total_score"), group) / groups, F.lit(config.max_weight))
-    else:
-        raw = F.least(share(F.col("total_score"), everyone), F.lit(config.max_weight))
+    way, sharpe = F.col("r.weighting"), F.greatest(F.lit(0.0), F.col("sharpe_ratio"))
+    capped = F.least(F.when(way == "SHARPE", share(sharpe, everyone)).when(
+        way == "CLUSTER", share(F.col("total_score"), group) / F.size(F.collect_set("strategy_cluster").over(everyone))).otherwise(share(F.col("total_score"), everyone)), F.col("r.max_weight"))
+    raw = F.when(way == "EQUAL", F.lit(1.0) / F.count(F.lit(1)).over(everyone)).otherwise(capped)
     return chosen.withColumn("_raw", raw).withColumn("weight", div0("_raw", F.sum("_raw").over(everyone))).drop("_raw")
 
 
-def index_build(inputs: IndexInputs, config: IndexConfig) -> DataFrame:
-    order = [F.desc("total_score"), F.asc(TRADER)]
-    chosen = ranked_top(index_candidates(inputs, config), order, config.size, "index_rank").withColumn(
-        "index_type", F.lit(config.name))
-    if config.weighting == "CLUSTER" and inputs.clusters is not None:
-        chosen = chosen.join(inputs.clusters.select(TRADER, "strategy_cluster"), TRADER, "left").withColumn(
-            "strategy_cluster", F.coalesce("strategy_cluster", F.lit("UNKNOWN")))
-    return index_weights(chosen, config).select(
+def index_build_all(inputs: IndexInputs, configs: Sequence[IndexConfig] = DEFAULT_INDICES) -> DataFrame:
+    """Members and weights of all indices in one pass: rules as rows, one rank per index (Spark cuts to the largest size before the shuffle), weights side by side."""
+    spot = F.row_number().over(Window.partitionBy("r.index_type").orderBy(F.desc("total_score"), F.asc(TRADER)))
+    most = max(c.size for c in configs)
+    ranked = index_candidates(inputs, configs).withColumn("index_rank", spot).filter(F.col("index_rank") <= most).filter(F.col("index_rank") <= F.col("r.size"))
+    ranked = ranked.withColumn("index_type", F.col("r.index_type"))
+    if inputs.clusters is not None:
+        ranked = ranked.join(inputs.clusters.select(TRADER, "strategy_cluster"), TRADER, "left").withColumn("strategy_cluster", F.coalesce("strategy_cluster", F.lit("UNKNOWN")))
+    else:
+        ranked = ranked.withColumn("strategy_cluster", F.lit("UNKNOWN"))
+    return index_weights(ranked).select(
         "index_type", TRADER, "username", "weight", "total_score", "sharpe_ratio", "strategy_type", "index_rank")
 
 
-def index_build_all(inputs: IndexInputs, configs: Sequence[IndexConfig] = DEFAULT_INDICES) -> DataFrame:
-    out = None
-    for config in configs:
-        built = index_build(inputs, config)
-        out = built if out is None else out.unionByName(built)
-    return out
+def index_build(inputs: IndexInputs, config: IndexConfig) -> DataFrame:
+    return index_build_all(inputs, [config])
 
 
 def index_rebalance_diff(old: DataFrame, new: DataFrame) -> DataFrame:
