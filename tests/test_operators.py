@@ -222,3 +222,16 @@ def test_weighted_quantiles_equal_those_of_the_rows(spark):
     flat = df.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
     how = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
     assert exact_quantiles(df, ["g"], F.col("v"), how, weight=F.col("n")).collect() == exact_quantiles(flat, ["g"], F.col("v"), how).collect()
+
+
+def test_lookups_of_two_keys_equal_two_joins(spark):
+    from tradelens.operators.asof import asof_lookups
+    rnd = random.Random(15)
+    left = [(rnd.choice(["a", "b", None]), rnd.choice(["a", "b", "c"]), at(rnd.randrange(300_000)) if rnd.random() < 0.95 else None, i) for i in range(200)]
+    right = [(rnd.choice("ab"), at(rnd.randrange(300_000)), i) for i in range(80)]
+    ldf = spark.createDataFrame(left, "k string, o string, ts timestamp, id int")
+    rdf = spark.createDataFrame(right, "a string, ts timestamp, q int")
+    both = {r.id: (r.k_q, r.o_q) for r in asof_lookups(ldf, rdf, {"k_": "k", "o_": "o"}, "a", tie=["q"], segment_seconds=5000).collect()}
+    one = {r.id: r.k_q for r in asof_join(ldf, rdf, "k", "a", prefix="k_", tie=["q"]).collect()}
+    other = {r.id: r.o_q for r in asof_join(ldf, rdf, "o", "a", prefix="o_", tie=["q"]).collect()}
+    assert both == {i: (one[i], other[i]) for i in one} and len(both) == 200

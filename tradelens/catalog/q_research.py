@@ -129,11 +129,11 @@ def clean_trade_batches(t: Tables):
         some = backfill.bounded(trades, "ts", since, upto, 0)
         books = backfill.bounded(t.tob(), "captured_at", since, upto, 3600)
         recent = backfill.bounded(quotes, "ts", since, upto, 86_400)
-        return quality.clean_trades(enrich.with_opposite_book(enrich.with_ws_book(enrich.trade_enrich(some, books, t.markets()), recent), recent))
+        return quality.clean_trades(enrich.with_both_books(enrich.trade_enrich(some, books, t.markets()), recent))
 
     path = f"{work_folder(t.spark, 'clean')}/table"
     for upto in (first + (last - first) / 2, first + (last - first) / 2, last):
-        backfill.backfill(t.spark, path, upto, build)
+        backfill.backfill(t.spark, path, upto, build, grain="month")
     return clean_columns(t.spark.read.parquet(path))
 
 

@@ -11,6 +11,7 @@ from tradelens.catalog.tables import Tables, as_of
 from tradelens.functions import columns as C
 from tradelens.operators import keysets
 from tradelens.operators.latest import latest_per_key, latest_ties
+from tradelens.session import checkpointed
 from tradelens.plans import scoring, traders
 
 T0 = "TIMESTAMP '2001-11-10 00:00:00'"
@@ -148,7 +149,10 @@ sc AS (SELECT *, CAST(greatest(0, least(100, round_even(round(prof2*0.4 + rsk*0.
 
 
 def _scored(t: Tables):
-    return scoring.smart_money_score(traders.trader_metrics(t.trades(), _pnl(t), limit=None), traders.strategy_indicators(t.trades()))
+    """Trades are narrowed and written once; PnL, metrics and indicators read that."""
+    trades = checkpointed(t.trades().select("proxy_address", "username", "condition_id", "market_slug", "outcome", "outcome_index", "side", "price", "size", "notional", "ts"))
+    metrics = checkpointed(traders.trader_metrics(trades, traders.trader_pnl(traders.position_pnl(trades, t.resolutions())), limit=None))
+    return scoring.smart_money_score(metrics, traders.strategy_indicators(trades))
 
 
 @query("smart_money_score", f"""WITH {_SCORE} SELECT proxy_address, total_score, CASE WHEN total_score >= 80 THEN 'DIAMOND' WHEN total_score >= 60 THEN 'GOLD'

@@ -324,7 +324,7 @@ class Tables:
         return enrich.with_ws_book(self.enriched(), self.ws_tob())
 
     def enriched_opposite(self) -> DataFrame:
-        return enrich.with_opposite_book(self.enriched_ws(), self.ws_tob())
+        return enrich.with_both_books(self.enriched(), self.ws_tob())
 
     def strong_traders(self) -> DataFrame:
         return self.scores().filter("total_score >= 60").select("username")

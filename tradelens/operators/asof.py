@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelens.functions.numeric import epoch_micros
 from tradelens.operators.scan import DAY_SECONDS, SEG, time_segment
+from tradelens.session import checkpointed
 
 
 def asof_join(
@@ -79,6 +80,33 @@ def _signed_segment(sign: int, seconds: int) -> Column:
     return time_segment("_ts", seconds) * F.lit(sign)
 
 
+def asof_lookups(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Mapping[str, str],
+    right_key: str,
+    left_ts: str = "ts",
+    right_ts: str = "ts",
+    right_cols: Sequence[str] | None = None,
+    tie: Sequence[str] = (),
+    segment_seconds: int = DAY_SECONDS,
+) -> DataFrame:
+    """``asof_join`` of several keys of a row at once; ``keys`` names the left column of each prefix.
+
+    The distinct (key, time) pairs of all keys are looked up in one scan of the right side, narrow and written once; each key then costs an equality
+    join. So the right side is read for one scan whatever the number of keys, and the wide rows are never sorted with the quotes. Rows whose key or time is NULL get nulls.
+    """
+    cols = list(right_cols or [c for c in right.columns if c != right_key])
+    asked = left.select(F.explode(F.array(*[F.col(k) for k in keys.values()])).alias("_key"), F.col(left_ts).alias("_when")).filter("_key IS NOT NULL AND _when IS NOT NULL").distinct()
+    met = asof_join(asked, right, "_key", right_key, "_when", right_ts, cols, "_r_", tie, segment_seconds)
+    met = checkpointed(met.select("_key", "_when", *[f"_r_{c}" for c in cols]))
+    out = left
+    for prefix, key in keys.items():
+        quotes = met.select(F.col("_key").alias("_k"), F.col("_when").alias("_w"), *[F.col(f"_r_{c}").alias(f"{prefix}{c}") for c in cols])
+        out = out.join(quotes, (F.col(key) == F.col("_k")) & (F.col(left_ts) == F.col("_w")), "left").drop("_k", "_w")
+    return out
+
+
 def asof_nearest(
     left: DataFrame,
     right: DataFrame,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tradelens.functions import columns as C
 from tradelens.functions.numeric import div, millis_between, seconds_between
-from tradelens.operators.asof import asof_join
+from tradelens.operators.asof import asof_join, asof_lookups
 from tradelens.operators.latest import latest_per_key
 
 BOOK_COLUMNS = [
@@ -115,11 +115,12 @@ def with_ws_book(enriched: DataFrame, ws_tob: DataFrame) -> DataFrame:
         "ws_exec_type", C.exec_type_loose("price", "ws_best_bid_price", "ws_best_ask_price", "ws_mid"))
 
 
-def with_opposite_book(enriched_ws: DataFrame, ws_tob: DataFrame) -> DataFrame:
-    """The same for the other token of the market, and the cost of buying both at the ask."""
-    keyed = enriched_ws.withColumn("opposite_token_id", C.opposite_token())
-    out = _ws_side(
-        asof_join(keyed, _ws_columns(ws_tob), "opposite_token_id", "asset_id", prefix="ws_opp_"), "ws_opp_")
+def with_both_books(enriched: DataFrame, ws_tob: DataFrame) -> DataFrame:
+    """Latest continuous quotes of the traded token and of the other token of its market, in one scan of the quotes, and the cost of buying both at the ask."""
+    keyed = enriched.withColumn("opposite_token_id", C.opposite_token())
+    out = asof_lookups(keyed, _ws_columns(ws_tob), {"ws_": "token_id", "ws_opp_": "opposite_token_id"}, "asset_id")
+    out = _ws_side(out, "ws_").withColumn("ws_exec_type", C.exec_type_loose("price", "ws_best_bid_price", "ws_best_ask_price", "ws_mid"))
+    out = _ws_side(out, "ws_opp_")
     ask, other = F.col("ws_best_ask_price"), F.col("ws_opp_best_ask_price")
     total = F.when((ask > 0) & (other > 0), ask + other)
     return out.withColumns({"ws_complete_set_ask_sum": total, "ws_complete_set_edge_ask": F.lit(1.0) - total})

@@ -34,7 +34,8 @@ FEATURES = (
 
 
 def ml_features(trades: DataFrame, enriched: DataFrame, min_trades: int = 5) -> DataFrame:
-    """One row per trader. Every part is aggregated on its own and joined at trader grain."""
+    """One row per trader. Trades are narrowed and written once; every part is aggregated from that and joined at trader grain."""
+    trades = checkpointed(trades.select(TRADER, "market_slug", "token_id", "ts", "event_key", "side", "outcome", "notional"))
     base = trades.groupBy(TRADER).agg(
         F.sum("notional").alias("total_volume_usd"), F.count_distinct("market_slug").alias("unique_markets"))
     daily = features.daily_flow(trades)
