@@ -210,9 +210,9 @@ def test_mirrored_traders_are_forgotten(spark, tmp_path):
 def test_alert_dedup_forgets_keys_after_their_time(spark, tmp_path):
     schema = "signal_type string, market_slug string, direction string, total_volume_usd double, severity string, detected_at timestamp, alert_id string"
     row = lambda i, s, v=1500.0, level="HIGH": ("VOLUME_SPIKE", "m", "YES", v, level, at(s), i)
-    batches = [[row("a", 0)], [row("b", 60, 1999.0), row("c", 61, 2000.0), row("low", 62, 9000.0, "LOW")], [row("d", 90_000, 5000.0)], [row("x", 170_000, 7000.0)], [row("e", 180_000, 5000.0)], [row("f", 180_100)]]
+    batches = [[row("a", 0)], [row("b", 60, 1999.0), row("c", 61, 2000.0), row("low", 62, 9000.0, "LOW")], [row("d", 90_000, 5000.0)], [row("x", 170_000, 7000.0)], [row("y", 175_000, 8000.0)], [row("e", 180_000, 5000.0)], [row("f", 180_100)]]
     rows = replay(spark, tmp_path, batches, schema, jobs.stream_alert_dedup)
-    assert sorted(r.alert_id for r in rows) == ["a", "c", "d", "e", "f", "x"]
+    assert sorted(r.alert_id for r in rows) == ["a", "c", "d", "e", "f", "x", "y"]
 
 
 # ---- risk limits -----------------------------------------------------------------------------

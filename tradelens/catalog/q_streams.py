@@ -88,30 +88,33 @@ def _text(c: str):
     return F.col(c).cast("string")
 
 
-def feeds():
-    """Table, event type, payload, the column that is summed up, and its SQL: one feed for each typed table."""
-    size, trade = F.col("l_quantity"), trade_payload()
-    count = F.col("l_quantity").cast("bigint")
+#: Table, event type, the column that is summed up, and its SQL: one feed for each typed table.
+FEEDS = [
+    ("user_trades", "venue.user.trade", "size", "l_quantity"), ("market_trades", "venue.market.trade", "price", "price"), ("clob_tob", "venue.clob.tob", "best_bid_size", "l_quantity"),
+    ("gamma_markets", "venue.gamma.market", "volume_num", "l_extendedprice"), ("tx_receipts", "chain.tx.receipt", "gas_used", "l_quantity"), ("ws_tob", "market_ws.tob", "best_bid_size", "l_quantity"),
+    ("ws_trades", "market_ws.trade", "size", "l_quantity"), ("strategy_orders", "strategy.maker.order", "size", "l_quantity"), ("limit_orders", "executor.order.limit", "price", "price"),
+    ("market_orders", "executor.order.market", "amount", "l_quantity"), ("cancel_orders", "executor.order.cancel", "success", "CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE 0 END"),
+    ("order_status", "executor.order.status", "matched_size", "l_quantity"), ("global_trades", "venue.global.trade", "notional", "price*l_quantity"),
+]
+
+
+def payloads():
+    """The payload of each feed, in the order of FEEDS."""
+    size, trade, price = F.col("l_quantity"), trade_payload(), F.col("price")
+    slug, order = F.col("slug"), _text("l_orderkey")
     return [
-        ("user_trades", "venue.user.trade", F.struct(F.lit("u").alias("username"), trade.alias("trade")), "size", "l_quantity"),
-        ("market_trades", "venue.market.trade", F.struct(F.col("slug").alias("marketSlug"), trade.alias("trade")), "price", "price"),
-        ("clob_tob", "venue.clob.tob", F.struct(F.struct(_text("l_orderkey").alias("tradeKey")).alias("trigger"), F.struct(F.struct(_text("price").alias("price"), _text("l_quantity").alias("size")).alias("bestBid")).alias("book")),
-         "best_bid_size", "l_quantity"),
-        ("gamma_markets", "venue.gamma.market", F.struct("slug", F.struct(_text("l_partkey").alias("id"), F.col("l_extendedprice").alias("volumeNum")).alias("market")), "volume_num", "l_extendedprice"),
-        ("tx_receipts", "chain.tx.receipt", F.struct(F.concat(F.lit("0x"), _text("l_orderkey")).alias("txHash"), count.alias("gasUsed")), "gas_used", "l_quantity"),
-        ("ws_tob", "market_ws.tob", F.struct(F.col("slug").alias("assetId"), F.col("price").alias("bestBid"), size.alias("bestBidSize")), "best_bid_size", "l_quantity"),
-        ("ws_trades", "market_ws.trade", F.struct(F.col("slug").alias("assetId"), F.col("price"), size.alias("size")), "size", "l_quantity"),
-        ("strategy_orders", "strategy.maker.order", F.struct(F.lit("maker").alias("strategy"), F.lit("PLACE").alias("action"), size.alias("size")), "size", "l_quantity"),
-        ("limit_orders", "executor.order.limit", F.struct(F.col("slug").alias("tokenId"), size.alias("size"), F.col("price")), "price", "price"),
-        ("market_orders", "executor.order.market", F.struct(F.col("slug").alias("tokenId"), size.alias("amount")), "amount", "l_quantity"),
-        ("cancel_orders", "executor.order.cancel", F.struct(_text("l_orderkey").alias("orderId"), (F.col("l_suppkey") % 2 == 0).alias("success")), "success", "CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE 0 END"),
-        ("order_status", "executor.order.status", F.struct(_text("l_orderkey").alias("orderId"), size.alias("matchedSize")), "matched_size", "l_quantity"),
-        ("global_trades", "venue.global.trade", F.struct(_text("l_orderkey").alias("id"), F.col("price"), size.alias("size")), "notional", "price*l_quantity"),
+        F.struct(F.lit("u").alias("username"), trade.alias("trade")), F.struct(slug.alias("marketSlug"), trade.alias("trade")),
+        F.struct(F.struct(order.alias("tradeKey")).alias("trigger"), F.struct(F.struct(_text("price").alias("price"), _text("l_quantity").alias("size")).alias("bestBid")).alias("book")),
+        F.struct("slug", F.struct(_text("l_partkey").alias("id"), F.col("l_extendedprice").alias("volumeNum")).alias("market")),
+        F.struct(F.concat(F.lit("0x"), order).alias("txHash"), size.cast("bigint").alias("gasUsed")), F.struct(slug.alias("assetId"), price.alias("bestBid"), size.alias("bestBidSize")),
+        F.struct(slug.alias("assetId"), price, size.alias("size")), F.struct(F.lit("maker").alias("strategy"), F.lit("PLACE").alias("action"), size.alias("size")),
+        F.struct(slug.alias("tokenId"), size.alias("size"), price), F.struct(slug.alias("tokenId"), size.alias("amount")),
+        F.struct(order.alias("orderId"), (F.col("l_suppkey") % 2 == 0).alias("success")), F.struct(order.alias("orderId"), size.alias("matchedSize")), F.struct(order.alias("id"), price, size.alias("size")),
     ]
 
 
 def _fanned() -> str:
-    cells = [(name, value) for name, _, _, _, value in feeds()]
+    cells = [(name, value) for name, _, _, value in FEEDS]
     cases = " ".join(f"WHEN {k} THEN CAST({value} AS DOUBLE)" for k, (_, value) in enumerate(cells))
     names = ", ".join(f"'{n}'" for n, _ in cells)
     return f"""SELECT table_name, month, count(*) AS rows, r2(sum(value)) AS value, min(event_key) AS first_key, max(event_key) AS last_key FROM
@@ -122,15 +125,15 @@ def _fanned() -> str:
 def event_fanout(t: Tables):
     """One raw stream with the events of all thirteen tables; each line of the table is an event of one of them."""
     rows = live(t).lines()
-    route = (F.col("l_orderkey") + F.col("l_linenumber")) % len(feeds())
+    route = (F.col("l_orderkey") + F.col("l_linenumber")) % len(FEEDS)
     kind, data = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for k, (_, event_type, payload, _, _) in enumerate(feeds()):
+    for k, ((_, event_type, _, _), payload) in enumerate(zip(FEEDS, payloads(), strict=True)):
         kind, data = F.when(route == k, event_type).otherwise(kind), F.when(route == k, F.to_json(payload)).otherwise(data)
     events = rows.select("ts", F.lit("feed").alias("source"), kind.alias("type"), data.alias("data"), F.col("event_key").alias("kafka_key"), F.lit(0).alias("kafka_partition"),
                          F.col("l_orderkey").alias("kafka_offset"), F.col("ts").alias("kafka_timestamp"))
-    path = drained_batches(t, events, "fanout", lambda root: jobs.fan_out([f[0] for f in feeds()], root, grain="month"))
+    path = drained_batches(t, events, "fanout", lambda root: jobs.fan_out([f[0] for f in FEEDS], root, grain="month"))
     out = None
-    for name, _, _, column, _ in feeds():
+    for name, _, column, _ in FEEDS:
         table = t.spark.read.parquet(f"{path}/{name}").groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(
             F.count(F.lit(1)).alias("rows"), F.sum(F.col(column).cast("double")).alias("value"), F.min("event_key").alias("first_key"), F.max("event_key").alias("last_key"))
         table = table.select(F.lit(name).alias("table_name"), "*")
