@@ -75,8 +75,9 @@ def votes(docs: DataFrame, templates: Sequence[Template], doc_id: str = "doc_id"
     Bit t of ``places`` is set if the pair at position t of the template voted, so its match starts at word diagonal + t. Every pair of every whole text is joined. The templates are constants, so their side is bounded and may be broadcast.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), lowered(F.col(text)).alias("t"))
-    rows = rows.select("doc_id", "text_hash", F.regexp_extract_all("t", F.lit(WORD_RUN), F.lit(0)).alias("words"))
-    rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    # an exploded array of one is a column of its own: words and hashes are computed once, not wherever they are used
+    rows = rows.select("doc_id", "text_hash", F.explode(F.array(F.regexp_extract_all("t", F.lit(WORD_RUN), F.lit(0)))).alias("words"))
+    rows = rows.select("*", F.explode(F.array(F.transform("words", lambda w: F.xxhash64(w)))).alias("hashes"))
     follow = F.slice("hashes", F.lit(2), F.greatest(F.size("hashes"), F.lit(1)))
     rows = rows.select("doc_id", "text_hash", "words", F.size("words").alias("n_words"),
                        F.concat(F.array(_mark()), F.zip_with("hashes", follow, _pair)).alias("grams"))
