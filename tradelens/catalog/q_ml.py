@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tradelens.catalog.q_reports import rounded
 from tradelens.catalog.q_traders import T0
-from tradelens.catalog.registry import query
+from tradelens.catalog.registry import ORACLES, compose, query
 from tradelens.catalog.tables import Tables, as_of
 from tradelens.functions import columns as C
 from tradelens.functions.numeric import rnd
@@ -68,6 +68,24 @@ def ml_features_batch(t: Tables):
     return rounded(feature_table(t))
 
 
+def _feature_sql() -> str:
+    """The feature table joined from the SQL of its parts; a figure that a trader lacks counts as 0."""
+    concentration = compose("""WITH m AS (SELECT proxy_address, market_slug, sum(notional) AS v FROM v_trades GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY proxy_address ORDER BY round(v, 6) DESC, market_slug) AS rn,
+  sum(v) OVER (PARTITION BY proxy_address) AS tot FROM m) SELECT proxy_address, r6(sum(v*v)/pow(max(tot), 2)) AS hhi, r6(sum(v) FILTER (rn <= 3)/max(tot)) AS top3_share FROM r GROUP BY 1""")
+    base = compose("SELECT proxy_address, r6(sum(notional)) AS total_volume_usd, count(DISTINCT market_slug) AS unique_markets FROM v_trades GROUP BY 1")
+    parts = [
+        (ORACLES["risk_features"], "total_pnl sharpe_ratio sortino_ratio max_drawdown calmar_ratio win_rate avg_win avg_loss win_loss_ratio profit_factor"), (concentration, "hhi top3_share"),
+        (ORACLES["hft_features"], "complete_set_ratio updown_market_ratio avg_inter_trade_seconds trades_per_hour"),
+        (ORACLES["execution_features"], "with_book maker_ratio taker_ratio avg_slippage_bps price_improvement_ratio"),
+        (ORACLES["hold_features"], "avg_hold_hours hold_time_std scalper_ratio swing_trader_ratio"), (base, "total_volume_usd unique_markets")]
+    shown = ", ".join(f"coalesce(p{k}.{c}, 0) AS {c}" for k, (_, names) in enumerate(parts) for c in names.split())
+    joins = " ".join(f"LEFT JOIN ({text}) p{k} ON p{k}.proxy_address = a.proxy_address" for k, (text, _) in enumerate(parts))
+    return f"SELECT a.*, {shown} FROM ({ORACLES['activity_features']}) a {joins} WHERE a.total_trades >= 5"
+
+
+ORACLES["ml_features_batch"] = _feature_sql()
+
+
 @query("trade_sequences", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY proxy_address ORDER BY ts DESC, event_key DESC) AS rn FROM v_trades), k AS (SELECT * FROM r WHERE rn <= 100),
 s AS (SELECT *, ln(1 + greatest(coalesce(epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY proxy_address ORDER BY ts, event_key), 0), 0)) AS lg FROM k)
 SELECT proxy_address, CAST(count(*) AS INTEGER) AS length, r6(sum(lg)) AS sum_log_gap, r6(sum(ln(1 + notional))) AS sum_log_notional, r6(arg_min(price, (ts, event_key))) AS first_price, r6(arg_max(price, (ts, event_key))) AS last_price FROM s GROUP BY 1""")
