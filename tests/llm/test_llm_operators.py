@@ -394,6 +394,53 @@ def test_similar_groups_on_hot_buckets(spark, none):
     assert simhash.similar_groups(none, 0.8).count() == 0 and simhash.one_per_group(none, similarity=0.8).count() == 0
 
 
+@pytest.mark.parametrize("most", [2, 64])
+def test_similar_groups_lose_no_link_whatever_meets(spark, most):
+    """Twins that are just similar, within crowds of texts that share many shingles but are not: the groups are those of all pairs, however small the buckets."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for crowd in range(4):
+        core = [f"c{crowd}_{i}" for i in range(90)]
+        for k in range(40):
+            one = list(core)
+            for at in rng.choice(90, 6, replace=False):
+                one[at] = f"x{crowd}_{k}_{at}"
+            two = [*one[:-9 + k % 3], *[f"y{crowd}_{k}_{i}" for i in range(9 - k % 3)]] if k % 2 else [*one[:40], f"z{crowd}_{k}", *one[41:60], f"v{crowd}_{k}", *one[60:]]
+            texts += [" ".join(one), " ".join(two)]
+    rows = [*enumerate(texts), (1000, texts[7].upper()), (None, texts[9]), (1001, texts[9]), (1002, None), (1003, "a b c"), (1004, "a b c d e f g h i"), (1005, "a b c d e f g h")]
+    sets = {t: {tuple(w[k:k + 5]) for k in range(max(len(w) - 4, min(1, len(w))))} for t in {t for _, t in rows} for w in [(t or "").lower().split()]}
+    names = list(sets)
+    parent = {t: t for t in names}
+
+    def find(t):
+        while parent[t] != t:
+            t = parent[t]
+        return t
+
+    for k, a in enumerate(names):
+        for b in names[k + 1:]:
+            if sets[a] == sets[b] or 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+                parent[find(b)] = find(a)
+    expect, groups = defaultdict(list), defaultdict(list)
+    for i, t in rows:
+        expect[find(t)].append(repr(i))
+    for r in simhash.similar_groups(docs_of(spark, rows), 0.8, most=most).collect():
+        groups[bytes(r["group"])].append(repr(r["doc_id"]))
+    assert 20 < len(expect) < len(names) and sorted(map(sorted, groups.values())) == sorted(map(sorted, expect.values()))
+
+
+def test_prefixes_of_similar_sets_meet_in_any_order():
+    """Whatever the counts of the shingles, similar sets share a prefix shingle, also at exactly the similarity."""
+    rng = np.random.default_rng(6)
+    for size in (1, 4, 5, 9, 45, 200):
+        own = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        for other in (own, own[:int(np.ceil(0.8 * len(own)))], np.unique(np.concatenate([own[len(own) // 9:], rng.integers(0, 1 << 63, len(own) // 9, dtype=np.uint64)]))):
+            frequent = np.unique(np.concatenate([own[::2], other[1::3]]))
+            counts = rng.integers(2, 9, len(frequent))
+            assert np.isin(simhash.prefix_of(own, 0.8, frequent, counts), simhash.prefix_of(other, 0.8, frequent, counts)).any()
+            assert np.isin(simhash.prefix_of(own, 0.8, frequent[:0], counts[:0]), simhash.prefix_of(other, 0.8, frequent[:0], counts[:0])).any()
+
+
 # ---- the models, scored by plain loops -------------------------------------------------------
 
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelens.llm.common import small_batches, utf8, values
@@ -289,13 +289,59 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_key", "class", "n", "fp", "bands"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("class")), pa.array([_set_of(t).view(np.int64) for t in utf8(batch, "text")], pa.list_(pa.int64()))], ["class", "shingles"])
+def _marks(keys: DataFrame) -> np.ndarray:
+    """A bit for each value of the one bigint column by its remainder, in words of 64; of bounded size, so other values may find their bit set."""
+    size = min(max(1 << (64 * keys.count()).bit_length(), 64), MARKS)
+    place = keys.toDF("key").select(F.pmod("key", F.lit(size)).alias("place"))
+    words = place.groupBy(F.floor(F.col("place") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(place % 64))")).alias("bits")).toArrow()
+    marks = np.zeros(size // 64, dtype=np.uint64)
+    marks[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return marks
+
+
+def _marked(marks: np.ndarray, batch: pa.RecordBatch, name: str) -> pa.RecordBatch:
+    place = batch.column(batch.schema.get_field_index(name)).to_numpy() % (64 * len(marks))
+    bits = marks[place // 64] >> (place % 64).astype(np.uint64) & np.uint64(1)
+    return batch.filter(pa.array(bits.astype(bool)))
+
+
+def _only(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """The sets that one of the classes may have, so that a join moves few of them."""
+    marks = _marks(checkpointed(classes.select(F.xxhash64("class").alias("key")).distinct()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _marked(marks, batch, "key").select(["class", "shingles"])
+
+    return sets.withColumn("key", F.xxhash64("class")).mapInArrow(run, "class binary, shingles array<bigint>")
+
+
+def _sets(marks: np.ndarray):
+    """class, shingles: of the texts that have their bit, once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            found = {}
+            for t in utf8(_marked(marks, batch, "text_key"), "text"):
+                own = _set_of(t)
+                name = xxhash.xxh3_128_digest(own.tobytes())
+                if name not in seen:
+                    seen.add(name)
+                    found[name] = own.view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.list_(pa.int64()))], ["class", "shingles"])
+
+    return run
 
 
 #: Classes of a bucket up to which all of them are compared in one task.
 MOST_CLASSES = 64
+#: Shingles are ordered by how many texts of a sample hold them: one text in SHARE, LEAST texts at least; the FREQUENT commonest are told from the rest.
+SHARE, LEAST, FREQUENT = 32, 8192, 1 << 16
+#: Bits that tell which texts are read again, at most.
+MARKS = 1 << 25
+#: Classes of a crowded shingle that meet in one cell, at most about twice as many.
+CELL = 1024
 
 
 def _tied(similarity: float):
@@ -341,13 +387,124 @@ def _tied(similarity: float):
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [_set_of(t) for t in utf8(batch, "text")]
+        shingles, n = np.unique(np.concatenate([np.zeros(0, dtype="<u8"), *own]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(n)], ["shingle", "n"])
+
+
+def frequent_shingles(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample hold, sorted, and how many. They only set the order of the shingles, any order gives the same groups: the better they are told, the fewer texts meet for nothing."""
+    share = max(min(SHARE, docs.count() // LEAST), 1)
+    texts = docs.select(F.xxhash64(text).alias("text_key"), F.col(text).cast("string").alias("text")).filter(F.pmod("text_key", F.lit(share)) == 0).dropDuplicates(["text_key"])
+    found = texts.mapInArrow(_counted, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1")
+    rows = found.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
+    shingles, n = np.array([r["shingle"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in rows], dtype=np.int64)
+    order = np.argsort(shingles)
+    return shingles[order], n[order]
+
+
+def prefix_of(own: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rare ones first: so many that two similar sets have one of them in common."""
+    place = np.searchsorted(frequent, own)
+    known = place < len(frequent)
+    known[known] = frequent[place[known]] == own[known]
+    n = np.zeros(len(own), dtype=np.int64)
+    n[known] = counts[place[known]]
+    return own[np.lexsort((own, n))[:len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]]
+
+
+def _prefixes(similarity: float, frequent: np.ndarray, counts: np.ndarray):
+    """shingle, code, pos, n: the prefix of each class, once a task. The code is Spark's xxhash64 of the class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            codes, sizes, parts = [], [], []
+            for t in utf8(batch, "text"):
+                own = _set_of(t)
+                code = xxhash.xxh64_intdigest(xxhash.xxh3_128_digest(own.tobytes()), SEED)
+                if len(own) and code not in seen:
+                    seen.add(code)
+                    codes.append(code), sizes.append(len(own)), parts.append(prefix_of(own, similarity, frequent, counts))
+            lengths = np.array([len(x) for x in parts], dtype=np.int64)
+            pos = np.arange(lengths.sum()) - np.repeat(lengths.cumsum() - lengths, lengths)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, dtype="<u8"), *parts]).view(np.int64)), pa.array(np.repeat(np.array(codes, dtype=np.uint64), lengths).view(np.int64)),
+                                              pa.array(pos.astype(np.int32)), pa.array(np.repeat(np.array(sizes, dtype=np.int32), lengths))], ["shingle", "code", "pos", "n"])
+
+    return run
+
+
+def shared_prefixes(docs: DataFrame, similarity: float, text: str = "text") -> DataFrame:
+    """shingle, code, pos, n, members: the prefix shingles that several classes have, one row per class. Two similar classes have such a shingle in common, their first common one in the order."""
+    frequent, counts = frequent_shingles(docs, text)
+    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_prefixes(similarity, frequent, counts), "shingle bigint, code bigint, pos int, n int")
+    of = Window.partitionBy("shingle")
+    several = rows.withColumn("low", F.min("code").over(of)).withColumn("high", F.max("code").over(of)).filter("low < high").select("shingle", "code", "pos", "n").distinct()
+    return checkpointed(several.withColumn("members", F.count(F.lit(1)).over(of)))
+
+
+def _may_be_similar(similarity: float) -> Column:
+    """Rows a and b of a shared shingle, a the smaller set: whether the sizes and the shingles from there on allow the similarity, if this is their first common one."""
+    least = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.class") < F.col("b.class")))
+    return smaller & (F.col("a.n") >= F.col("b.n") * similarity - 1e-6) & (least >= (F.col("a.n") + F.col("b.n")) * (similarity / (1 + similarity)) - 1e-6)
+
+
+def _left(rows: DataFrame, similarity: float) -> DataFrame:
+    """Rows that can be the smaller set of a pair: it has at least the shingles that two sets of its size need."""
+    return rows.filter(F.col("n") - F.col("pos") >= F.col("n") * (2 * similarity / (1 + similarity)) - 1e-6)
+
+
+def close_pairs(shared: DataFrame, similarity: float, most: int) -> DataFrame:
+    """a, b: the codes of the pairs of classes that meet in a shingle of up to ``most`` classes and may be similar.
+
+    One of the two prefixes ends first, and of its shingles the other set has those alone that both prefixes have. So the sets have no more in common than these and what is behind the prefix;
+    shingles of more classes count as common.
+    """
+    def behind(side: str) -> Column:
+        return F.ceil(F.col(f"{side}.n") * similarity - 1e-9) - 1
+
+    crowd = shared.groupBy("code").agg(F.count_if(F.col("members") > most).alias("crowd"))
+    rows = shared.filter(F.col("members") <= most).select("shingle", "code", "n").join(crowd, "code")
+    a, b = rows.alias("a"), rows.alias("b")
+    meet = F.expr("a.shingle = b.shingle AND (a.n < b.n OR a.n = b.n AND a.code < b.code)") & (F.col("a.n") >= F.col("b.n") * similarity - 1e-6)
+    most_common = F.least("a.crowd", "b.crowd") + F.greatest(behind("a"), behind("b"))
+    pairs = a.join(b, meet).select(F.col("a.code").alias("a"), F.col("b.code").alias("b"), ((F.col("a.n") + F.col("b.n")) * (similarity / (1 + similarity)) - most_common).alias("wanted"))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.max("wanted").alias("wanted")).filter(F.col("common") >= F.col("wanted") - 1e-6).select("a", "b")
+
+
+def crowded_pairs(shared: DataFrame, labels: DataFrame, similarity: float, cell: int = CELL) -> DataFrame:
+    """fp, root: as ``close_pairs``, without pairs of one label (class, label; a class without one is its own).
+
+    The classes of a shingle are dealt to blocks, and every two blocks meet in a cell of their own, so no task has a whole shingle and every pair meets.
+    """
+    rows = shared.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    of = Window.partitionBy("shingle")
+    rows = rows.withColumn("low", F.min("label").over(of)).withColumn("high", F.max("label").over(of)).filter("low < high")
+    rows = rows.withColumn("blocks", F.ceil(F.col("members") / F.lit(cell))).withColumn("block", F.pmod(F.xxhash64("class"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    rows = checkpointed(rows.select("shingle", "class", "pos", "n", "label", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")))
+    a, b = _left(rows, similarity).alias("a"), rows.alias("b")
+    meet = F.expr("a.shingle = b.shingle AND a.first = b.first AND a.second = b.second AND a.label <> b.label AND (a.block <> b.block OR a.first = a.second)")
+    return a.join(b, meet & _may_be_similar(similarity)).select(F.col("a.class").alias("fp"), F.col("b.class").alias("root")).distinct()
+
+
+def _compared(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """fp, root: links between the classes of each group (column ``classes``)."""
+    grouped = groups.select(F.md5(F.array_join(F.transform("classes", F.hex), "")).alias("chunk"), F.explode("classes").alias("class")).join(sets, "class")
+    return grouped.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_tied(similarity), "fp binary, root binary")
+
+
 def similar_groups(docs: DataFrame, similarity: float, doc_id: str = "doc_id", text: str = "text", most: int = MOST_CLASSES) -> DataFrame:
-    """One row per input row: doc_id, text_key, group. Texts whose sets of five-word shingles have a Jaccard similarity of at least ``similarity`` are linked.
+    """One row per input row: doc_id, text_key, group. Texts whose sets of five-word shingles have a Jaccard similarity of at least ``similarity`` are linked; groups are connected by all such links.
 
-    Texts with the same set are one class; classes, not copies, are compared. Classes that may be similar meet in buckets: the components of the Gray-order
-    index over their fingerprints, and the bands of a MinHash sketch, as 64 bits can't key that distance. The classes of a bucket are compared exactly in one task, which gives links, not pairs. In a bucket above
-    ``most`` classes all are first compared with the one that shares most buckets, and those that it does not match in groups of about ``most``, drawn by hash. So a bucket of any size costs
-    each member a bounded number of comparisons; the other bands make up for pairs that fall into different groups.
+    Texts with the same set are one class; classes, not copies, are compared. First, classes meet in buckets: the components of the Gray-order index over their fingerprints, and the bands of a MinHash
+    sketch. Those of a bucket are compared exactly in one task, which gives links, not pairs; in a bucket above ``most`` classes all are compared with the one that shares most buckets, and those that it does not match
+    in groups of about ``most``, drawn by hash. That ties most of what is similar at a bounded cost, but not all.
+    Then an exact join finds every link between classes that are not tied yet: in one order of all shingles, rare ones first, two similar sets have one of their first shingles in common (``prefix_of``). Pairs that meet there
+    and whose sizes and places allow the similarity are compared. A shingle above ``most`` classes is joined in cells, without pairs that are tied; nothing is left out.
     A text without words has the empty set and is similar to its like alone. A null id is an id like any other, repeated rows are members of their class, an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
@@ -359,26 +516,38 @@ def similar_groups(docs: DataFrame, similarity: float, doc_id: str = "doc_id", t
     keyed = by_code.unionByName(classes.select("class", F.posexplode("bands").alias("band", "key")))
     crowded = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     met = checkpointed(keyed.join(crowded, ["band", "key"]))
-    needed = met.select("class").distinct().join(classes.select("class", "one"), "class").select("class", "one.doc_id", "one.text_key")
-    texts = _keyed_rows(docs, doc_id, text).alias("d").join(needed.alias("n"), F.expr("d.doc_id <=> n.doc_id AND d.text_key = n.text_key")).select("n.class", "d.text")
     small_batches(docs.sparkSession)
-    sets = checkpointed(texts.mapInArrow(_sets, "class binary, shingles array<bigint>").dropDuplicates(["class"]))  # rows that repeat are alike
+    shared = shared_prefixes(docs, similarity, text)
+    coded = classes.select("class", F.xxhash64("class").alias("code"))
+    close = close_pairs(shared, similarity, most).join(coded.toDF("fp", "a"), "a").join(coded.toDF("root", "b"), "b")
+    close = checkpointed(close.select("fp", "root"))
+    crowd = checkpointed(shared.filter(F.col("members") > most).join(coded, "code").select("shingle", "class", "pos", "n", "members"))
+    needed = met.select("class").union(close.select(F.explode(F.array("fp", "root")))).union(crowd.select("class")).distinct()
+    marks = _marks(checkpointed(needed.join(classes.select("class", "one.text_key"), "class").select("text_key")))
+    sets = checkpointed(_keyed_rows(docs, doc_id, text).select("text_key", "text").mapInArrow(_sets(marks), "class binary, shingles array<bigint>").dropDuplicates(["class"]))
 
     large = met.filter(F.col("members") > most)
     degree = met.groupBy("class").agg(F.sum("members").alias("degree"))
     centres = large.join(degree, "class").groupBy("band", "key").agg(F.max(F.struct("degree", "class")).alias("c")).select("band", "key", F.col("c.class").alias("centre"))
     starred = checkpointed(large.join(centres, ["band", "key"]).filter("class <> centre").select("band", "key", "class", "centre", "members"))
-    x, y = sets.toDF("class", "x"), sets.toDF("centre", "y")
-    shared = F.size(F.array_intersect("x", "y"))
+    x, y = _only(sets, starred.select("class")).toDF("class", "x"), _only(sets, starred.select(F.col("centre").alias("class"))).toDF("centre", "y")
+    both = F.size(F.array_intersect("x", "y"))
     stars = checkpointed(starred.select("class", "centre").distinct().join(x, "class").join(y, "centre").filter(
-        shared >= (F.size("x") + F.size("y") - shared) * similarity - 1e-9).select("class", "centre"))
+        both >= (F.size("x") + F.size("y") - both) * similarity - 1e-9).select("class", "centre"))
     rest = starred.join(stars, ["class", "centre"], "left_anti").select(
         "band", "key", "class", F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / F.lit(most))).alias("part"))
     small = met.filter(F.col("members") <= most).select("band", "key", "class", F.lit(0).cast("bigint").alias("part"))
     # a group has about ``most`` classes; bands that bring the same ones together count once
     groups = small.unionByName(rest).groupBy("band", "key", "part").agg(F.array_sort(F.collect_set("class")).alias("classes")).filter(F.size("classes") > 1).select("classes").distinct()
-    grouped = groups.select(F.md5(F.array_join(F.transform("classes", F.hex), "")).alias("chunk"), F.explode("classes").alias("class")).join(sets, "class")
-    tied = grouped.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_tied(similarity), "fp binary, root binary")
-    edges = checkpointed(tied.unionByName(stars.toDF("fp", "root")).distinct())
+    edges = checkpointed(_compared(groups, sets, similarity).unionByName(stars.toDF("fp", "root")).distinct())
     labels = components(edges).toDF("class", "label")
-    return rows.select("doc_id", "text_key", "class").join(labels, "class", "left").select("doc_id", "text_key", F.coalesce("label", "class").alias("group"))
+
+    # every pair that is not tied so far; labels that such a pair links are one
+    fp, root = labels.toDF("fp", "a"), labels.toDF("root", "b")
+    apart = close.join(fp, "fp", "left").join(root, "root", "left").filter(F.coalesce("a", "fp") != F.coalesce("b", "root")).select("fp", "root")
+    pairs = checkpointed(apart.unionByName(crowded_pairs(crowd, labels, similarity)).select(F.array("fp", "root").alias("classes")).distinct())
+    late = _compared(pairs, _only(sets, pairs.select(F.explode("classes").alias("class"))), similarity)
+    late = checkpointed(late.join(fp, "fp", "left").join(root, "root", "left").select(F.coalesce("a", "fp").alias("fp"), F.coalesce("b", "root").alias("root")).distinct())
+    joined = components(late).toDF("label", "joined")
+    named = rows.select("doc_id", "text_key", "class").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    return named.join(joined, "label", "left").select("doc_id", "text_key", F.coalesce("joined", "label").alias("group"))
