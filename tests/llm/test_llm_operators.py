@@ -300,6 +300,18 @@ def test_links_connect_what_all_pairs_connect(spark, large):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, expect.values()))
 
 
+def test_components_of_long_chains_keep_the_estimate_short(spark):
+    names = np.random.default_rng(3).permutation(90).tolist()
+    chains = [names[k:k + 30] for k in range(0, 90, 30)]
+    edges = spark.createDataFrame([(a, b) for c in chains for a, b in zip(c, c[1:], strict=False)], "fp bigint, root bigint")
+    labels = simhash.components(edges)
+    assert {(r["node"], r["label"]) for r in labels.collect()} == {(n, min(c)) for c in chains for n in c} and labels.count() == 90
+    # the estimate is a number without bounds: it must not grow with the rounds, nor when components are joined again
+    again = edges.join(labels.toDF("fp", "a"), "fp").join(labels.toDF("root", "b"), "root").select("fp", "root")
+    for found in (labels, simhash.components(again)):
+        assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 64
+
+
 def test_gray_neighbours_differ_by_one_bit():
     codes = np.array(sorted(range(64), key=lambda c: int(simhash.gray_rank(np.array([c], dtype=np.uint64))[0])))
     assert all(int(a ^ b).bit_count() == 1 for a, b in zip(codes, codes[1:], strict=False))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelens.llm.common import small_batches, utf8, values
-from tradelens.session import checkpointed
+from tradelens.session import checkpointed, stored
 
 SEED, SHINGLE, DISTANCE, BLOCKS = 42, 3, 2, 3
 #: Children of a node, node pairs expanded at a time, and the size from which a key is split.
@@ -205,9 +205,9 @@ def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node that each node of the edges (fp, root) is connected to.
 
     Each round takes the smaller label across every edge, hooks it to the node and to its former label, and
-    follows labels once. Labels are checkpointed each round; the number of rounds follows the logarithm of the longest chain.
+    follows labels once. Labels are stored each round, so that the next is planned by their real size; the number of rounds follows the logarithm of the longest chain.
     """
-    labels = checkpointed(edges.select(F.explode(F.array("fp", "root")).alias("node")).distinct().withColumn("label", F.col("node")))
+    labels = stored(edges.select(F.explode(F.array("fp", "root")).alias("node")).distinct().withColumn("label", F.col("node")), "labels")
     while True:
         left, right = labels.toDF("fp", "a"), labels.toDF("root", "b")
         met = edges.join(left, "fp").join(right, "root").filter("a <> b").select("fp", "root", "a", "b", F.least("a", "b").alias("low"))
@@ -217,7 +217,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
         lower = checkpointed(labels.join(met, "node", "left").select("node", F.least("label", F.coalesce("offer", "label")).alias("label")))
         up = lower.toDF("label", "above")
-        labels = checkpointed(lower.join(up, "label").select("node", F.least("label", "above").alias("label")))
+        labels = stored(lower.join(up, "label").select("node", F.least("label", "above").alias("label")), "labels")
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -539,7 +539,7 @@ def similar_groups(docs: DataFrame, similarity: float, doc_id: str = "doc_id", t
     small = met.filter(F.col("members") <= most).select("band", "key", "class", F.lit(0).cast("bigint").alias("part"))
     # a group has about ``most`` classes; bands that bring the same ones together count once
     groups = small.unionByName(rest).groupBy("band", "key", "part").agg(F.array_sort(F.collect_set("class")).alias("classes")).filter(F.size("classes") > 1).select("classes").distinct()
-    edges = checkpointed(_compared(groups, sets, similarity).unionByName(stars.toDF("fp", "root")).distinct())
+    edges = stored(_compared(groups, sets, similarity).unionByName(stars.toDF("fp", "root")).distinct(), "edges")
     labels = components(edges).toDF("class", "label")
 
     # every pair that is not tied so far; labels that such a pair links are one
@@ -547,7 +547,7 @@ def similar_groups(docs: DataFrame, similarity: float, doc_id: str = "doc_id", t
     apart = close.join(fp, "fp", "left").join(root, "root", "left").filter(F.coalesce("a", "fp") != F.coalesce("b", "root")).select("fp", "root")
     pairs = checkpointed(apart.unionByName(crowded_pairs(crowd, labels, similarity)).select(F.array("fp", "root").alias("classes")).distinct())
     late = _compared(pairs, _only(sets, pairs.select(F.explode("classes").alias("class"))), similarity)
-    late = checkpointed(late.join(fp, "fp", "left").join(root, "root", "left").select(F.coalesce("a", "fp").alias("fp"), F.coalesce("b", "root").alias("root")).distinct())
+    late = stored(late.join(fp, "fp", "left").join(root, "root", "left").select(F.coalesce("a", "fp").alias("fp"), F.coalesce("b", "root").alias("root")).distinct(), "edges")
     joined = components(late).toDF("label", "joined")
     named = rows.select("doc_id", "text_key", "class").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     return named.join(joined, "label", "left").select("doc_id", "text_key", F.coalesce("joined", "label").alias("group"))
