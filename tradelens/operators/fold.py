@@ -19,6 +19,12 @@ def fold_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs:
     All rows of a key pass through one task, as the fold needs them in order, but they are streamed and never gathered. Keys
     may hold nulls. Cut hot keys into segments first where the fold composes.
     """
+    return fold_sorted(df.repartition(*keys).sortWithinPartitions(*keys, *[F.asc(o) for o in order]), keys, inputs, outputs, start, step)
+
+
+def fold_sorted(df: DataFrame, keys: Sequence[str], inputs: Sequence[str], outputs: dict[str, str],
+                start: tuple, step: Callable[[tuple, tuple], tuple[tuple, tuple]]) -> DataFrame:
+    """``fold_rows`` over rows whose keys are whole in a partition and sorted there."""
     keys, names = list(keys), list(inputs)
     schema = StructType([*df.schema.fields, *[StructField(n, KINDS[k][0]) for n, k in outputs.items()]])
 
@@ -35,4 +41,4 @@ def fold_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs:
             added = [pa.array([m[i] for m in made], KINDS[k][1]) for i, k in enumerate(outputs.values())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *outputs])
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *[F.asc(o) for o in order]).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)

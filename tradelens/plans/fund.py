@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelens.functions.numeric import div
-from tradelens.operators.fold import fold_rows
+from tradelens.operators.fold import fold_rows, fold_sorted
 from tradelens.operators.scan import ordered_scan, time_segment
-from tradelens.session import checkpointed
+from tradelens.session import checkpointed, stored
 
 MONEY = "decimal(38,6)"
 
@@ -101,29 +103,74 @@ def _affine(state: tuple, row: tuple) -> tuple[tuple, tuple]:
     return state, state
 
 
+def _step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+    """Cost after and before a row that maps it to m * cost + b."""
+    (cost,), (m, b) = state, row
+    after = cost * m + b
+    return (after,), (after, cost)
+
+
+def _maps() -> dict[str, Column]:
+    """The map cost -> _m * cost + _b of a row, from its balances."""
+    shrink = F.when(F.col("_q") < 0, F.coalesce(div("balance", "balance_before"), F.lit(0.0))).otherwise(F.lit(1.0))
+    empty = F.coalesce(F.col("balance") == 0, F.lit(False))
+    return {"_m": F.when(empty, 0.0).otherwise(shrink), "_b": F.when(~empty & (F.col("_q") > 0), F.coalesce("_c", F.lit(0.0))).otherwise(0.0)}
+
+
+#: What a fold adds to the flows.
+LEDGER = ("balance", "cost_basis", "balance_before", "cost_before")
+#: Rows of a ledger above which it is folded in segments.
+LONG = 1 << 17
+
+
 def fold_cost_basis(flows: DataFrame, keys: Sequence[str], quantity: Column, cost: Column, order: Sequence[str] = ("ts", "tx_id"),
-                    segment_seconds: int = 3600) -> DataFrame:
+                    segment_seconds: int = 3600, long: int = LONG) -> DataFrame:
     """Fold signed quantities into a balance that never falls below zero and its proportional cost.
 
     An outflow shrinks the cost by the same share as the balance. The balance is the running sum lifted by its
-    lowest point below zero, two segmented scans. The cost after a row is m * cost + b of the cost before; such maps
-    compose, so every segment of a ledger is folded alone, the segments' maps are chained, and the cost at the start of a segment completes
-    its rows. Nothing is divided by a product of shares, so ledgers may be as long as they like.
+    lowest point below zero. The flows are written once. A ledger of up to ``long`` rows passes one task in order, so its rows are shuffled once; only longer ones, and those with rows
+    without a key or time, are cut into segments (``_fold_in_segments``), whose totals are as many as their rows where a ledger moves seldom.
 
     Adds ``balance``, ``cost_basis``, ``balance_before`` and ``cost_before``.
     """
-    keys, order, seg = list(keys), list(order), time_segment("ts", segment_seconds)
-    base = flows.withColumns({"_q": quantity.cast("double"), "_c": cost.cast("double")})
+    keys, order = list(keys), list(order)
+    base = stored(flows.withColumns({"_q": quantity.cast("double"), "_c": cost.cast("double")}), "flows")
+    keyed = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    sizes = base.filter(keyed).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count("ts").alias("_timed"))
+    long_ones = checkpointed(sizes.filter((F.col("_n") > long) | (F.col("_timed") < F.col("_n"))).select(*keys))
+    some, cut = base.filter(keyed), base.filter(~keyed)
+    if not long_ones.isEmpty():
+        cut = some.join(long_ones, keys, "left_semi").unionByName(cut)
+        some = some.join(long_ones, keys, "left_anti")
+    folded = _fold_whole(some, keys, order)
+    return folded if cut.isEmpty() else folded.unionByName(_fold_in_segments(cut, keys, order, segment_seconds))
+
+
+def _fold_whole(base: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Each ledger in one task, in order; the windows and the fold share one shuffle and one sort."""
+    along = Window.partitionBy(*keys).orderBy(*order)
+    running = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = base.repartition(*keys).sortWithinPartitions(*keys, *order)
+    rows = rows.withColumn("_p", F.coalesce(F.sum("_q").over(running), F.lit(0.0)))
+    rows = rows.withColumn("balance", F.round(F.col("_p") + F.greatest(F.lit(0.0), F.max(-F.col("_p")).over(running)), 9))
+    rows = rows.withColumn("balance_before", F.lag("balance", 1, 0.0).over(along)).withColumns(_maps())
+    rows = fold_sorted(rows, keys, ["_m", "_b"], {"cost_basis": "double", "cost_before": "double"}, (0.0,), _step)
+    return rows.select(*[c for c in base.columns if c not in ("_q", "_c")], *LEDGER)
+
+
+def _fold_in_segments(base: DataFrame, keys: list[str], order: list[str], segment_seconds: int) -> DataFrame:
+    """The balance by two segmented scans. The cost after a row is m * cost + b of the cost before; such maps
+    compose, so every segment of a ledger is folded alone, the segments' maps are chained, and the cost at the start of a segment completes
+    its rows. Nothing is divided by a product of shares, so ledgers may be as long as they like.
+    """
+    seg = time_segment("ts", segment_seconds)
     summed = ordered_scan(base, keys, seg, order, sums={"_p": F.col("_q")})
     lifted = ordered_scan(summed, keys, seg, order, maxes={"_low": -F.col("_p")}).withColumn(
         "balance", F.round(F.col("_p") + F.greatest(F.lit(0.0), "_low"), 9))
     lifted = checkpointed(lifted)
     staged = ordered_scan(lifted, keys, seg, order, previous={"balance_before": F.col("balance")}).withColumn(
         "balance_before", F.coalesce("balance_before", F.lit(0.0)))
-    shrink = F.when(F.col("_q") < 0, F.coalesce(div("balance", "balance_before"), F.lit(0.0))).otherwise(F.lit(1.0))
-    empty = F.coalesce(F.col("balance") == 0, F.lit(False))
-    staged = staged.withColumns({"_seg": seg, "_m": F.when(empty, 0.0).otherwise(shrink),
-                                 "_b": F.when(~empty & (F.col("_q") > 0), F.coalesce("_c", F.lit(0.0))).otherwise(0.0)})
+    staged = staged.withColumns({"_seg": seg, **_maps()})
     parts = [*keys, "_seg"]
     local = checkpointed(fold_rows(staged, parts, order, ["_m", "_b"], {"_product": "double", "_from_zero": "double"}, (1.0, 0.0), _affine))
     ends = local.groupBy(*parts).agg(F.max_by(F.struct("_product", "_from_zero"), F.struct(*order)).alias("_end")).select(
@@ -135,8 +182,8 @@ def fold_cost_basis(flows: DataFrame, keys: Sequence[str], quantity: Column, cos
     start, inside = F.col("_start"), Window.partitionBy(*parts).orderBy(*order)
     rows = rows.withColumns({"cost_basis": F.col("_product") * start + F.col("_from_zero"),
                              "_lp": F.lag("_product", 1, 1.0).over(inside), "_lc": F.lag("_from_zero", 1, 0.0).over(inside)})
-    return rows.withColumn("cost_before", F.col("_lp") * start + F.col("_lc")).drop(
-        "_q", "_c", "_p", "_low", "_seg", "_m", "_b", "_product", "_from_zero", "_start", "_lp", "_lc")
+    rows = rows.withColumn("cost_before", F.col("_lp") * start + F.col("_lc"))
+    return rows.select(*[c for c in base.columns if c not in ("_q", "_c")], *LEDGER)
 
 
 def share_ledger(transactions: DataFrame) -> DataFrame:
