@@ -7,9 +7,11 @@ import io
 import random
 import tempfile
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tradelens import session
+from tradelens.llm import simhash
 from tradelens.plans import fund
 
 
@@ -53,3 +55,53 @@ def test_ledgers_folded_whole_equal_those_folded_in_segments(spark):
 def test_short_ledgers_are_shuffled_once(spark):
     df = fills(spark).filter("username IS NOT NULL AND ts IS NOT NULL")
     assert plan_of(fund.position_fold(df, ["username", "token_id"])).count("Exchange hashpartitioning") == 1
+
+
+def near_copies(spark, n=120):
+    some = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    rows = []
+    for k in range(n):
+        text = some.choices(words, k=some.randint(30, 60))
+        rows.append((4 * k, " ".join(text)))
+        for j in range(k % 4):
+            text[some.randrange(len(text))] = f"x{k}{j}"
+            rows.append((4 * k + j + 1, " ".join(text)))
+    return spark.createDataFrame([*rows, (None, None), (9999, "")], "doc_id bigint, text string")
+
+
+def partition_of(found):
+    groups = {}
+    for r in found.collect():
+        groups.setdefault(r.group, []).append((r.doc_id, r.text_key))
+    return sorted(sorted(map(str, g)) for g in groups.values())
+
+
+def test_similar_groups_keep_no_sets_and_no_shuffles(spark, monkeypatch):
+    made, before = {}, shuffle_files(spark)
+
+    def kept(df, name):
+        made.setdefault(name, []).append(t := session.stored(df, name))
+        return t
+
+    monkeypatch.setattr(simhash, "stored", kept)
+    found = simhash.similar_groups(near_copies(spark), 0.8)
+    left = sum(spark.read.parquet(f.rsplit("/", 1)[0]).count() for name in ("sets", "met", "shared", "classes") for t in made[name] for f in t.inputFiles()[:1])
+    assert left == 0 and len(shuffle_files(spark) - before) < 40
+    assert len(partition_of(found)) > 100
+
+
+def test_rounds_compare_every_group(spark):
+    docs = near_copies(spark)
+    sets = docs.select("doc_id", F.encode("text", "utf-8").alias("class"), F.transform(F.split("text", " "), lambda w: F.xxhash64(w)).alias("shingles")).filter("text <> ''")
+    pairs = [r["class"] for r in sets.filter("doc_id % 4 < 2").orderBy("doc_id").collect()]
+    groups = spark.createDataFrame([([bytes(a), bytes(b)],) for a, b in zip(pairs, pairs[1:], strict=False)], "classes array<binary>")
+    links = lambda rounds: sorted(tuple(map(bytes, r)) for r in simhash._compared(groups, sets.select("class", F.array_sort(F.array_distinct("shingles")).alias("shingles")), 0.8, rounds).collect())
+    assert links(1) == links(7) and len(links(1)) > 50
+
+
+def test_groups_do_not_depend_on_the_sampled_counts(spark, monkeypatch):
+    docs = near_copies(spark)
+    sampled = partition_of(simhash.similar_groups(docs, 0.8))
+    monkeypatch.setattr(simhash, "frequent_shingles", lambda *_: (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)))
+    assert partition_of(simhash.similar_groups(docs, 0.8)) == sampled

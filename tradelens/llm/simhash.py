@@ -10,6 +10,7 @@ agree in one of three, so groups stay bounded and no link is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelens.llm.common import small_batches, utf8, values
-from tradelens.session import checkpointed, stored
+from tradelens.session import checkpointed, released, stored
 
 SEED, SHINGLE, DISTANCE, BLOCKS = 42, 3, 2, 3
 #: Children of a node, node pairs expanded at a time, and the size from which a key is split.
@@ -340,6 +341,8 @@ MOST_CLASSES = 64
 SHARE, LEAST, FREQUENT = 32, 8192, 1 << 16
 #: Bits that tell which texts are read again, at most.
 MARKS = 1 << 25
+#: Rounds in which groups are compared: a class has its set in each of its groups, so all of them at once are several times the sets.
+COMPARE_ROUNDS = 4
 #: Classes of a crowded shingle that meet in one cell, at most about twice as many.
 CELL = 1024
 
@@ -442,7 +445,7 @@ def shared_prefixes(docs: DataFrame, similarity: float, text: str = "text") -> D
     rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_prefixes(similarity, frequent, counts), "shingle bigint, code bigint, pos int, n int")
     of = Window.partitionBy("shingle")
     several = rows.withColumn("low", F.min("code").over(of)).withColumn("high", F.max("code").over(of)).filter("low < high").select("shingle", "code", "pos", "n").distinct()
-    return checkpointed(several.withColumn("members", F.count(F.lit(1)).over(of)))
+    return stored(several.withColumn("members", F.count(F.lit(1)).over(of)), "shared")
 
 
 def _may_be_similar(similarity: float) -> Column:
@@ -466,8 +469,8 @@ def close_pairs(shared: DataFrame, similarity: float, most: int) -> DataFrame:
     def behind(side: str) -> Column:
         return F.ceil(F.col(f"{side}.n") * similarity - 1e-9) - 1
 
-    crowd = shared.groupBy("code").agg(F.count_if(F.col("members") > most).alias("crowd"))
-    rows = shared.filter(F.col("members") <= most).select("shingle", "code", "n").join(crowd, "code")
+    crowd = stored(shared.filter(F.col("members") > most).groupBy("code").agg(F.count(F.lit(1)).alias("crowd")), "crowd")
+    rows = shared.filter(F.col("members") <= most).select("shingle", "code", "n").join(crowd, "code", "left").withColumn("crowd", F.coalesce("crowd", F.lit(0)))
     a, b = rows.alias("a"), rows.alias("b")
     meet = F.expr("a.shingle = b.shingle AND (a.n < b.n OR a.n = b.n AND a.code < b.code)") & (F.col("a.n") >= F.col("b.n") * similarity - 1e-6)
     most_common = F.least("a.crowd", "b.crowd") + F.greatest(behind("a"), behind("b"))
@@ -491,10 +494,15 @@ def crowded_pairs(shared: DataFrame, labels: DataFrame, similarity: float, cell:
     return a.join(b, meet & _may_be_similar(similarity)).select(F.col("a.class").alias("fp"), F.col("b.class").alias("root")).distinct()
 
 
-def _compared(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """fp, root: links between the classes of each group (column ``classes``)."""
-    grouped = groups.select(F.md5(F.array_join(F.transform("classes", F.hex), "")).alias("chunk"), F.explode("classes").alias("class")).join(sets, "class")
-    return grouped.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_tied(similarity), "fp binary, root binary")
+def _compared(groups: DataFrame, sets: DataFrame, similarity: float, rounds: int = COMPARE_ROUNDS) -> DataFrame:
+    """fp, root: links between the classes of each group (column ``classes``). Every group is compared in one of the rounds, whose shuffled sets go before the next."""
+    chunked = stored(groups.select(F.md5(F.array_join(F.transform("classes", F.hex), "")).alias("chunk"), "classes"), "chunks")
+    found = []
+    for k in range(rounds):
+        some = chunked.filter(F.pmod(F.xxhash64("chunk"), F.lit(rounds)) == k).select("chunk", F.explode("classes").alias("class")).join(sets, "class")
+        found.append(stored(some.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_tied(similarity), "fp binary, root binary"), "links"))
+    released(chunked)
+    return reduce(DataFrame.unionByName, found)
 
 
 def similar_groups(docs: DataFrame, similarity: float, doc_id: str = "doc_id", text: str = "text", most: int = MOST_CLASSES) -> DataFrame:
@@ -508,23 +516,24 @@ def similar_groups(docs: DataFrame, similarity: float, doc_id: str = "doc_id", t
     A text without words has the empty set and is similar to its like alone. A null id is an id like any other, repeated rows are members of their class, an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    rows = checkpointed(_keyed_rows(docs, doc_id, text).mapInArrow(_described, "doc_id bigint, text_key bigint, class binary, n int, fp bigint, bands array<bigint>"))
+    rows = stored(_keyed_rows(docs, doc_id, text).mapInArrow(_described, "doc_id bigint, text_key bigint, class binary, n int, fp bigint, bands array<bigint>"), "described")
     classes = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("one"), F.max("n").alias("n"), F.max("fp").alias("fp"), F.max("bands").alias("bands"))
-    classes = checkpointed(classes.filter("n > 0"))
+    classes = stored(classes.filter("n > 0"), "classes")
     named = components(links(classes.select("fp").distinct())).toDF("fp", "label")
     by_code = classes.select("class", "fp").join(named, "fp", "left").select("class", F.lit(-1).alias("band"), F.coalesce("label", "fp").alias("key"))
     keyed = by_code.unionByName(classes.select("class", F.posexplode("bands").alias("band", "key")))
     crowded = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    met = checkpointed(keyed.join(crowded, ["band", "key"]))
+    met = stored(keyed.join(crowded, ["band", "key"]), "met")
     small_batches(docs.sparkSession)
     shared = shared_prefixes(docs, similarity, text)
     coded = classes.select("class", F.xxhash64("class").alias("code"))
     close = close_pairs(shared, similarity, most).join(coded.toDF("fp", "a"), "a").join(coded.toDF("root", "b"), "b")
-    close = checkpointed(close.select("fp", "root"))
-    crowd = checkpointed(shared.filter(F.col("members") > most).join(coded, "code").select("shingle", "class", "pos", "n", "members"))
+    close = stored(close.select("fp", "root"), "close")
+    crowd = stored(shared.filter(F.col("members") > most).join(coded, "code").select("shingle", "class", "pos", "n", "members"), "crowd")
+    released(shared)
     needed = met.select("class").union(close.select(F.explode(F.array("fp", "root")))).union(crowd.select("class")).distinct()
     marks = _marks(checkpointed(needed.join(classes.select("class", "one.text_key"), "class").select("text_key")))
-    sets = checkpointed(_keyed_rows(docs, doc_id, text).select("text_key", "text").mapInArrow(_sets(marks), "class binary, shingles array<bigint>").dropDuplicates(["class"]))
+    sets = stored(_keyed_rows(docs, doc_id, text).select("text_key", "text").mapInArrow(_sets(marks), "class binary, shingles array<bigint>").dropDuplicates(["class"]), "sets")
 
     large = met.filter(F.col("members") > most)
     degree = met.groupBy("class").agg(F.sum("members").alias("degree"))
@@ -548,6 +557,8 @@ def similar_groups(docs: DataFrame, similarity: float, doc_id: str = "doc_id", t
     pairs = checkpointed(apart.unionByName(crowded_pairs(crowd, labels, similarity)).select(F.array("fp", "root").alias("classes")).distinct())
     late = _compared(pairs, _only(sets, pairs.select(F.explode("classes").alias("class"))), similarity)
     late = stored(late.join(fp, "fp", "left").join(root, "root", "left").select(F.coalesce("a", "fp").alias("fp"), F.coalesce("b", "root").alias("root")).distinct(), "edges")
+    for done in (sets, met, close, crowd, classes):
+        released(done)
     joined = components(late).toDF("label", "joined")
     named = rows.select("doc_id", "text_key", "class").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     return named.join(joined, "label", "left").select("doc_id", "text_key", F.coalesce("joined", "label").alias("group"))
