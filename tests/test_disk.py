@@ -11,7 +11,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tradelens import session
+from tradelens.catalog import q_ml
+from tradelens.catalog.tables import Tables
 from tradelens.llm import simhash
+from tradelens.operators.latest import latest_per_key
 from tradelens.plans import fund
 
 
@@ -105,3 +108,33 @@ def test_groups_do_not_depend_on_the_sampled_counts(spark, monkeypatch):
     sampled = partition_of(simhash.similar_groups(docs, 0.8))
     monkeypatch.setattr(simhash, "frequent_shingles", lambda *_: (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)))
     assert partition_of(simhash.similar_groups(docs, 0.8)) == sampled
+
+
+def line_tables(spark, folder):
+    start = dt.datetime(2001, 3, 5)
+    lines = [(k % 40 + 1, 3 * k % 17, k % 7 + 1, k % 9 + 1 if k % 31 else None, 1.0 + k % 5, 100.0 + k, k % 10 / 100, "R" if k % 3 == 0 else "N", "O" if k % 2 else "F",
+              start + dt.timedelta(days=k % 6) if k % 29 else None) for k in range(400)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, "
+                          "l_linestatus string, l_shipdate timestamp").write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(k, 7 * k if k % 11 else None) for k in [*range(1, 39), 5]], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{folder}/orders.parquet")
+    return Tables(spark, str(folder))
+
+
+def test_trades_are_shuffled_for_their_owners_only_and_keep_their_newest_version(spark, tmp_path):
+    t = line_tables(spark, tmp_path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert plan_of(t.trades()).count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plain = latest_per_key(t.trades_raw(), ["username", "event_key"], ["version"])
+    assert t.trades().columns == plain.columns and plain.count() > 100
+    assert sorted(map(str, t.trades().collect())) == sorted(map(str, plain.collect()))
+    books = latest_per_key(t.tob_raw(), ["trade_key", "token_id"], ["captured_at"])
+    assert t.tob().columns == books.columns and sorted(map(str, t.tob().collect())) == sorted(map(str, books.collect()))
+
+
+def test_the_features_of_a_trader_leave_no_shuffles(spark, tmp_path):
+    t, before = line_tables(spark, tmp_path), shuffle_files(spark)
+    features = q_ml.feature_table(t)
+    assert len(shuffle_files(spark) - before) < 10 and features.count() > 5
