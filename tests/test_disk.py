@@ -11,11 +11,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tradelens import session
-from tradelens.catalog import q_ml
+from tradelens.catalog import q_ml, q_research
 from tradelens.catalog.tables import Tables
 from tradelens.llm import simhash
 from tradelens.operators.latest import latest_per_key
-from tradelens.plans import fund
+from tradelens.plans import fund, quality
 
 
 def shuffle_files(spark):
@@ -112,7 +112,7 @@ def test_groups_do_not_depend_on_the_sampled_counts(spark, monkeypatch):
 
 def line_tables(spark, folder):
     start = dt.datetime(2001, 3, 5)
-    lines = [(k % 40 + 1, 3 * k % 17, k % 7 + 1, k % 9 + 1 if k % 31 else None, 1.0 + k % 5, 100.0 + k, k % 10 / 100, "R" if k % 3 == 0 else "N", "O" if k % 2 else "F",
+    lines = [(k % 40 + 1, 3 * k % 17, k % 7 + 1, k % 9 + 1 if k % 31 else None, 1.0 + k % 5, 100.0 + k, k % 10 / 100, "R" if k % 3 == 0 else "N", "O" if k // 6 % 2 else "F",
               start + dt.timedelta(days=k % 6) if k % 29 else None) for k in range(400)]
     spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, "
                           "l_linestatus string, l_shipdate timestamp").write.parquet(f"{folder}/lineitem.parquet")
@@ -138,3 +138,16 @@ def test_the_features_of_a_trader_leave_no_shuffles(spark, tmp_path):
     t, before = line_tables(spark, tmp_path), shuffle_files(spark)
     features = q_ml.feature_table(t)
     assert len(shuffle_files(spark) - before) < 10 and features.count() > 5
+
+
+def test_quality_reads_trades_written_once_and_batches_leave_no_shuffles(spark, tmp_path):
+    t = line_tables(spark, tmp_path)
+    raw, clean = q_research.quality_inputs(t)
+    day = lambda df: df.withColumn("day", F.to_date("ts"))
+    metrics = lambda a, b: sorted(map(str, quality.quality_metrics(day(a), day(b), ["username", "day"]).collect()))
+    found = metrics(raw, clean)
+    assert found == metrics(t.enriched_ws(), quality.clean_trades(t.enriched_opposite())) and len(found) > 20
+    before = shuffle_files(spark)
+    batches = q_research.clean_trade_batches(t)
+    assert len(shuffle_files(spark) - before) < 20
+    assert sorted(map(str, batches.collect())) == sorted(map(str, q_research.clean_trade_backfill(t).collect()))
